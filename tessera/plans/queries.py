@@ -54,3 +54,137 @@ def train_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = tables.inst(spark, sf_dir)
     tok = tokenize_records(recs, ALPACA, CodePoints(), cutoff_len=CUTOFF, train_on_inputs=True)
     return _tokens_out(tok, "id")
+
+
+# --- W3-W6: exact rank, split, shuffle ------------------------------------------
+
+from ..functions.tokens import CP_PAD  # noqa: E402
+from ..operators import batches as B  # noqa: E402
+from ..operators import order as O  # noqa: E402
+
+SEED = 42            # split seed of the training job
+VAL_DOCS = 200       # validation rows when splitting the documents table
+VAL_RECORDS = 20     # validation rows when splitting the instruction records
+BATCH = B.device_batch_size(16, 2)   # micro batch 16 over 2 processes -> 8
+FOOTPRINT_SIZES = [1, 2, 4, 8, 16, 32, 64, 128]
+
+
+def _rank_sql(id_expr: str, seed=SEED) -> str:
+    return f"row_number() over (order by md5(cast({id_expr} as varchar) || ':{seed}'), {id_expr})"
+
+
+@register("shuffle_order", sql=f"""
+select doc_id, cast({_rank_sql('doc_id')} as bigint) as rank from documents""")
+def shuffle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded exact global order of all documents."""
+    docs = tables.documents(spark, sf_dir).select("doc_id")
+    return O.shuffle_rows(docs, "doc_id", SEED).select("doc_id", "rank")
+
+
+@register("exact_split", sql=f"""
+with r as (select doc_id, {_rank_sql('doc_id')} as g from documents)
+select doc_id, case when g <= {VAL_DOCS} then 'validation' else 'train' end as split,
+       cast(case when g <= {VAL_DOCS} then g else g - {VAL_DOCS} end as bigint) as position
+from r""")
+def exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly VAL_DOCS documents to validation, seeded; positions continue the order."""
+    docs = tables.documents(spark, sf_dir).select("doc_id")
+    return O.exact_split(docs, "doc_id", VAL_DOCS, SEED).ranked.select("doc_id", "split", "position")
+
+
+@register("exact_split_reshuffled", sql=f"""
+with r as (select doc_id, {_rank_sql('doc_id')} as g from documents),
+s as (select doc_id, case when g <= {VAL_DOCS} then 'validation' else 'train' end as split from r)
+select doc_id, split, cast(row_number() over (partition by split
+       order by md5(cast(doc_id as varchar) || ':7'), doc_id) as bigint) as position
+from s""")
+def exact_split_reshuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W3 + W5: split by seed 42, then each part shuffled again by seed 7."""
+    docs = tables.documents(spark, sf_dir).select("doc_id")
+    return O.exact_split(docs, "doc_id", VAL_DOCS, SEED, shuffle_seed=7).ranked.select(
+        "doc_id", "split", "position")
+
+
+@register("no_split", sql=f"""
+select doc_id, 'train' as split, cast({_rank_sql('doc_id')} as bigint) as position from documents""")
+def no_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation size 0, every row is train (shuffled)."""
+    docs = tables.documents(spark, sf_dir).select("doc_id")
+    return O.exact_split(docs, "doc_id", 0, SEED).ranked.select("doc_id", "split", "position")
+
+
+# --- B1, B2: training batches (T5 -> W3 -> W5 -> B1 -> B2) --------------------------
+
+def _pad_sql(arr: str, width: str, value: int) -> str:
+    return (f"list_concat(list_transform(range(greatest({width} - len({arr}), 0)), "
+            f"lambda x: {value}), {arr})")
+
+
+@register("train_batches", sql=_with(
+    tables.INST_SQL,
+    f"""enc as (select id, {codepoints_sql(render_sql(ALPACA, 'instruction', 'input', 'output'), CUTOFF)} as ids0 from inst)""",
+    f"""tok as (select id, {_eos_sql('ids0', CUTOFF)} as ids from enc)""",
+    f"""r as (select *, {_rank_sql('id')} as g from tok)""",
+    f"""s as (select *, case when g <= {VAL_RECORDS} then 'validation' else 'train' end as split,
+       case when g <= {VAL_RECORDS} then g else g - {VAL_RECORDS} end as position from r)""",
+    f"""b as (select *, (position - 1) // {BATCH} as batch from s)""",
+    """m as (select *, cast(((max(len(ids)) over (partition by split, batch) + 7) // 8) * 8 as integer) as width from b)""",
+) + f"""select id, split, cast(position as bigint) as position, cast(batch as bigint) as batch, width,
+       array_to_string({_pad_sql('ids', 'width', CP_PAD)}, ' ') as input_ids,
+       array_to_string({_pad_sql("list_transform(ids, lambda x: 1)", 'width', 0)}, ' ') as attention_mask,
+       array_to_string({_pad_sql('ids', 'width', -100)}, ' ') as labels
+from m""")
+def train_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5 -> exact split (20 validation rows) -> shuffled -> batches of 8 -> left pad to x8."""
+    recs = tables.inst(spark, sf_dir).select("id", "instruction", "input", "output")
+    order = O.exact_split(recs, "id", VAL_RECORDS, SEED).derive(
+        lambda d: tokenize_records(d, ALPACA, CodePoints(), cutoff_len=CUTOFF,
+                                   train_on_inputs=True,
+                                   keep=["id", "split", "position", "_bucket"]))
+    padded = B.pad_batches(order, BATCH, pad_id=CP_PAD)
+    return padded.select("id", "split", "position", "batch", "width",
+                         ids_text(F.col("input_ids")).alias("input_ids"),
+                         ids_text(F.col("attention_mask")).alias("attention_mask"),
+                         ids_text(F.col("labels")).alias("labels"))
+
+
+@register("batch_footprint", sql=f"""
+with r as (select {_rank_sql('doc_id')} as rank, length(text) as len from documents),
+c as (select rank, len, unnest({FOOTPRINT_SIZES}) as batch_size from r),
+pb as (select batch_size, (rank - 1) // batch_size as batch, count(*) as n, sum(len) as rl,
+              max(len) as mx from c group by all),
+rep as (select batch_size, sum(n) as rows, count(*) as batches, sum(rl) as real_tokens,
+               sum(n * ((mx + 7) // 8) * 8) as padded_tokens, max(((mx + 7) // 8) * 8) as widest
+        from pb group by batch_size)
+select cast(batch_size as bigint) as batch_size, cast(rows as bigint) as rows,
+       cast(batches as bigint) as batches, cast(real_tokens as bigint) as real_tokens,
+       cast(padded_tokens as bigint) as padded_tokens, cast(widest as bigint) as widest,
+       round(1 - real_tokens / padded_tokens, 6) as waste
+from rep""")
+def batch_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per candidate batch size, real vs padded characters of all documents."""
+    docs = tables.documents(spark, sf_dir)
+    return B.footprint(docs, "doc_id", F.length("text"), FOOTPRINT_SIZES).select(
+        "batch_size", "rows", "batches", "real_tokens", "padded_tokens", "widest", "waste")
+
+
+@register("length_grouped", sql=f"""
+with r as (select doc_id, length(text) as len, {_rank_sql('doc_id')} as rank,
+                  count(*) over () as total from documents),
+ms as (select *, greatest(least(total // {BATCH * 4}, 50), 1) * {BATCH} as msize from r),
+mg as (select *, (rank - 1) // msize as mega from ms),
+ps as (select *, row_number() over (partition by mega order by len desc, rank) as pos from mg),
+top as (select mega as top from ps where pos = 1 order by len desc, mega limit 1),
+sw as (select ps.*, case when pos = 1 and mega = 0 then (select top from top)
+                         when pos = 1 and mega = (select top from top) then 0
+                         else mega end as nm from ps)
+select doc_id, cast(nm * msize + pos as bigint) as grouped_rank,
+       cast((nm * msize + pos - 1) // {BATCH} as bigint) as batch
+from sw""")
+def length_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length-grouped batch order of the shuffled documents (batches of 8)."""
+    docs = tables.documents(spark, sf_dir).select("doc_id", "text")
+    order = O.exact_rank(docs, "doc_id", SEED)
+    g = B.length_grouped_order(order, BATCH, F.length("text"))
+    return g.select("doc_id", "grouped_rank",
+                    B.batch_of(F.col("grouped_rank"), BATCH).alias("batch"))
