@@ -188,3 +188,283 @@ def length_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = B.length_grouped_order(order, BATCH, F.length("text"))
     return g.select("doc_id", "grouped_rank",
                     B.batch_of(F.col("grouped_rank"), BATCH).alias("batch"))
+
+
+# --- T4, T6: masked records; R1/R2 rendering; R3 per-row template ------------------
+
+from ..functions.templates import fill_sql, parse_format, sql_literal  # noqa: E402
+
+
+@register("train_records_masked", sql=_with(
+    tables.INST_SQL,
+    f"""enc as (select id, {codepoints_sql(render_sql(ALPACA, 'instruction', 'input', 'output'), CUTOFF)} as ids0,
+       least(length({render_sql(ALPACA, 'instruction', 'input')}), {CUTOFF}) as n from inst)""",
+    f"""e2 as (select id, n, {_eos_sql('ids0', CUTOFF)} as ids from enc)""",
+    """masked as (select id, ids, list_concat(list_transform(range(n), lambda x: -100),
+       case when len(ids) > n then ids[n + 1:] else []::integer[] end) as labels from e2)""",
+) + TOKENS_OUT_SQL)
+def train_records_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As train_records but the prompt part of the labels is -100."""
+    recs = tables.inst(spark, sf_dir)
+    tok = tokenize_records(recs, ALPACA, CodePoints(), cutoff_len=CUTOFF, train_on_inputs=False)
+    return _tokens_out(tok, "id")
+
+
+@register("render_prompts", sql=_with(tables.INST_SQL) + f"""
+select id, {render_sql(ALPACA, 'instruction', 'input', 'output')} as full_prompt,
+       {render_sql(ALPACA, 'instruction', 'input')} as user_prompt,
+       {render_sql(get_template('alpaca_japanese'), 'instruction', 'input', 'output')} as full_prompt_ja
+from inst""")
+def render_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full training prompt, user-only prompt, and the Japanese template's full prompt."""
+    recs = tables.inst(spark, sf_dir)
+    ins, inp, out = F.col("instruction"), F.col("input"), F.col("output")
+    return recs.select("id", render(ALPACA, ins, inp, out).alias("full_prompt"),
+                       render(ALPACA, ins, inp).alias("user_prompt"),
+                       render(get_template("alpaca_japanese"), ins, inp, out).alias("full_prompt_ja"))
+
+
+TEMPLATE_BY_LANG = {"ja": "alpaca_japanese", "en": "vqa"}   # others: the default template
+
+
+def _template_case(lang, mapping, build):
+    expr = None
+    for code, name in mapping.items():
+        v = build(get_template(name))
+        expr = F.when(lang == code, v) if expr is None else expr.when(lang == code, v)
+    return expr.otherwise(build(get_template("")))
+
+
+@register("template_by_lang", sql=f"""
+select doc_id,
+       case {' '.join(f"when lang = {sql_literal(k)} then {sql_literal(v)}" for k, v in TEMPLATE_BY_LANG.items())}
+            else 'alpaca' end as template,
+       case {' '.join(f"when lang = {sql_literal(k)} then {render_sql(get_template(v), 'text', sql_literal(''))}" for k, v in TEMPLATE_BY_LANG.items())}
+            else {render_sql(get_template(''), 'text', sql_literal(''))} end as prompt
+from documents""")
+def template_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3 per row: each whole document rendered as an instruction through the
+    template its language picks (a CASE over the few templates: no join)."""
+    docs = tables.documents(spark, sf_dir)
+    lang, text = F.col("lang"), F.col("text")
+    return docs.select(
+        "doc_id",
+        _template_case(lang, TEMPLATE_BY_LANG, lambda t: F.lit(t.name)).alias("template"),
+        _template_case(lang, TEMPLATE_BY_LANG,
+                       lambda t: render(t, text, F.lit(""))).alias("prompt"))
+
+
+@register("decode_ids", sql=_with(
+    tables.INST_SQL,
+    f"""enc as (select id, {codepoints_sql(render_sql(ALPACA, 'instruction', 'input', 'output'), CUTOFF)} as ids0 from inst)""",
+    f"""e2 as (select id, {_eos_sql('ids0', CUTOFF)} as ids from enc)""",
+) + f"""select id, array_to_string(list_transform(list_filter(ids, lambda i: i < {CP_EOS}),
+       lambda i: chr(i)), '') as text from e2""")
+def decode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of the training records back to text, special ids skipped."""
+    recs = tables.inst(spark, sf_dir)
+    tok = tokenize_records(recs, ALPACA, CodePoints(), cutoff_len=CUTOFF)
+    return tok.select("id", CodePoints().decode(F.col("input_ids")).alias("text"))
+
+
+# --- S2, F1, R7-R10, W1, W2: inference prompts -----------------------------------------
+
+from ..operators import evalsets as E  # noqa: E402
+from ..operators import guards as G  # noqa: E402
+from ..operators import scoring as S  # noqa: E402
+from ..functions.text import PY_WHITESPACE, sql_chars  # noqa: E402
+
+SHOTS = 7
+MAX_LENGTH = 256          # length limit of the inference job
+NEW_TOKENS = 5            # tokens generated per reply
+
+
+def _label_word_sql(col: str) -> str:
+    whens = " ".join(f"when {col} = {k} then {sql_literal(w)}" for k, w in E.NLI_LABEL_WORDS.items())
+    return f"(case {whens} else error('unknown label') end)"
+
+
+def _nli_prompt_sql(s1: str, s2: str, response: str, example: str = "''") -> str:
+    return fill_sql(parse_format(E.NLI_PROMPT), {
+        "example": example, "input1": s1, "input2": s2, "response": sql_literal(response)})
+
+
+def _shots_sql(shot: int) -> str:
+    block = fill_sql(parse_format(E.NLI_SHOT), {
+        "sentence1": "sentence1", "sentence2": "sentence2", "label": _label_word_sql("label")})
+    return f"""shots as (
+  select coalesce(string_agg(block, '' order by i), '') as txt, count(*) as n from (
+    select (rn - 1) * 3 + label as i, {block} as block from (
+      select *, row_number() over (partition by label order by sentence_pair_id) as rn
+      from nli where split = 'train') where (rn - 1) * 3 + label < {shot}))"""
+
+
+@register("nli_pairs", sql=_with(tables.NLI_SQL) + """
+select sentence_pair_id, sentence1, sentence2, label from nli where split = 'validation'""")
+def nli_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validation split of the sentence pairs (line pairs of labelled documents)."""
+    return E.select_split(tables.nli(spark, sf_dir), "validation").select(
+        "sentence_pair_id", "sentence1", "sentence2", "label")
+
+
+@register("nli_label_filter", sql=_with(tables.NLI_SQL) + """
+select sentence_pair_id, sentence1, sentence2 from nli where split = 'train' and label = 1""")
+def nli_label_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """train pairs of label 1."""
+    train = E.select_split(tables.nli(spark, sf_dir), "train")
+    return E.filter_label(train, 1).select("sentence_pair_id", "sentence1", "sentence2")
+
+
+NLI_ZERO_SQL = f"""nli_eval as (
+  select sentence_pair_id, {_nli_prompt_sql('sentence1', 'sentence2', E.RESPONSE_MARKERS['ja'])} as prompts,
+         {_label_word_sql('label')} as expected
+  from nli where split = 'validation')"""
+
+
+@register("nli_prompts", sql=_with(tables.NLI_SQL, NLI_ZERO_SQL) + "select * from nli_eval")
+def nli_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R7-R10 (Japanese marker), zero-shot: (id, prompts, expected)."""
+    return E.nli_eval_set(tables.nli(spark, sf_dir), shot=0, language="ja")
+
+
+@register("nli_prompts_few_shot", sql=_with(tables.NLI_SQL, _shots_sql(SHOTS)) + f"""
+select sentence_pair_id,
+       case when (select n from shots) < {SHOTS} then error('too few shots') else
+       {_nli_prompt_sql('sentence1', 'sentence2', E.RESPONSE_MARKERS['en'], '(select txt from shots)')} end as prompts,
+       {_label_word_sql('label')} as expected
+from nli where split = 'validation'""")
+def nli_prompts_few_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 + W2 + R8 with 7 shots and the English final marker (examples keep the Japanese one)."""
+    return E.nli_eval_set(tables.nli(spark, sf_dir), shot=SHOTS, language="en")
+
+
+@register("nli_encode_guard", sql=_with(tables.NLI_SQL, NLI_ZERO_SQL) + f"""
+select sentence_pair_id, cast(len({codepoints_sql('prompts')}) as bigint) as n_ids,
+       len({codepoints_sql('prompts')}) + {NEW_TOKENS} <= {MAX_LENGTH} as fits
+from nli_eval""")
+def nli_encode_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T7 + F3 (flag mode): encode each prompt, flag rows whose ids plus the
+    new tokens exceed the length limit."""
+    ev = E.nli_eval_set(tables.nli(spark, sf_dir), shot=0, language="ja")
+    enc = ev.select("sentence_pair_id", CodePoints().encode(F.col("prompts")).alias("input_ids"))
+    flagged = G.length_guard(enc, MAX_LENGTH, reserve=NEW_TOKENS, mode="flag")
+    return flagged.select("sentence_pair_id", F.size("input_ids").cast("bigint").alias("n_ids"),
+                          "fits")
+
+
+def _rule_reply_sql(prompts: str) -> str:
+    w = S.RuleReplyScorer.WORDS
+    return (f"({prompts} || case length({prompts}) % 3 when 0 then {sql_literal(w[0])} "
+            f"when 1 then {sql_literal(w[1])} else {sql_literal(w[2])} end || chr(10))")
+
+
+WS_SQL = sql_chars(PY_WHITESPACE)
+GEN_SQL = f"""gen as (select sentence_pair_id, expected, {_rule_reply_sql('prompts')} as generated from nli_eval),
+ans as (select sentence_pair_id, expected, generated,
+        trim(split_part(generated, {sql_literal(E.RESPONSE_MARKERS['ja'])}, -1), {WS_SQL}) as answer from gen)"""
+
+
+def _nli_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = E.require_columns(E.nli_eval_set(tables.nli(spark, sf_dir), shot=0, language="ja"))
+    gen = S.score(ev, S.RuleReplyScorer(temperature=0.01, top_p=0.75, top_k=40, num_beams=1),
+                  id_col="sentence_pair_id")
+    ans = gen.withColumn("answer", S.answer_after_last(F.col("generated"), E.RESPONSE_MARKERS["ja"]))
+    return S.pair(ev.select("sentence_pair_id", "expected"), ans, "sentence_pair_id")
+
+
+@register("nli_generate", sql=_with(tables.NLI_SQL, NLI_ZERO_SQL, GEN_SQL) +
+          "select sentence_pair_id, expected, generated, answer from ans")
+def nli_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 + X2 + X3 + M3: score every prompt (test generator, Arrow batches),
+    take the text after the last marker, strip it, pair with the expected word."""
+    return _nli_answers(spark, sf_dir).select("sentence_pair_id", "expected", "generated", "answer")
+
+
+@register("nli_accuracy", sql=_with(tables.NLI_SQL, NLI_ZERO_SQL, GEN_SQL) + """
+select 'jnli' as task, cast(count(*) as bigint) as n,
+       round(avg(case when coalesce(contains(answer, expected), false) then 1.0 else 0.0 end), 4) as value
+from ans""")
+def nli_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 + M4: substring accuracy of the extracted answers, 4 digits."""
+    ans = _nli_answers(spark, sf_dir)
+    return S.report(ans, "jnli", S.accuracy(F.col("expected"), F.col("answer")), 4)
+
+
+@register("nli_choice_share", sql=_with(tables.NLI_SQL, NLI_ZERO_SQL, GEN_SQL) + f"""
+select 'jnli' as task, cast(count(*) as bigint) as n,
+       round(avg(case when answer in ({', '.join(sql_literal(w) for w in E.NLI_LABEL_WORDS.values())})
+                 then 1.0 else 0.0 end), 4) as value
+from ans""")
+def nli_choice_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: share of answers that are exactly one of the three label words."""
+    ans = _nli_answers(spark, sf_dir)
+    return S.report(ans, "jnli", S.choice_share(F.col("answer"), E.NLI_LABEL_WORDS.values()), 4)
+
+
+# --- R4-R6, R1 (vqa), T5 masked, F2, G3, G2, M2: perplexity ------------------------------
+
+from ..functions.templates import evaluation_template  # noqa: E402
+
+PPL_MAX_LENGTH = 4096     # context length of the scoring model (whole conversations fit)
+VQA = evaluation_template("en")
+
+
+def _vqa_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qa = tables.inst(spark, sf_dir).select("id", F.col("instruction").alias("question"),
+                                           F.col("output").alias("answer"))
+    ev = E.require_columns(E.rename_qa_to_eval(qa))
+    recs = E.empty_input(E.rename_eval_to_instruction(ev))
+    tok = tokenize_records(recs, VQA, CodePoints(), cutoff_len=None, train_on_inputs=False,
+                           truncation=False)
+    return G.length_guard(tok, PPL_MAX_LENGTH, mode="fail")
+
+
+VQA_TOK_SQL = f"""enc as (select id, {codepoints_sql(render_sql(VQA, 'instruction', "''", 'output'))} as ids0,
+       length({render_sql(VQA, 'instruction', "''")}) as n from inst),
+tok as (select id, {_eos_sql('ids0', None)} as ids, n from enc),
+masked as (select id, ids, list_concat(list_transform(range(n), lambda x: -100),
+       case when len(ids) > n then ids[n + 1:] else []::integer[] end) as labels from tok
+       where case when len(ids) <= {PPL_MAX_LENGTH} then true else error('Exceed max_length') end),
+counts as (select t as tok, count(*) as c from (select unnest(ids) as t from masked) group by t),
+nv as (select sum(c) as n, count(*) as v from counts),
+lp as (select tok, c, ln((c + 1.0) / (n + v)) as logprob from counts, nv),
+pos as (select id, ids, labels, unnest(range(2, len(ids) + 1)) as j from masked),
+sc as (select pos.id, -avg(lp.logprob) as loss from pos join lp on lp.tok = pos.ids[j]
+       where pos.labels[j] <> -100 group by pos.id),
+losses as (select m.id, coalesce(sc.loss, 'NaN'::double) as loss from masked m left join sc on sc.id = m.id)"""
+
+
+@register("vqa_records", sql=_with(tables.INST_SQL, VQA_TOK_SQL) + TOKENS_OUT_SQL)
+def vqa_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R4 -> R5 -> R6 -> vqa template -> T5 without truncation, prompt masked -> F2 (fail)."""
+    return _tokens_out(_vqa_tokens(spark, sf_dir), "id")
+
+
+@register("token_logprob", sql=_with(tables.INST_SQL, VQA_TOK_SQL) + """
+select cast(tok as integer) as tok, cast(c as bigint) as n, round(logprob, 6) as logprob from lp""")
+def token_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add-one unigram log-probability of every token of the scored table."""
+    t = S.unigram_logprob_table(_vqa_tokens(spark, sf_dir))
+    return t.select("tok", F.col("n").cast("bigint").alias("n"),
+                    F.round("logprob", 6).alias("logprob"))
+
+
+def _losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tok = _vqa_tokens(spark, sf_dir)
+    with_map = tok.withColumn("_lp", S.unigram_logprob_map(tok))
+    return with_map.select("id", S.example_loss(
+        F.col("labels"), S.token_logprobs(F.col("input_ids"), F.col("_lp"))).alias("loss"))
+
+
+@register("example_loss", sql=_with(tables.INST_SQL, VQA_TOK_SQL) + """
+select id, round(loss, 6) as loss from losses""")
+def example_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shifted mean negative log-probability of each example's unmasked labels."""
+    return _losses(spark, sf_dir).select("id", F.round("loss", 6).alias("loss"))
+
+
+@register("vqa_perplexity", sql=_with(tables.INST_SQL, VQA_TOK_SQL) + """
+select 'ppl-vqa' as task, cast(count(*) as bigint) as n, round(exp(avg(loss)), 6) as value from losses""")
+def vqa_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 + M4: exp of the mean example loss, 6 digits."""
+    return S.report(_losses(spark, sf_dir), "ppl-vqa", S.perplexity(F.col("loss")), 6)
