@@ -117,6 +117,23 @@ def token_logprobs(ids: Column, lp_map: Column) -> Column:
     return F.transform(ids, lambda t: F.element_at(lp_map, t))
 
 
+def count_model_losses(tok: DataFrame, lp_table: DataFrame, id_col: str = "id",
+                       labels: str = "labels") -> DataFrame:
+    """G3 + G2 as a join: every example's target tokens (labels at positions
+    2..n that are not -100) meet their log-probability through a broadcast
+    join with the token table (bounded by the vocabulary), and a partial +
+    final aggregate per example gives the mean. The exploded targets of one
+    example sit in one partition, so the partial aggregate leaves about one
+    row per example for the shuffle. No target: NaN."""
+    n = F.greatest(F.size(labels) - 1, F.lit(0))
+    targets = F.filter(F.slice(labels, 2, n), lambda l: l != F.lit(IGNORE_INDEX))
+    exploded = tok.select(id_col, F.explode_outer(targets).alias("tok"))
+    scored = exploded.join(F.broadcast(lp_table.select("tok", "logprob")), "tok", "left")
+    agg = scored.groupBy(id_col).agg(F.sum("logprob").alias("_s"), F.count("logprob").alias("_c"))
+    return agg.select(id_col, F.when(F.col("_c") == 0, F.lit(float("nan")))
+                      .otherwise(-F.col("_s") / F.col("_c")).alias("loss"))
+
+
 # --- G2: loss of one example ---------------------------------------------------------
 
 def example_loss(labels: Column, logprobs: Column) -> Column:

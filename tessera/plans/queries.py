@@ -451,9 +451,7 @@ def token_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = _vqa_tokens(spark, sf_dir)
-    with_map = tok.withColumn("_lp", S.unigram_logprob_map(tok))
-    return with_map.select("id", S.example_loss(
-        F.col("labels"), S.token_logprobs(F.col("input_ids"), F.col("_lp"))).alias("loss"))
+    return S.count_model_losses(tok, S.unigram_logprob_table(tok))
 
 
 @register("example_loss", sql=_with(tables.INST_SQL, VQA_TOK_SQL) + """
@@ -468,3 +466,106 @@ select 'ppl-vqa' as task, cast(count(*) as bigint) as n, round(exp(avg(loss)), 6
 def vqa_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2 + M4: exp of the mean example loss, 6 digits."""
     return S.report(_losses(spark, sf_dir), "ppl-vqa", S.perplexity(F.col("loss")), 6)
+
+
+# --- C1-C6, T9: conversations ---------------------------------------------------------
+
+from ..functions.tokens import cut_prompt  # noqa: E402
+from ..operators import chat as C  # noqa: E402
+
+
+def _role_sql(role: str) -> str:
+    return (f"(case {role} when 'user' then {sql_literal(C.JAPANESE_ROLES[0])} "
+            f"when 'assistant' then {sql_literal(C.JAPANESE_ROLES[1])} else {role} end)")
+
+
+def _msg_sql(role_name: str, text: str) -> str:
+    sep = sql_literal(C.JAPANESE_SEP)
+    return (f"(case when coalesce(length({text}) > 0, false) then {role_name} || ': ' || {text} || {sep} "
+            f"else {role_name} || ':' end)")
+
+
+CHAT_SYS_SQL = """sys as (select conv_id, min(text) as s from conversations where role = 'system' group by conv_id)"""
+
+
+@register("chat_prompts", sql=_with(
+    CHAT_SYS_SQL,
+    f"""msgs as (select conv_id, turn, role, {_msg_sql(_role_sql('role'), 'text')} as m
+         from conversations where role <> 'system')""",
+    """hist as (select conv_id, turn, role, array_to_string(list(m) over (partition by conv_id order by turn
+         rows between unbounded preceding and current row), '') as h from msgs)""",
+) + f"""select h.conv_id, h.turn,
+       coalesce(sys.s, {sql_literal(C.JAPANESE_SYSTEM)}) || {sql_literal(C.JAPANESE_SEP)} || h.h
+       || {sql_literal(C.JAPANESE_ROLES[1] + ':')} as prompt
+from hist h left join sys on sys.conv_id = h.conv_id where h.role = 'user'""")
+def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversation prompt of every user turn, whole history."""
+    return C.conversation_prompts(tables.conversations(spark, sf_dir))
+
+
+@register("chat_prompts_no_context", sql=_with(CHAT_SYS_SQL) + f"""
+select c.conv_id, c.turn,
+       coalesce(sys.s, {sql_literal(C.JAPANESE_SYSTEM)}) || {sql_literal(C.JAPANESE_SEP)}
+       || {_msg_sql(sql_literal(C.JAPANESE_ROLES[0]), 'c.text')} || {sql_literal(C.JAPANESE_ROLES[1] + ':')} as prompt
+from conversations c left join sys on sys.conv_id = c.conv_id where c.role = 'user'""")
+def chat_prompts_no_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt of the current user message only (plus the system text)."""
+    return C.no_context_prompts(tables.conversations(spark, sf_dir))
+
+
+@register("chat_single_turn", sql=f"""
+select conv_id, turn, {fill_sql(parse_format(C.SINGLE_TURN_PROMPT), {'text': 'text'})} as prompt
+from conversations where role = 'user' and length(text) > 0""")
+def chat_single_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C6 + C3: non-empty user messages as single-turn prompts."""
+    users = C.non_empty_user_turns(tables.conversations(spark, sf_dir))
+    return users.select("conv_id", "turn", C.single_turn_prompt(F.col("text")).alias("prompt"))
+
+
+@register("chat_replies", sql=f"""
+with p as (
+  select u.conv_id, u.turn, {fill_sql(parse_format(C.SINGLE_TURN_PROMPT), {'text': 'u.text'})} as prompt,
+         replace(a.text, chr(10), {sql_literal(C.NEWLINE_MARKER)}) || {sql_literal(C.JAPANESE_STOP)} || 'tail' as raw
+  from conversations u join conversations a
+    on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant'
+  where u.role = 'user' and length(u.text) > 0),
+ids as (select conv_id, turn, {codepoints_sql('prompt')} as pids, {codepoints_sql('prompt || raw')} as oids from p)
+select conv_id, turn,
+       split_part(replace(array_to_string(list_transform(oids[len(pids) + 1:], lambda i: chr(i)), ''),
+                          {sql_literal(C.NEWLINE_MARKER)}, chr(10)), {sql_literal(C.JAPANESE_STOP)}, 1) as reply
+from ids""")
+def chat_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T9 + C4 + C5: the reply part of an output id sequence decoded, newline
+    markers restored, cut at the stop string. The output sequence is the
+    single-turn prompt followed by the recorded assistant message (newlines
+    as markers) and a stop string, as a model would emit it."""
+    conv = tables.conversations(spark, sf_dir)
+    users = C.non_empty_user_turns(conv).select("conv_id", "turn", "text")
+    replies = conv.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    enc = CodePoints()
+    p = users.join(replies, ["conv_id", "turn"]).select(
+        "conv_id", "turn", C.single_turn_prompt(F.col("text")).alias("prompt"),
+        F.concat(F.replace(F.col("reply"), F.lit("\n"), F.lit(C.NEWLINE_MARKER)),
+                 F.lit(C.JAPANESE_STOP + "tail")).alias("raw"))
+    ids = p.select("conv_id", "turn", enc.encode(F.col("prompt")).alias("pids"),
+                   enc.encode(F.concat("prompt", "raw")).alias("oids"))
+    gen = enc.decode(cut_prompt(F.col("oids"), F.size("pids")))
+    return ids.select("conv_id", "turn", C.cut_at_stop(C.decode_newlines(gen)).alias("reply"))
+
+
+# --- T1 with a vocabulary encoder (Python worker, Arrow batches) -----------------------
+
+from ..functions.tokens import get_encoder  # noqa: E402
+
+
+@register("train_records_bpe")
+def train_records_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5 with the byte-level BPE vocabulary (encoded in a pandas_udf), cutoff
+    256, prompt masked: the user prompt is encoded separately, as its merges
+    can differ at the boundary. No SQL oracle (DuckDB has no tokenizer);
+    tests compare it with the tokenizer library called directly."""
+    recs = tables.inst(spark, sf_dir)
+    tok = tokenize_records(recs, ALPACA, get_encoder("byte_bpe_50k"), cutoff_len=CUTOFF,
+                           train_on_inputs=False)
+    return _tokens_out(tok, "id")
