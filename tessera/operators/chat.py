@@ -59,23 +59,50 @@ def _system_text(conv: DataFrame, style: ConversationStyle) -> DataFrame:
 
 
 def conversation_prompts(conv: DataFrame, style: ConversationStyle = JAPANESE,
-                         max_messages: int | None = None) -> DataFrame:
+                         max_messages: int | None = None, chunk: int = 256) -> DataFrame:
     """For every user turn, the prompt of the whole conversation so far:
     system text + separator, every earlier message and the current user
     message as ``role: text`` + separator, then the empty reply slot
     ``role:``. ``max_messages`` keeps only that many latest messages (a
     sliding frame); ``None`` keeps the whole history, as the chat loop does.
 
-    The history is a running frame over the conversation's messages ordered
-    by turn; its output grows with the square of a conversation's length.
+    The whole history is built in two levels so that a very long conversation
+    does not sit in one task: turns fall into chunks of ``chunk`` turns; a
+    running frame inside each chunk (bounded groups, spread over tasks by
+    ``(conv_id, chunk)``) gives the local history, and a running frame over
+    the chunks' texts gives each chunk the text before it. The output itself
+    grows with the square of a conversation's length (every prompt repeats
+    the history); only that prefix step is per conversation, on
+    ``turns / chunk`` rows.
     """
     msgs = conv.filter(F.col("role") != "system").select(
         "conv_id", "turn", "role",
         _message(_role_name(F.col("role"), style), F.col("text"), style.sep).alias("_m"))
-    lo = Window.unboundedPreceding if max_messages is None else -(max_messages - 1)
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(lo, Window.currentRow)
-    hist = msgs.withColumn("_h", F.array_join(F.collect_list("_m").over(w), "")) \
-        .filter(F.col("role") == "user")
+    if max_messages is not None:
+        w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(
+            -(max_messages - 1), Window.currentRow)
+        hist = msgs.withColumn("_h", F.array_join(F.collect_list("_m").over(w), ""))
+    else:
+        msgs = msgs.withColumn("_c", F.floor(F.col("turn") / F.lit(chunk)).cast("bigint"))
+        inside = Window.partitionBy("conv_id", "_c").orderBy("turn").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        local = msgs.withColumn("_l", F.array_join(F.collect_list("_m").over(inside), ""))
+        # a chunk's text is the local history at its last turn; the aggregate
+        # reuses the window's (conv_id, chunk) partitioning: no exchange
+        chunk_text = local.groupBy("conv_id", "_c").agg(F.max_by("_l", "turn").alias("_t"))
+        before = Window.partitionBy("conv_id").orderBy("_c").rowsBetween(
+            Window.unboundedPreceding, -1)
+        # the system text joins the (small) per-chunk table, so the per-turn
+        # output keeps its (conv_id, chunk) partitioning into the last join
+        prefix = chunk_text.select("conv_id", "_c", F.array_join(
+            F.collect_list("_t").over(before), "").alias("_p")).join(
+            _system_text(conv, style), "conv_id", "left").select(
+            "conv_id", "_c", F.concat(F.coalesce(F.col("_sys"), F.lit(style.system)),
+                                      F.lit(style.sep), F.col("_p")).alias("_p"))
+        return (local.filter(F.col("role") == "user").join(prefix, ["conv_id", "_c"], "inner")
+                .select("conv_id", "turn", F.concat("_p", "_l", F.lit(style.roles[1] + ":"))
+                        .alias("prompt")))
+    hist = hist.filter(F.col("role") == "user")
     sys = _system_text(conv, style)
     return hist.join(sys, "conv_id", "left").select(
         "conv_id", "turn",

@@ -26,9 +26,10 @@ def conv(spark):
     return spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
 
 
-@pytest.mark.parametrize("max_messages", [None, 2, 3])
-def test_history_prompts(conv, max_messages):
-    got = {(r.conv_id, r.turn): r.prompt for r in C.conversation_prompts(conv, max_messages=max_messages).collect()}
+@pytest.mark.parametrize("max_messages,chunk", [(None, 256), (None, 1), (None, 2), (None, 4), (2, 256), (3, 256)])
+def test_history_prompts(conv, max_messages, chunk):
+    got = {(r.conv_id, r.turn): r.prompt for r in
+           C.conversation_prompts(conv, max_messages=max_messages, chunk=chunk).collect()}
     for cid in (1, 2):
         rows = sorted(r for r in ROWS if r[0] == cid)
         system = next((r[3] for r in rows if r[2] == "system"), C.JAPANESE_SYSTEM)
