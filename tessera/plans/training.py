@@ -30,12 +30,21 @@ VAL_SET_SIZE = 2000   # validation rows of the training job
 SPLIT_SEED = 42       # seed of its split
 
 
-def with_record_id(df: DataFrame, id_col: str = "id", seed: int | str = SPLIT_SEED) -> DataFrame:
-    """Give records without an id a content id (hash of the row); identical
-    records get the same id, and the rank treats them as interchangeable."""
+def with_record_id(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """Give records read from files a unique, deterministic id: the source
+    position. Identical records (a corpus may repeat one record very often)
+    then get different ids, so their order keys spread over all buckets
+    instead of piling into one. Parquet: file path + row index; other
+    formats: the scan-position id, which a re-run of the same file split
+    reproduces. Call it on the DataFrame as read (before any shuffle)."""
     if id_col in df.columns:
         return df
-    return df.withColumn(id_col, O.content_key(df, seed))
+    try:
+        pos = F.concat(F.col("_metadata.file_path"), F.lit(":"),
+                       F.col("_metadata.row_index").cast("string"))
+        return df.withColumn(id_col, pos)
+    except Exception:  # noqa: BLE001 - formats without a row index
+        return df.withColumn(id_col, F.monotonically_increasing_id())
 
 
 def training_batches(records: DataFrame, template: Template, encoder: Encoder,
@@ -45,7 +54,7 @@ def training_batches(records: DataFrame, template: Template, encoder: Encoder,
                      pad_id: int | None = None, id_col: str = "id") -> DataFrame:
     """The whole training data plan as one lazy DataFrame with columns
     ``id, split, position, batch, width, input_ids, attention_mask, labels``."""
-    recs = with_record_id(records, id_col, seed).select(id_col, "instruction", "input", "output")
+    recs = with_record_id(records, id_col).select(id_col, "instruction", "input", "output")
     order = O.exact_split(recs, id_col, val_set_size, seed, shuffle_seed=shuffle_seed)
     order = order.derive(lambda d: tokenize_records(
         d, template, encoder, cutoff_len=cutoff_len, train_on_inputs=train_on_inputs,

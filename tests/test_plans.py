@@ -67,3 +67,28 @@ def test_perplexity_job_matches_query(spark):
                                              F.col("output").alias("answer"))
     got = EV.perplexity_job(qa, max_length=4096).first()
     assert tuple(got) == tuple(REG["vqa_perplexity"].run(spark, SF_CHECK).first())
+
+
+def test_identical_records_spread_and_split_exactly(spark, tmp_dir):
+    import json
+    path = os.path.join(tmp_dir, "dups.jsonl")
+    with open(path, "w", encoding="utf-8") as fh:
+        for i in range(600):
+            rec = {"instruction": "same", "input": "", "output": "same"} if i % 3 else \
+                {"instruction": f"q{i}", "input": "", "output": f"a{i}"}
+            fh.write(json.dumps(rec) + "\n")
+    pq = os.path.join(tmp_dir, "dups_pq")
+    spark.read.json(path).write.parquet(pq)
+    from tessera.sources.readers import read_instructions
+    for src in (path, pq):
+        recs = read_instructions(spark, src)
+        df = TR.training_batches(recs, get_template("alpaca"), CodePoints(), 64, 8, 1,
+                                 val_set_size=50)
+        rows = df.select("id", "split", "position").collect()
+        assert len({r.id for r in rows}) == 600
+        assert sorted(r.position for r in rows if r.split == "validation") == list(range(1, 51))
+        assert sorted(r.position for r in rows if r.split == "train") == list(range(1, 551))
+        keyed = TR.with_record_id(read_instructions(spark, src))
+        from tessera.operators.order import exact_rank
+        per_bucket = exact_rank(keyed, "id", digits=1).ranked.groupBy("_bucket").count().collect()
+        assert max(r["count"] for r in per_bucket) < 600 / 16 * 2
