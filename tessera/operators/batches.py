@@ -2,8 +2,8 @@
 length-grouped batches (B3) and the batch footprint report (B4).
 
 Batches are runs of consecutive ranks, so after ``exact_rank`` (rows
-range-partitioned by hash bucket, each bucket a contiguous rank run) a batch
-lies inside one bucket except where a bucket boundary cuts it. Padding widths
+partitioned by hash bucket, each bucket a contiguous rank run) a batch lies
+inside one bucket except where a bucket boundary cuts it. Padding widths
 are therefore computed bucket-locally (a window over (bucket, batch) that
 reuses the existing partitioning: no shuffle of the token arrays), plus a
 correction for the batches cut by a bucket boundary. Those are found from the

@@ -5,17 +5,19 @@ A row's place in the shuffled order is its key ``md5(id || ':' || seed)``
 
 1. the first ``digits`` hex digits of the key form a bucket (16**digits of
    them, uniform because the key is a hash); a partial+final aggregate counts
-   rows per bucket, and a running sum over that small table gives each
-   bucket's start offset (the only single-partition step, on at most
-   16**digits rows, so its size is bounded independently of the data);
-2. the rows are range-partitioned by bucket (so every partition holds a
-   contiguous run of ranks and output files come out in order), sorted by
-   key inside each bucket, numbered with ``row_number`` per bucket, and the
-   offsets are broadcast-joined back.
+   rows per bucket (this pass reads only the id column), and a running sum over
+   that small table gives each bucket's start offset (the only single-partition
+   step, on at most 16**digits rows, so its size is bounded independently of
+   the data);
+2. the rows are hash-partitioned by bucket, sorted by key inside each bucket,
+   numbered with ``row_number`` per bucket, and the offsets are
+   broadcast-joined back.
 
 Rank = offset + number inside the bucket, equal to
 ``row_number() over (order by key, id)``. Hash buckets are even, so no bucket
-is hot unless ids repeat: ids must be unique.
+is hot unless ids repeat: ids must be unique. Hash (not range) partitioning is
+deliberate: a range exchange first samples its input, which re-runs the whole
+upstream plan once more; the bucket counts already make the hash layout even.
 """
 
 from __future__ import annotations
@@ -26,9 +28,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_DIGITS = 4      # 65,536 buckets: offsets table <= 65,536 rows (~1 MB broadcast)
+MAX_DIGITS = 5          # 1,048,576 buckets: offsets table ~16 MB broadcast
+BUCKET_BYTES = 128 << 20
 DEFAULT_SEED = 42
 
 
+def auto_digits(df: DataFrame) -> int:
+    """Bucket digits for a table: about ``BUCKET_BYTES`` of input per bucket,
+    from the optimizer's size estimate, between 4 and 5 hex digits (so the
+    broadcast offsets table stays within ~16 MB). 65,536 buckets serve inputs
+    up to ~8 TB; beyond, 16**5."""
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: the default
+        return DEFAULT_DIGITS
+    return MAX_DIGITS if size > (16 ** DEFAULT_DIGITS) * BUCKET_BYTES else DEFAULT_DIGITS
+
+
 def order_key(id_col: str | Column, seed: int | str = DEFAULT_SEED) -> Column:
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.md5(F.concat(c.cast("string"), F.lit(f":{seed}")))
@@ -59,7 +75,7 @@ class ExactOrder:
 
 
 def exact_rank(df: DataFrame, id_col: str, seed: int | str = DEFAULT_SEED,
-               digits: int = DEFAULT_DIGITS, by: tuple[str, ...] | list[str] = (),
+               digits: int | None = None, by: tuple[str, ...] | list[str] = (),
                rank_col: str = "rank", key: Column | None = None,
                more_than: int | None = None) -> ExactOrder:
     """Exact 1-based rank of every row in key order (per ``by`` group).
@@ -67,6 +83,8 @@ def exact_rank(df: DataFrame, id_col: str, seed: int | str = DEFAULT_SEED,
     ``more_than``: fail (when the job runs) unless the table has more rows
     than this; the check rides on the broadcast offsets, no extra pass.
     """
+    if digits is None:
+        digits = auto_digits(df)
     if not 1 <= digits <= 6:
         raise ValueError("digits must be between 1 and 6")
     by = tuple(by)
@@ -84,7 +102,7 @@ def exact_rank(df: DataFrame, id_col: str, seed: int | str = DEFAULT_SEED,
             F.lit(f"the table must have more than {more_than} rows, it has "),
             F.col("_total").cast("string")))).otherwise(start)
     inside = Window.partitionBy(*by, "_bucket").orderBy("_key", id_col)
-    numbered = (keyed.repartitionByRange(*[F.col(c) for c in by], F.col("_bucket"))
+    numbered = (keyed.repartition(*[F.col(c) for c in by], F.col("_bucket"))
                 .withColumn("_in", F.row_number().over(inside)))
     ranked = (numbered.join(F.broadcast(offsets.select(*by, "_bucket", start.alias("_start"))),
                             [*by, "_bucket"], "inner")
@@ -94,14 +112,14 @@ def exact_rank(df: DataFrame, id_col: str, seed: int | str = DEFAULT_SEED,
 
 
 def shuffle_rows(df: DataFrame, id_col: str, seed: int | str = DEFAULT_SEED,
-                 digits: int = DEFAULT_DIGITS, rank_col: str = "rank") -> DataFrame:
-    """The rows in a seeded random order: ``rank`` 1..N, partitions hold
-    contiguous rank ranges, sorted inside."""
+                 digits: int | None = None, rank_col: str = "rank") -> DataFrame:
+    """The rows in a seeded random order: ``rank`` 1..N (each partition
+    holds whole buckets, sorted by rank inside)."""
     return exact_rank(df, id_col, seed, digits, rank_col=rank_col).ranked.drop("_key", "_bucket")
 
 
 def exact_split(df: DataFrame, id_col: str, n_val: int, seed: int | str = DEFAULT_SEED,
-                digits: int = DEFAULT_DIGITS, shuffle_seed: int | str | None = None,
+                digits: int | None = None, shuffle_seed: int | str | None = None,
                 train: str = "train", val: str = "validation") -> ExactOrder:
     """Exactly ``n_val`` rows to validation, the rest to train.
 
@@ -116,6 +134,7 @@ def exact_split(df: DataFrame, id_col: str, n_val: int, seed: int | str = DEFAUL
         raise ValueError("n_val must be >= 0")
     order = exact_rank(df, id_col, seed, digits, rank_col="_grank",
                        more_than=n_val if n_val > 0 else None)
+    digits = order.digits
     checked = order.ranked
     is_val = F.col("_grank") <= F.lit(n_val)
     parted = (checked

@@ -68,9 +68,14 @@ def training_batches(records: DataFrame, template: Template, encoder: Encoder,
                       "input_ids", "attention_mask", "labels")
 
 
-def write_batches(batches: DataFrame, out: str, mode: str = "errorifexists") -> None:
-    """Parquet, one folder per split; rows come out of the range partitions in
-    position order, so files read back in shuffled order."""
+def write_batches(batches: DataFrame, out: str, mode: str = "errorifexists",
+                  ordered: bool = False) -> None:
+    """Parquet, one folder per split, rows sorted by position inside each file
+    (every file holds whole buckets, i.e. whole runs of positions).
+    ``ordered=True`` range-partitions by position first, so files also follow
+    each other in position order (one more exchange)."""
+    if ordered:
+        batches = batches.repartitionByRange("split", "position")
     (batches.sortWithinPartitions("split", "position")
      .write.mode(mode).partitionBy("split").parquet(out))
 

@@ -126,4 +126,4 @@ def test_no_single_partition_over_data(spark, table):
     text = ranked._jdf.queryExecution().executedPlan().toString()
     singles = text.count("SinglePartition")
     assert singles == 1
-    assert "rangepartitioning(_bucket" in text
+    assert "rangepartitioning" not in text

@@ -42,7 +42,10 @@ def test_training_job_equals_query(spark, tmp_dir):
 def test_training_plan_moves_text_once(spark):
     q = REG["train_batches"].run(spark, SF_CHECK)
     plan = _plan(q)
-    assert plan.count("rangepartitioning(_bucket") == 2   # main and correction branch: reused at run time
+    # the data moves once (main and correction branch share it at run time); the other
+    # bucket exchanges carry only bucket counts
+    assert plan.count("REPARTITION_BY_COL") == 2
+    assert "rangepartitioning" not in plan               # no sampling pass over the input
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
     # the width window reuses the range partitioning: no exchange on (split, _bucket, batch)
     assert "hashpartitioning(split#" not in plan.split("BroadcastExchange")[0]
