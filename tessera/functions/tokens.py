@@ -22,6 +22,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 IGNORE_INDEX = -100  # label value that a loss ignores (collator and masking default)
 
 UNICODE_LIMIT = 0x110000
@@ -161,6 +163,7 @@ class Vocab(Encoder):
     path: str = ""
 
     def encode(self, text: Column, cutoff: int | None = None) -> Column:
+        ship_package()
         kind, path, bos = self.kind, self.path, self.bos_id
 
         @F.pandas_udf(INT_ARRAY)
@@ -179,6 +182,7 @@ class Vocab(Encoder):
         return _encode(text)
 
     def decode(self, ids: Column, skip_special: bool = True) -> Column:
+        ship_package()
         kind, path = self.kind, self.path
         skip = set(self.special_ids) if skip_special else set()
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PY_WHITESPACE
+from ..session import ship_package
 from ..functions.tokens import IGNORE_INDEX
 
 
@@ -56,6 +57,7 @@ def score(df: DataFrame, scorer: Scorer, id_col: str = "id") -> DataFrame:
     Batch size follows ``spark.sql.execution.arrow.maxRecordsPerBatch``.
     Output: the id and the scorer's columns, one row per input row.
     """
+    ship_package(df.sparkSession)
     cols = [id_col, *scorer.inputs]
     missing = [c for c in cols if c not in df.columns]
     if missing:
