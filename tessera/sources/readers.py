@@ -44,10 +44,15 @@ def _first_data_file(spark: SparkSession, path: str):
     raise ValueError(f"no data file under {path}")
 
 
-def first_char(spark: SparkSession, path: str, limit: int = 1 << 16) -> str:
-    """First non-blank character of (the first file of) ``path``; reads at
-    most ``limit`` bytes on the driver."""
-    fs, fpath = _first_data_file(spark, path)
+def _data_files(spark: SparkSession, path: str) -> list:
+    fs, hpath = _fs_and_path(spark, path)
+    if not fs.getFileStatus(hpath).isDirectory():
+        return [hpath]
+    return [st.getPath() for st in fs.listStatus(hpath)
+            if st.isFile() and not st.getPath().getName().startswith((".", "_"))]
+
+
+def _first_char_of(fs, fpath, limit: int = 1 << 16) -> str:
     stream = fs.open(fpath)
     try:
         buf = bytearray()
@@ -56,7 +61,7 @@ def first_char(spark: SparkSession, path: str, limit: int = 1 << 16) -> str:
             if b < 0:
                 break
             buf.append(b)
-            ch = bytes(buf).decode("utf-8", errors="ignore").lstrip("﻿ \t\r\n")
+            ch = bytes(buf).decode("utf-8", errors="ignore").lstrip("\ufeff \t\r\n")
             if ch:
                 return ch[0]
     finally:
@@ -64,6 +69,13 @@ def first_char(spark: SparkSession, path: str, limit: int = 1 << 16) -> str:
     return ""
 
 
+def first_char(spark: SparkSession, path: str, limit: int = 1 << 16) -> str:
+    """First non-blank character of (the first file of) ``path``; reads at
+    most ``limit`` bytes on the driver."""
+    fs, fpath = _first_data_file(spark, path)
+    return _first_char_of(fs, fpath, limit)
+
+
 def read_json_records(spark: SparkSession, path: str,
                       schema: T.StructType = INSTRUCTION_SCHEMA) -> DataFrame:
     """JSON records, either one array of objects or JSON lines, under any suffix.
@@ -75,6 +87,14 @@ def read_json_records(spark: SparkSession, path: str,
     directory mixing both kinds does not pass silently in JSON-lines mode.
     """
     multiline = first_char(spark, path) == "["
+    if multiline:
+        # multiLine would silently keep one object of a JSON-lines file: every
+        # file must be an array (whole files are parsed by one task each in
+        # this mode anyway, so there are few of them)
+        fs, _ = _fs_and_path(spark, path)
+        kinds = {_first_char_of(fs, f) == "[" for f in _data_files(spark, path)}
+        if kinds != {True}:
+            raise ValueError(f"{path} mixes JSON arrays and JSON lines")
     return (spark.read.schema(schema).option("multiLine", multiline)
             .option("mode", "FAILFAST").json(path))
 

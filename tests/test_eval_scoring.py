@@ -131,3 +131,21 @@ def test_require_columns(spark):
     df = spark.createDataFrame(pd.DataFrame({"prompts": ["a"]}))
     with pytest.raises(ValueError):
         E.require_columns(df)
+
+
+def test_length_guard_modes(spark):
+    from tessera.operators.guards import length_guard
+    df = spark.createDataFrame([(1, [1] * 3), (2, [1] * 6)], "id long, input_ids array<int>")
+    assert [r.id for r in length_guard(df, 8, reserve=5, mode="drop").collect()] == [1]
+    assert {r.id: r.fits for r in length_guard(df, 8, reserve=5, mode="flag").collect()} == {1: True, 2: False}
+    assert length_guard(df, 6, mode="fail").count() == 2
+    with pytest.raises(Exception, match="Exceed max_length 8 < 11"):
+        length_guard(df, 8, reserve=5, mode="fail").collect()
+
+
+def test_vocab_decode_skips_special(spark):
+    from tessera.functions.tokens import encode_texts, get_encoder
+    enc = get_encoder("byte_bpe_50k")
+    ids = encode_texts(enc.kind, enc.path, ["hello 日本"])[0] + [enc.eos_id]
+    df = spark.createDataFrame([(ids,)], "ids array<int>")
+    assert df.select(enc.decode(F.col("ids")).alias("t")).first().t == "hello 日本"

@@ -83,3 +83,18 @@ def test_result_name():
     import datetime
     when = datetime.datetime(2024, 1, 2, 3, 4)
     assert K.result_name("jnli", "org/model-7b/", True, when) == "jnli_20240102_0304_model-7b_lora"
+
+
+def test_mixed_directory_is_an_error(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "mixed")
+    os.makedirs(d)
+    _write(os.path.join(d, "a.json"), json.dumps(RECORDS))
+    _write(os.path.join(d, "b.json"), "\n".join(json.dumps(r) for r in RECORDS))
+    with pytest.raises(Exception):
+        R.read_json_records(spark, d).collect()
+    d2 = os.path.join(tmp_dir, "mixed2")
+    os.makedirs(d2)
+    _write(os.path.join(d2, "a.json"), "\n".join(json.dumps(r) for r in RECORDS))
+    _write(os.path.join(d2, "b.json"), json.dumps(RECORDS, indent=2))
+    with pytest.raises(Exception):
+        R.read_json_records(spark, d2).collect()
