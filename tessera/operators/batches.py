@@ -109,6 +109,7 @@ def length_grouped_order(order: ExactOrder, size: int, length: Column,
     the shuffled order); then the first row of mega-batch 0 and the first row
     of the mega-batch with the longest row trade places. Mega-batches are
     bounded (at most 50 batches), so the window over them cannot be hot.
+    Rank a narrow table (id and length) so the two shuffles move no text.
     """
     by = list(order.by)
     if by:

@@ -188,8 +188,12 @@ def accuracy(expected: Column, generated: Column) -> Column:
     return F.avg(is_correct(expected, generated).cast("double"))
 
 
-def perplexity(loss: Column) -> Column:
-    """M2: exp of the mean per-example loss (each example weighs the same)."""
+def perplexity(loss: Column, skip_nan: bool = False) -> Column:
+    """M2: exp of the mean per-example loss (each example weighs the same).
+    An example without any target has a NaN loss, which makes the result NaN
+    unless ``skip_nan`` leaves such examples out of the mean."""
+    if skip_nan:
+        loss = F.when(~F.isnan(loss), loss)
     return F.exp(F.avg(loss))
 
 

@@ -183,9 +183,10 @@ select doc_id, cast(nm * msize + pos as bigint) as grouped_rank,
 from sw""")
 def length_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length-grouped batch order of the shuffled documents (batches of 8)."""
-    docs = tables.documents(spark, sf_dir).select("doc_id", "text")
+    # only (id, length) crosses the shuffles, never the text
+    docs = tables.documents(spark, sf_dir).select("doc_id", F.length("text").alias("len"))
     order = O.exact_rank(docs, "doc_id", SEED)
-    g = B.length_grouped_order(order, BATCH, F.length("text"))
+    g = B.length_grouped_order(order, BATCH, F.col("len"))
     return g.select("doc_id", "grouped_rank",
                     B.batch_of(F.col("grouped_rank"), BATCH).alias("batch"))
 

@@ -125,6 +125,10 @@ def test_loss_and_perplexity(spark):
     ppl = S.report(S.count_model_losses(df.filter("id <> 2"), lp), "p",
                    S.perplexity(F.col("loss")), 6).first().value
     assert ppl == pytest.approx(round(math.exp((losses[1] + losses[3]) / 2), 6))
+    all_losses = S.count_model_losses(df, lp)
+    assert math.isnan(all_losses.agg(S.perplexity(F.col("loss")).alias("p")).first().p)
+    skipped = all_losses.agg(S.perplexity(F.col("loss"), skip_nan=True).alias("p")).first().p
+    assert skipped == pytest.approx(math.exp((losses[1] + losses[3]) / 2))
 
 
 def test_require_columns(spark):
