@@ -49,27 +49,33 @@ def _model_of(scorer: Scorer):
     return _MODELS[key]
 
 
-def score(df: DataFrame, scorer: Scorer, id_col: str = "id") -> DataFrame:
+def score(df: DataFrame, scorer: Scorer, id_col: str = "id",
+          passthrough: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """G1: run ``scorer`` over every row as Arrow batches (``mapInPandas``).
 
-    Only the id and the scorer's input columns cross into Python (the
-    projection is applied first, because ``mapInPandas`` stops pruning).
-    Batch size follows ``spark.sql.execution.arrow.maxRecordsPerBatch``.
-    Output: the id and the scorer's columns, one row per input row.
+    Only the id, the scorer's input columns and the ``passthrough`` columns
+    cross into Python (the projection is applied first, because
+    ``mapInPandas`` stops pruning). Passing a small column such as the
+    expected answer through keeps it on its row, so pairing the replies with
+    it needs no join (and no shuffle). Batch size follows
+    ``spark.sql.execution.arrow.maxRecordsPerBatch``. Output: the id, the
+    passthrough columns and the scorer's columns, one row per input row.
     """
     ship_package(df.sparkSession)
-    cols = [id_col, *scorer.inputs]
+    keep = [c for c in passthrough if c not in scorer.inputs and c != id_col]
+    cols = [id_col, *scorer.inputs, *keep]
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise ValueError(f"scoring input lacks {missing}")
-    id_type = dict(df.dtypes)[id_col]
-    out_schema = f"{id_col} {id_type}, {scorer.schema}"
+    types = dict(df.dtypes)
+    out_schema = ", ".join([f"{c} {types[c]}" for c in (id_col, *keep)] + [scorer.schema])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _model_of(scorer)
         for pdf in batches:
-            res = scorer.score(model, pdf)
-            res.insert(0, id_col, pdf[id_col].values)
+            res = scorer.score(model, pdf).reset_index(drop=True)
+            for i, c in enumerate((id_col, *keep)):
+                res.insert(i, c, pdf[c].values)
             yield res
 
     return df.select(*cols).mapInPandas(run, out_schema)

@@ -42,9 +42,8 @@ def nli_accuracy_job(pairs: DataFrame, scorer: S.Scorer, shot: int = 0, language
     ev = E.require_columns(E.nli_eval_set(pairs, shot, language, id_col))
     checked = G.length_guard(ev.withColumn("input_ids", enc.encode(F.col("prompts"))),
                              max_length, reserve=new_tokens, mode=guard)
-    gen = S.score(checked.drop("input_ids"), scorer, id_col=id_col)
-    ans = gen.withColumn("answer", S.answer_after_last(F.col("generated"), marker))
-    paired = S.pair(ev.select(id_col, "expected"), ans.select(id_col, "answer"), id_col)
+    gen = S.score(checked.drop("input_ids"), scorer, id_col=id_col, passthrough=["expected"])
+    paired = gen.withColumn("answer", S.answer_after_last(F.col("generated"), marker))
     report = S.report(paired, "jnli", S.accuracy(F.col("expected"), F.col("answer")), 4)
     results = paired.select(F.col("expected").alias("ground"), F.col("answer").alias("generated"))
     if save_dir:

@@ -367,17 +367,18 @@ ans as (select sentence_pair_id, expected, generated,
 
 def _nli_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = E.require_columns(E.nli_eval_set(tables.nli(spark, sf_dir), shot=0, language="ja"))
+    # M3: the expected word rides through the scoring job with its row: no join
     gen = S.score(ev, S.RuleReplyScorer(temperature=0.01, top_p=0.75, top_k=40, num_beams=1),
-                  id_col="sentence_pair_id")
-    ans = gen.withColumn("answer", S.answer_after_last(F.col("generated"), E.RESPONSE_MARKERS["ja"]))
-    return S.pair(ev.select("sentence_pair_id", "expected"), ans, "sentence_pair_id")
+                  id_col="sentence_pair_id", passthrough=["expected"])
+    return gen.withColumn("answer", S.answer_after_last(F.col("generated"), E.RESPONSE_MARKERS["ja"]))
 
 
 @register("nli_generate", sql=_with(tables.NLI_SQL, NLI_ZERO_SQL, GEN_SQL) +
           "select sentence_pair_id, expected, generated, answer from ans")
 def nli_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1 + X2 + X3 + M3: score every prompt (test generator, Arrow batches),
-    take the text after the last marker, strip it, pair with the expected word."""
+    take the text after the last marker, strip it; the expected word stays on
+    its row through the job."""
     return _nli_answers(spark, sf_dir).select("sentence_pair_id", "expected", "generated", "answer")
 
 
