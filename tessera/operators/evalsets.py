@@ -74,12 +74,6 @@ def require_columns(df: DataFrame, cols=("prompts", "expected")) -> DataFrame:
     return df
 
 
-def shot_counts(shot: int) -> dict[int, int]:
-    """How many examples of each label ``shot`` examples take: example ``i``
-    has label ``i % 3``."""
-    return {lab: max(0, (shot - lab + 2) // 3) for lab in NLI_LABEL_WORDS}
-
-
 def few_shot_text(train: DataFrame, shot: int, order_col: str = "sentence_pair_id") -> Column:
     """W1 + W2: the few-shot block as a scalar subquery (one value).
 

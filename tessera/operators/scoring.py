@@ -108,23 +108,6 @@ def unigram_logprob_table(tokens: DataFrame, ids: str = "input_ids") -> DataFram
     return counts.select("tok", "n", F.log((F.col("n") + 1) / (tot + nv)).alias("logprob"))
 
 
-def unigram_logprob_map(tokens: DataFrame, ids: str = "input_ids") -> Column:
-    """The same model as one map value (scalar subquery), for lookups inside
-    row expressions without exploding or shuffling the rows."""
-    counts = tokens.select(F.explode(ids).alias("tok")).groupBy("tok").agg(
-        F.count(F.lit(1)).alias("n"))
-    agg = counts.agg(F.collect_list(F.struct("tok", "n")).alias("e"),
-                     F.sum("n").alias("_N"), F.count(F.lit(1)).alias("_V"))
-    m = agg.select(F.map_from_entries(F.transform(
-        "e", lambda x: F.struct(x["tok"], F.log((x["n"] + 1) / (F.col("_N") + F.col("_V")))))
-    ).alias("m"))
-    return m.scalar()
-
-
-def token_logprobs(ids: Column, lp_map: Column) -> Column:
-    return F.transform(ids, lambda t: F.element_at(lp_map, t))
-
-
 def count_model_losses(tok: DataFrame, lp_table: DataFrame, id_col: str = "id",
                        labels: str = "labels") -> DataFrame:
     """G3 + G2 as a join: every example's target tokens (labels at positions
