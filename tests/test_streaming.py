@@ -27,3 +27,30 @@ def test_stream_equals_batch(spark, tmp_dir):
     got = spark.read.parquet(out)
     key = [F.col("id")]
     assert sorted(map(tuple, got.orderBy(*key).collect())) == sorted(map(tuple, batch.orderBy(*key).collect()))
+
+
+def test_row_wise_chat_and_answers_on_stream(spark, tmp_dir):
+    from tessera.operators import chat as C
+    from tessera.operators import scoring as S
+    from tessera.sources.tables import conversations
+
+    src = os.path.join(tmp_dir, "conv")
+    conv = conversations(spark, SF_SMALL)
+    conv.write.parquet(src)
+
+    def build(df):
+        users = C.non_empty_user_turns(df)
+        return users.select(
+            "conv_id", "turn",
+            C.no_context_prompt(F.col("text")).alias("p2"),
+            C.single_turn_prompt(F.col("text")).alias("p3"),
+            S.answer_after_last(F.concat(F.col("text"), F.lit("\n### 返答:\n　ok ")), "### 返答:\n").alias("a"))
+
+    batch = build(conv)
+    out = os.path.join(tmp_dir, "conv_out")
+    q = ST.write_stream(build(ST.read_records_stream(spark, src, conv.schema)), out,
+                        "chat_test", trigger_once=True)
+    q.awaitTermination(120)
+    got = spark.read.parquet(out)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+    assert {r.a for r in got.collect()} == {"ok"}

@@ -50,6 +50,10 @@ def main():
     names = sys.argv[2:]
     reg = load_all()
     spark = local_session()
+    # extra session settings to check under, e.g. SPARK_CONF="spark.sql.ansi.enabled=false"
+    for kv in filter(None, os.environ.get("SPARK_CONF", "").split(",")):
+        k, v = kv.split("=", 1)
+        spark.conf.set(k, v)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
