@@ -571,3 +571,43 @@ def train_records_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = tokenize_records(recs, ALPACA, get_encoder("byte_bpe_50k"), cutoff_len=CUTOFF,
                            train_on_inputs=False)
     return _tokens_out(tok, "id")
+
+
+# --- variants: bounded chat history, Japanese question template ------------------------
+
+from .evaluation import perplexity_records  # noqa: E402
+
+RECENT = 4   # messages of history a bounded-context model keeps
+
+
+@register("chat_prompts_recent", sql=_with(
+    CHAT_SYS_SQL,
+    f"""msgs as (select conv_id, turn, role, {_msg_sql(_role_sql('role'), 'text')} as m
+         from conversations where role <> 'system')""",
+    f"""hist as (select conv_id, turn, role, array_to_string(list(m) over (partition by conv_id order by turn
+         rows between {RECENT - 1} preceding and current row), '') as h from msgs)""",
+) + f"""select h.conv_id, h.turn,
+       coalesce(sys.s, {sql_literal(C.JAPANESE_SYSTEM)}) || {sql_literal(C.JAPANESE_SEP)} || h.h
+       || {sql_literal(C.JAPANESE_ROLES[1] + ':')} as prompt
+from hist h left join sys on sys.conv_id = h.conv_id where h.role = 'user'""")
+def chat_prompts_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 with a bounded history: the latest 4 messages (sliding frame)."""
+    return C.conversation_prompts(tables.conversations(spark, sf_dir), max_messages=RECENT)
+
+
+VQA_JA = evaluation_template("ja")
+
+
+@register("vqa_records_ja", sql=_with(
+    tables.INST_SQL,
+    f"""enc as (select id, {codepoints_sql(render_sql(VQA_JA, 'instruction', "''", 'output'))} as ids0,
+       length({render_sql(VQA_JA, 'instruction', "''")}) as n from inst)""",
+    f"""tok as (select id, {_eos_sql('ids0', None)} as ids, n from enc)""",
+    """masked as (select id, ids, list_concat(list_transform(range(n), lambda x: -100),
+       case when len(ids) > n then ids[n + 1:] else []::integer[] end) as labels from tok)""",
+) + TOKENS_OUT_SQL)
+def vqa_records_ja(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3 (language ja -> Japanese question template) + T5 without truncation, prompt masked."""
+    qa = tables.inst(spark, sf_dir).select("id", F.col("instruction").alias("question"),
+                                           F.col("output").alias("answer"))
+    return _tokens_out(perplexity_records(qa, "ja", CodePoints(), PPL_MAX_LENGTH), "id")
