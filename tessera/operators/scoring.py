@@ -155,8 +155,9 @@ def answer_after_first(s: Column, marker: str, strict: bool = False) -> Column:
     return F.when(F.contains(s, F.lit(marker)), found).otherwise(other)
 
 
-def answer_after_last(s: Column, marker: str) -> Column:
+def answer_after_last(s: Column | str, marker: str) -> Column:
     """Text after the last marker, stripped; absent marker keeps the text."""
+    s = F.col(s) if isinstance(s, str) else s
     return py_strip(F.split_part(s, F.lit(marker), F.lit(-1)))
 
 
