@@ -46,8 +46,12 @@ def auto_digits(df: DataFrame) -> int:
 
 
 def order_key(id_col: str | Column, seed: int | str = DEFAULT_SEED) -> Column:
+    """``md5(id || ':' || seed)``; a null id fails the job (it would have no
+    place in the order, and the row must not vanish)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.md5(F.concat(c.cast("string"), F.lit(f":{seed}")))
+    checked = F.coalesce(c.cast("string"), F.raise_error(F.lit(
+        "null id: every row needs an id for the exact order")).cast("string"))
+    return F.md5(F.concat(checked, F.lit(f":{seed}")))
 
 
 def content_key(df: DataFrame, seed: int | str = DEFAULT_SEED) -> Column:

@@ -127,3 +127,9 @@ def test_no_single_partition_over_data(spark, table):
     singles = text.count("SinglePartition")
     assert singles == 1
     assert "rangepartitioning" not in text
+
+
+def test_null_id_fails(spark):
+    df = spark.createDataFrame([(1,), (None,)], "id long")
+    with pytest.raises(Exception, match="null id"):
+        O.exact_rank(df, "id").ranked.collect()
