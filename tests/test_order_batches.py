@@ -133,3 +133,24 @@ def test_null_id_fails(spark):
     df = spark.createDataFrame([(1,), (None,)], "id long")
     with pytest.raises(Exception, match="null id"):
         O.exact_rank(df, "id").ranked.collect()
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.sets(st.integers(min_value=-10**12, max_value=10**12), min_size=1, max_size=60),
+       st.data(), st.sampled_from([1, 2, 4]))
+def test_exact_split_property(spark, ids, data, digits):
+    ids = sorted(ids)
+    n_val = data.draw(st.integers(min_value=0, max_value=len(ids) - 1))
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    got = O.exact_split(df, "id", n_val, 42, digits=digits).ranked.collect()
+    want = md5_rank(ids)
+    assert len(got) == len(ids)
+    val = sorted((r.position, r.id) for r in got if r.split == "validation")
+    train = sorted((r.position, r.id) for r in got if r.split == "train")
+    assert [p for p, _ in val] == list(range(1, n_val + 1))
+    assert [p for p, _ in train] == list(range(1, len(ids) - n_val + 1))
+    assert [i for _, i in val] == sorted(ids, key=lambda i: want[i])[:n_val]
