@@ -76,3 +76,21 @@ def ship_package(spark: SparkSession | None = None) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(zpath)
     _SHIPPED.add(sc.applicationId)
+
+
+def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a cluster run over ``input_bytes`` of input: enough shuffle
+    partitions that each holds about ``partition_bytes`` before AQE coalesces
+    the small ones, AQE skew-join on, scan splits of the same size, and Arrow
+    batches small enough for long texts in Python workers."""
+    parts = max(200, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        "spark.python.worker.reuse": "true",
+    }
