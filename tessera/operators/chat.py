@@ -79,9 +79,7 @@ def conversation_prompts(conv: DataFrame, style: ConversationStyle = JAPANESE,
         "conv_id", "turn", "role",
         _message(_role_name(F.col("role"), style), F.col("text"), style.sep).alias("_m"))
     if max_messages is not None:
-        w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(
-            -(max_messages - 1), Window.currentRow)
-        hist = msgs.withColumn("_h", F.array_join(F.collect_list("_m").over(w), ""))
+        return _recent_prompts(conv, msgs, style, max_messages, chunk)
     else:
         msgs = msgs.withColumn("_c", F.floor(F.col("turn") / F.lit(chunk)).cast("bigint"))
         inside = Window.partitionBy("conv_id", "_c").orderBy("turn").rowsBetween(
@@ -110,6 +108,49 @@ def conversation_prompts(conv: DataFrame, style: ConversationStyle = JAPANESE,
                  F.lit(style.roles[1] + ":")).alias("prompt"))
 
 
+def _recent_prompts(conv: DataFrame, msgs: DataFrame, style: ConversationStyle, k: int,
+                    chunk: int) -> DataFrame:
+    """C1 with the latest ``k`` messages, spread over tasks like the whole
+    history: inside a chunk of turns a sliding frame gives the local part;
+    the messages a chunk's first rows need from before the chunk (its "tail",
+    the last ``k - 1`` messages before it) come from the ``k - 1`` chunks
+    before it, each of which holds at least one message, through a bounded
+    frame over the chunk rows. Every frame holds at most ``k`` items."""
+    if k < 1:
+        raise ValueError("max_messages must be >= 1")
+    msgs = msgs.withColumn("_c", F.floor(F.col("turn") / F.lit(chunk)).cast("bigint"))
+    inside = Window.partitionBy("conv_id", "_c").orderBy("turn")
+    local = (msgs.withColumn("_l", F.collect_list("_m").over(
+                 inside.rowsBetween(-(k - 1), Window.currentRow)))
+             .withColumn("_back", F.row_number().over(
+                 Window.partitionBy("conv_id", "_c").orderBy(F.col("turn").desc()))))
+    # each chunk's own last k-1 messages, in order (at most k-1 items)
+    # (one row per chunk, also when k = 1 and the list is empty)
+    own = (local.groupBy("conv_id", "_c")
+           .agg(F.transform(F.array_sort(F.collect_list(
+               F.when(F.col("_back") <= F.lit(k - 1), F.struct("turn", "_m")))),
+               lambda x: x["_m"]).alias("_own")))
+    before = Window.partitionBy("conv_id").orderBy("_c").rowsBetween(-max(k - 1, 1), -1)
+    tails = own.select("conv_id", "_c", F.flatten(F.collect_list("_own").over(before))
+                       .alias("_all")).select(
+        "conv_id", "_c",
+        F.when(F.size("_all") > 0, F.slice("_all", F.greatest(F.size("_all") - F.lit(k - 2), F.lit(1)),
+                                           F.lit(max(k - 1, 0))))
+        .otherwise(F.array().cast("array<string>")).alias("_tail"))
+    tails = tails.join(_system_text(conv, style), "conv_id", "left").select(
+        "conv_id", "_c", "_tail",
+        F.concat(F.coalesce(F.col("_sys"), F.lit(style.system)), F.lit(style.sep)).alias("_p"))
+    users = local.filter(F.col("role") == "user").join(tails, ["conv_id", "_c"], "left")
+    need = F.lit(k) - F.size("_l")
+    tail = F.coalesce(F.col("_tail"), F.array().cast("array<string>"))
+    picked = F.when(need > 0, F.slice(tail, F.greatest(F.size(tail) - need + 1, F.lit(1)), need)) \
+        .otherwise(F.array().cast("array<string>"))
+    return users.select("conv_id", "turn", F.concat(
+        F.coalesce(F.col("_p"), F.concat(F.lit(style.system), F.lit(style.sep))),
+        F.array_join(F.concat(picked, F.col("_l")), ""),
+        F.lit(style.roles[1] + ":")).alias("prompt"))
+
+
 def no_context_prompts(conv: DataFrame, style: ConversationStyle = JAPANESE) -> DataFrame:
     """Only the current user message and the empty reply slot (the system
     text is kept). Row-wise, so it also runs on a stream (without the

@@ -26,7 +26,9 @@ def conv(spark):
     return spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
 
 
-@pytest.mark.parametrize("max_messages,chunk", [(None, 256), (None, 1), (None, 2), (None, 4), (2, 256), (3, 256)])
+@pytest.mark.parametrize("max_messages,chunk", [
+    (None, 256), (None, 1), (None, 2), (None, 4), (2, 256), (3, 256),
+    (1, 1), (2, 1), (3, 1), (3, 2), (4, 2), (5, 3), (6, 1)])
 def test_history_prompts(conv, max_messages, chunk):
     got = {(r.conv_id, r.turn): r.prompt for r in
            C.conversation_prompts(conv, max_messages=max_messages, chunk=chunk).collect()}
