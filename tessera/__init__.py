@@ -24,3 +24,4 @@ from .operators.tokenize import decode_column, encode_column, tokenize_records
 from .sources.readers import read_instructions, read_nested_qa  # noqa: E402,F401
 from .sources.sinks import write_csv, write_jsonl, write_results  # noqa: E402,F401
 from .plans import evaluation, training  # noqa: E402,F401
+from .plans import chat  # noqa: E402,F401

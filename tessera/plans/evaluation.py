@@ -74,3 +74,70 @@ def perplexity_job(qa: DataFrame, scorer: S.Scorer | None = None, language: str
     else:
         losses = S.score(tok, scorer, id_col=id_col)
     return S.report(losses, "ppl-vqa", S.perplexity(F.col("loss")), 6)
+
+
+def load_scorer(spec: str, **options) -> S.Scorer:
+    """``package.module:ClassName`` -> an instance of that Scorer subclass."""
+    import importlib
+
+    mod, _, cls = spec.partition(":")
+    scorer = getattr(importlib.import_module(mod), cls)(**options)
+    if not isinstance(scorer, S.Scorer):
+        raise TypeError(f"{spec} is not a Scorer")
+    return scorer
+
+
+def main(argv=None) -> None:
+    """Command line: accuracy of the inference task or perplexity of QA pairs.
+
+    python -m tessera.plans.evaluation --task jnli --data pairs.parquet \\
+        --scorer mypkg.models:MyScorer --shot 3 --format-lang ja --save-dir out/
+    python -m tessera.plans.evaluation --task ppl-vqa --data question_answers.json
+    """
+    import argparse
+
+    from pyspark.sql import SparkSession
+
+    from ..sources.readers import read_instructions, read_nested_qa
+
+    ap = argparse.ArgumentParser(description="evaluation jobs")
+    ap.add_argument("--task", choices=["jnli", "ppl-vqa"], required=True)
+    ap.add_argument("--data", required=True,
+                    help="jnli: pairs (parquet/json) with a split column; ppl-vqa: nested QA JSON "
+                         "or a flat question/answer table")
+    ap.add_argument("--scorer", help="package.module:ScorerClass (jnli: required; "
+                                     "ppl-vqa: default is the count model)")
+    ap.add_argument("--shot", type=int, default=0)
+    ap.add_argument("--format-lang", choices=["ja", "en"], default="ja")
+    ap.add_argument("--max-length", type=int, default=MAX_LENGTH)
+    ap.add_argument("--guard", choices=["fail", "drop", "flag"], default="fail")
+    ap.add_argument("--save-dir", default=None)
+    ap.add_argument("--model-path", default="model")
+    ap.add_argument("--lora", action="store_true")
+    args = ap.parse_args(argv)
+    spark = SparkSession.builder.appName(f"tessera-eval-{args.task}").getOrCreate()
+    if args.task == "jnli":
+        if not args.scorer:
+            ap.error("--scorer is required for jnli")
+        pairs = (spark.read.parquet(args.data) if not args.data.endswith((".json", ".jsonl"))
+                 else spark.read.json(args.data))
+        report, _ = nli_accuracy_job(pairs, load_scorer(args.scorer), args.shot, args.format_lang,
+                                     max_length=args.max_length, guard=args.guard,
+                                     save_dir=args.save_dir, model_path=args.model_path,
+                                     lora=args.lora)
+    else:
+        if args.data.endswith(".json"):
+            qa = read_nested_qa(spark, args.data)
+        else:
+            qa = read_instructions(spark, args.data)
+        from .training import with_record_id
+        qa = with_record_id(qa)
+        scorer = load_scorer(args.scorer) if args.scorer else None
+        report = perplexity_job(qa, scorer, args.format_lang, max_length=args.max_length,
+                                guard=args.guard)
+    for r in report.collect():
+        print(f"{r.task}: n={r.n} value={r.value}")
+
+
+if __name__ == "__main__":
+    main()
