@@ -55,13 +55,17 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession | None = None) -> None:
     """Make this package importable in the Python workers (what ``--py-files``
     does): zip it once per application and ``addPyFile`` it. Called by every
-    operator that starts Python workers (vocabulary encoders, scoring job);
-    harmless where the package is installed on the workers anyway."""
+    operator that starts Python workers (vocabulary encoders, scoring job).
+    The zip is a driver-side artifact that Spark itself copies to the
+    executors (no job data goes there). Set ``spark.tessera.shipPackage=false``
+    where the package is installed on the executors."""
     import zipfile
 
     spark = spark or SparkSession.getActiveSession()
     if spark is None:
         return
+    if spark.conf.get("spark.tessera.shipPackage", "true").lower() == "false":
+        return   # installed on the executors already
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

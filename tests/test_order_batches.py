@@ -154,3 +154,16 @@ def test_exact_split_property(spark, ids, data, digits):
     assert [p for p, _ in val] == list(range(1, n_val + 1))
     assert [p for p, _ in train] == list(range(1, len(ids) - n_val + 1))
     assert [i for _, i in val] == sorted(ids, key=lambda i: want[i])[:n_val]
+
+
+def test_bucket_digits_follow_size(spark):
+    assert O.auto_digits(spark.range(1000)) == 4
+    # 10**13 longs: the optimizer estimates 80 TB without running anything
+    assert O.auto_digits(spark.range(10 ** 13)) == 5
+
+
+def test_scale_conf():
+    from tessera.session import scale_conf
+    conf = scale_conf(100 * 10 ** 12)
+    assert int(conf["spark.sql.shuffle.partitions"]) > 300_000
+    assert scale_conf(10)["spark.sql.shuffle.partitions"] == "200"
