@@ -4,7 +4,7 @@ padded batches written as parquet.
     read (S1) -> exact split + shuffle (W3/W5, one ranking pass) ->
     render + encode + end-of-text + mask (T5, after the shuffle so the shuffle
     moves text) -> batches + left padding (B1/B2) -> parquet, one folder per
-    split, files in shuffled order.
+    split, each file sorted by position (whole runs of positions per file).
 
 Usable as a library call or from the command line:
 

@@ -47,7 +47,7 @@ def test_training_plan_moves_text_once(spark):
     assert plan.count("REPARTITION_BY_COL") == 2
     assert "rangepartitioning" not in plan               # no sampling pass over the input
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
-    # the width window reuses the range partitioning: no exchange on (split, _bucket, batch)
+    # the width window reuses the bucket partitioning: no exchange on (split, _bucket, batch)
     assert "hashpartitioning(split#" not in plan.split("BroadcastExchange")[0]
 
 
