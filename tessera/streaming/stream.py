@@ -1,8 +1,9 @@
 """Structured Streaming: the row-wise operators on unbounded input.
 
 Rendering, encoding, end-of-text, masks (R*, T*), single-turn and
-no-context chat prompts (C2-C6) and answer extraction (X*) hold no state and
-contain no action, so the same functions take a streaming DataFrame. The
+no-context chat prompts (C2-C6), the scoring job (G1, ``mapInPandas``) and
+answer extraction (X*) hold no state and contain no action, so the same
+functions take a streaming DataFrame. The
 operators that need a whole table (exact rank, batches, few-shot choice,
 conversation history: W*, B*, C1) are batch only; Spark refuses their row
 windows on a stream.

@@ -54,3 +54,26 @@ def test_row_wise_chat_and_answers_on_stream(spark, tmp_dir):
     got = spark.read.parquet(out)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
     assert {r.a for r in got.collect()} == {"ok"}
+
+
+def test_scoring_job_on_stream(spark, tmp_dir):
+    from tessera.operators import evalsets as E
+    from tessera.operators import scoring as S
+    from tessera.sources.tables import nli
+
+    src = os.path.join(tmp_dir, "pairs")
+    nli(spark, SF_SMALL).write.parquet(src)
+    pairs = spark.read.parquet(src)
+
+    def build(df):
+        ev = E.nli_eval_set(df, shot=0, language="ja")
+        gen = S.score(ev, S.RuleReplyScorer(), id_col="sentence_pair_id", passthrough=["expected"])
+        return gen.withColumn("answer", S.answer_after_last(F.col("generated"), "### 返答:\n"))
+
+    batch = build(pairs)
+    out = os.path.join(tmp_dir, "replies")
+    q = ST.write_stream(build(ST.read_records_stream(spark, src, pairs.schema)), out,
+                        "score_test", trigger_once=True)
+    q.awaitTermination(120)
+    got = spark.read.parquet(out)
+    assert sorted(map(tuple, got.select(*batch.columns).collect())) == sorted(map(tuple, batch.collect()))
