@@ -34,6 +34,11 @@ def tokenize_records(df: DataFrame, template: Template, encoder: Encoder | None
     keep = list(keep if keep is not None else [c for c in ("id",) if c in df.columns])
     trunc = cutoff_len if truncation else None
     ins, inp, out = F.col(instruction), F.col(input), F.col(output)
+    if enc.native and trunc is not None:
+        # one id per character: the first `trunc` characters of the prompt only
+        # ever use the first `trunc` characters of each value, so long
+        # documents are cut before rendering instead of copied whole
+        ins, inp, out = (F.substring(c.cast("string"), 1, max(trunc, 1)) for c in (ins, inp, out))
     full = render(template, ins, inp, out)
     cols = [F.col(c) for c in keep]
     staged = df.select(*cols, enc.encode(full, trunc).alias("_ids"),
