@@ -3,6 +3,7 @@ the test tables: generated ids (``spark.range``), so it measures the
 algorithms, not a query. Each result is checked independently.
 
 Usage: python tools/scale_check.py [rows ...]
+       SCALE_JOB_COPIES=100 python tools/scale_check.py   # also the training job on 100x documents
 """
 
 from __future__ import annotations
@@ -45,12 +46,47 @@ def check_pad(spark, n: int) -> str:
     return f"pad_batches n={n:,}: {time.time() - t:.1f}s wrong_batches={bad}"
 
 
+def check_training_job(spark, sf_dir: str, copies: int, work: str) -> str:
+    """The whole training data job on ``copies`` copies of the documents table
+    (each copy a distinct id; whole texts as instructions), written as parquet."""
+    from tessera.functions.templates import get_template
+    from tessera.functions.tokens import CodePoints
+    from tessera.plans import training as TR
+
+    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
+    recs_path = os.path.join(work, "records")
+    (docs.select("doc_id", "text", "source",
+                 F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("k"))
+     .select((F.col("k") * 1_000_000 + F.col("doc_id")).alias("id"),
+             F.col("text").alias("instruction"), F.lit("").alias("input"),
+             F.col("source").alias("output"))
+     .write.parquet(recs_path))
+    recs = spark.read.parquet(recs_path)
+    t = time.time()
+    out_path = os.path.join(work, "batches")
+    TR.write_batches(TR.training_batches(recs, get_template("alpaca"), CodePoints(), 256, 16, 2,
+                                         val_set_size=2000), out_path)
+    el = time.time() - t
+    out = spark.read.parquet(out_path)
+    r = out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"),
+                F.sum(F.when(F.col("split") == "validation", 1).otherwise(0)).alias("val")).first()
+    mixed = (out.groupBy("split", "batch").agg(F.countDistinct(F.size("input_ids")).alias("k"))
+             .filter("k <> 1").count())
+    return (f"training job rows={r.n:,}: {el:.1f}s distinct_ids={r.ids:,} validation={r.val} "
+            f"mixed_width_batches={mixed}")
+
+
 def main() -> None:
     sizes = [int(x) for x in sys.argv[1:]] or [10_000_000, 40_000_000]
     spark = local_session(8, shuffle_partitions=64)
     for n in sizes:
         print(check_split(spark, n), flush=True)
     print(check_pad(spark, min(sizes[0], 5_000_000)), flush=True)
+    if os.environ.get("SCALE_JOB_COPIES"):
+        import tempfile
+        work = tempfile.mkdtemp(prefix="tessera-scale-")   # local experiment only
+        print(check_training_job(spark, os.environ.get("SCALE_SF_DIR", "/root/testdata/sf0.1"),
+                                 int(os.environ["SCALE_JOB_COPIES"]), work), flush=True)
 
 
 if __name__ == "__main__":
