@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.templates import Template, render
 from ..functions.tokens import CodePoints, Encoder, append_eos, mask_prefix, ones_like
+from ..session import ship_package
 
 
 def tokenize_records(df: DataFrame, template: Template, encoder: Encoder | None = None,
@@ -29,6 +30,8 @@ def tokenize_records(df: DataFrame, template: Template, encoder: Encoder | None
     point), so nothing is encoded twice.
     """
     enc = encoder or CodePoints()
+    if not enc.native:
+        ship_package(df.sparkSession)
     if add_eos and enc.eos_id is None:
         raise ValueError(f"encoder {enc.name} has no end-of-text id")
     keep = list(keep if keep is not None else [c for c in ("id",) if c in df.columns])
@@ -60,6 +63,8 @@ def encode_column(df: DataFrame, text: str, encoder: Encoder | None = None,
                   out: str = "input_ids", cutoff: int | None = None) -> DataFrame:
     """Encode one text column (no end-of-text, no mask)."""
     enc = encoder or CodePoints()
+    if not enc.native:
+        ship_package(df.sparkSession)
     return df.withColumn(out, enc.encode(F.col(text), cutoff))
 
 
@@ -67,4 +72,6 @@ def decode_column(df: DataFrame, ids: str, encoder: Encoder | None = None,
                   out: str = "text", skip_special: bool = True) -> DataFrame:
     """Ids back to text, special ids skipped."""
     enc = encoder or CodePoints()
+    if not enc.native:
+        ship_package(df.sparkSession)
     return df.withColumn(out, enc.decode(F.col(ids), skip_special))
