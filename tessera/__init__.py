@@ -18,8 +18,8 @@ from .operators.evalsets import few_shot_text, label_word, nli_eval_set, select_
 from .operators.guards import length_guard  # noqa: E402,F401
 from .operators.order import exact_rank, exact_split, shuffle_rows  # noqa: E402,F401
 from .operators.scoring import (  # noqa: E402,F401
-    Scorer, accuracy, answer_after_first, answer_after_last, choice_share, count_model_losses,
-    example_loss, perplexity, py_strip, report, score, unigram_logprob_table)
+    Scorer, accuracy, answer_after_first, answer_after_last, choice_share, count_model,
+    example_loss, perplexity, py_strip, report, score)
 from .operators.tokenize import decode_column, encode_column, tokenize_records  # noqa: E402,F401
 from .sources.readers import read_instructions, read_nested_qa  # noqa: E402,F401
 from .sources.sinks import write_csv, write_jsonl, write_results  # noqa: E402,F401

@@ -98,31 +98,44 @@ class RuleReplyScorer(Scorer):
 
 # --- G3: count-based token scorer ------------------------------------------------
 
-def unigram_logprob_table(tokens: DataFrame, ids: str = "input_ids") -> DataFrame:
-    """Add-one unigram model of the tokens of a table: (tok, n, logprob).
-    One row per distinct token, so its size is bounded by the vocabulary."""
-    counts = tokens.select(F.explode(ids).alias("tok")).groupBy("tok").agg(
-        F.count(F.lit(1)).alias("n"))
-    tot = F.sum("n").over(Window.partitionBy())
-    nv = F.count(F.lit(1)).over(Window.partitionBy())
-    return counts.select("tok", "n", F.log((F.col("n") + 1) / (tot + nv)).alias("logprob"))
-
-
-def count_model_losses(tok: DataFrame, lp_table: DataFrame, id_col: str = "id",
-                       labels: str = "labels") -> DataFrame:
-    """G3 + G2 as a join: every example's target tokens (labels at positions
-    2..n that are not -100) meet their log-probability through a broadcast
-    join with the token table (bounded by the vocabulary), and a partial +
-    final aggregate per example gives the mean. The exploded targets of one
-    example sit in one partition, so the partial aggregate leaves about one
-    row per example for the shuffle. No target: NaN."""
-    n = F.greatest(F.size(labels) - 1, F.lit(0))
-    targets = F.filter(F.slice(labels, 2, n), lambda l: l != F.lit(IGNORE_INDEX))
-    exploded = tok.select(id_col, F.explode_outer(targets).alias("tok"))
-    scored = exploded.join(F.broadcast(lp_table.select("tok", "logprob")), "tok", "left")
-    agg = scored.groupBy(id_col).agg(F.sum("logprob").alias("_s"), F.count("logprob").alias("_c"))
-    return agg.select(id_col, F.when(F.col("_c") == 0, F.lit(float("nan")))
-                      .otherwise(-F.col("_s") / F.col("_c")).alias("loss"))
+def count_model(tok: DataFrame, id_col: str = "id", ids: str = "input_ids",
+                labels: str = "labels") -> tuple[DataFrame, DataFrame]:
+    """G3 + G2 in one pass over the token arrays: (token table, losses).
+
+    The add-one unigram model of all tokens of the table, ``log((n + 1) /
+    (N + V))``, scores each example's targets (labels at positions 2..n that
+    are not -100; their mean negative log-probability is the loss; no target:
+    NaN). Every example's tokens are exploded once and pre-aggregated per
+    (example, token); the token table (one row per distinct token, so bounded
+    by the vocabulary) sums that aggregate per token, and the losses join the
+    table's target tokens back (broadcast) and sum per example. Both read the
+    same aggregate, so Spark builds the token arrays once and reuses its
+    exchange.
+    """
+    n = F.size(ids)
+    pairs = F.zip_with(ids, F.slice(labels, 1, n), lambda t, l: F.struct(t.alias("t"), l.alias("l")))
+    exploded = tok.select(id_col, F.posexplode_outer(pairs).alias("_p", "_x")).select(
+        id_col, F.col("_x.t").alias("tok"),
+        F.coalesce((F.col("_p") >= 1) & (F.col("_x.l") != F.lit(IGNORE_INDEX)), F.lit(False))
+        .cast("int").alias("_tgt"))
+    per = exploded.groupBy(id_col, "tok").agg(F.count("tok").alias("_all"),
+                                              F.sum("_tgt").alias("_tgt"))
+    # (a row without tokens yields a null token with n = 0: it adds nothing to N,
+    # and V counts non-null tokens; filtering it out here would be pushed below
+    # the shared aggregate and split the two branches again)
+    counts = per.groupBy("tok").agg(F.sum("_all").alias("n"), F.sum("_tgt").alias("n_target"))
+    everything = Window.partitionBy()
+    table = counts.select("tok", F.col("n").cast("bigint").alias("n"), "n_target", F.log(
+        (F.col("n") + 1) / (F.sum("n").over(everything) + F.count("tok").over(everything))
+    ).alias("logprob"))
+    targets = table.filter(F.col("n_target") > 0).select("tok", "logprob")
+    scored = per.join(F.broadcast(targets), "tok", "left")
+    agg = scored.groupBy(id_col).agg(F.sum(F.col("_tgt") * F.col("logprob")).alias("_s"),
+                                     F.sum("_tgt").alias("_c"), F.sum("_all").alias("_n"))
+    # an example without tokens or without targets has no loss
+    losses = agg.select(id_col, F.when((F.col("_n") == 0) | (F.col("_c") == 0), F.lit(float("nan")))
+                        .otherwise(-F.col("_s") / F.col("_c")).alias("loss"))
+    return table.filter(F.col("tok").isNotNull()), losses
 
 
 # --- G2: loss of one example ---------------------------------------------------------

@@ -70,7 +70,7 @@ def perplexity_job(qa: DataFrame, scorer: S.Scorer | None = None, language: str
     ``input_ids`` and ``labels``; without one the count model scores."""
     tok = perplexity_records(qa, language, encoder, max_length, guard, id_col)
     if scorer is None:
-        losses = S.count_model_losses(tok, S.unigram_logprob_table(tok), id_col)
+        _, losses = S.count_model(tok, id_col)
     else:
         losses = S.score(tok, scorer, id_col=id_col)
     return S.report(losses, "ppl-vqa", S.perplexity(F.col("loss")), 6)

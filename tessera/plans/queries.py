@@ -446,14 +446,14 @@ def vqa_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 select cast(tok as integer) as tok, cast(c as bigint) as n, round(logprob, 6) as logprob from lp""")
 def token_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Add-one unigram log-probability of every token of the scored table."""
-    t = S.unigram_logprob_table(_vqa_tokens(spark, sf_dir))
+    t, _ = S.count_model(_vqa_tokens(spark, sf_dir))
     return t.select("tok", F.col("n").cast("bigint").alias("n"),
                     F.round("logprob", 6).alias("logprob"))
 
 
 def _losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tok = _vqa_tokens(spark, sf_dir)
-    return S.count_model_losses(tok, S.unigram_logprob_table(tok))
+    _, losses = S.count_model(_vqa_tokens(spark, sf_dir))
+    return losses
 
 
 @register("example_loss", sql=_with(tables.INST_SQL, VQA_TOK_SQL) + """

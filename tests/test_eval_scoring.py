@@ -105,11 +105,11 @@ def test_scoring_job_keeps_ids(spark):
 def test_loss_and_perplexity(spark):
     rows = [(1, [5, 6, 7, 5], [-100, -100, 7, 5]), (2, [5, 6], [-100, -100]), (3, [6, 6, 7], [6, 6, 7])]
     df = spark.createDataFrame(rows, "id long, input_ids array<int>, labels array<int>")
-    lp = S.unigram_logprob_table(df)
+    lp, loss_df = S.count_model(df)
     table = {r.tok: r.logprob for r in lp.collect()}
     N, V = 9, 3
     assert table[5] == pytest.approx(math.log((3 + 1) / (N + V)))
-    losses = {r.id: r.loss for r in S.count_model_losses(df, lp).collect()}
+    losses = {r.id: r.loss for r in loss_df.collect()}
     assert losses[1] == pytest.approx(-(table[7] + table[5]) / 2)
     assert math.isnan(losses[2])
     assert losses[3] == pytest.approx(-(table[6] + table[7]) / 2)
@@ -122,10 +122,9 @@ def test_loss_and_perplexity(spark):
             assert math.isnan(r.loss)
         else:
             assert r.loss == pytest.approx(losses[r.id])
-    ppl = S.report(S.count_model_losses(df.filter("id <> 2"), lp), "p",
-                   S.perplexity(F.col("loss")), 6).first().value
+    ppl = S.report(loss_df.filter("id <> 2"), "p", S.perplexity(F.col("loss")), 6).first().value
     assert ppl == pytest.approx(round(math.exp((losses[1] + losses[3]) / 2), 6))
-    all_losses = S.count_model_losses(df, lp)
+    all_losses = loss_df
     assert math.isnan(all_losses.agg(S.perplexity(F.col("loss")).alias("p")).first().p)
     skipped = all_losses.agg(S.perplexity(F.col("loss"), skip_nan=True).alias("p")).first().p
     assert skipped == pytest.approx(math.exp((losses[1] + losses[3]) / 2))
