@@ -111,10 +111,6 @@ def _load(kind: str, path: str):
     if obj is not None:
         return obj
     if kind == "tokenizers":
-        import os
-
-        # Spark already runs one task per core: one thread per task, no oversubscription
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         obj = Tokenizer.from_file(path)
