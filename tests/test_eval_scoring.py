@@ -152,3 +152,12 @@ def test_vocab_decode_skips_special(spark):
     ids = encode_texts(enc.kind, enc.path, ["hello 日本"])[0] + [enc.eos_id]
     df = spark.createDataFrame([(ids,)], "ids array<int>")
     assert df.select(enc.decode(F.col("ids")).alias("t")).first().t == "hello 日本"
+
+
+def test_pair_is_inner_join_on_id(spark):
+    exp = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, expected string")
+    gen = spark.createDataFrame([(2, "xb"), (3, "zz"), (4, "d")], "id long, generated string")
+    got = sorted(tuple(r) for r in S.pair(exp, gen).collect())
+    assert got == [(2, "b", "xb"), (3, "c", "zz")]
+    r = S.report(S.pair(exp, gen), "t", S.accuracy(F.col("expected"), F.col("generated")), 4).first()
+    assert (r.n, r.value) == (2, 0.5)
