@@ -51,9 +51,15 @@ def training_batches(records: DataFrame, template: Template, encoder: Encoder,
                      cutoff_len: int | None, micro_batch_size: int, devices: int = 1,
                      val_set_size: int = VAL_SET_SIZE, seed: int | str = SPLIT_SEED,
                      shuffle_seed: int | str | None = None, train_on_inputs: bool = True,
-                     pad_id: int | None = None, id_col: str = "id") -> DataFrame:
+                     pad_id: int | None = None, id_col: str = "id",
+                     group_by_length: bool = False) -> DataFrame:
     """The whole training data plan as one lazy DataFrame with columns
-    ``id, split, position, batch, width, input_ids, attention_mask, labels``."""
+    ``id, split, position, batch, width, input_ids, attention_mask, labels``.
+
+    ``group_by_length`` (off by default, as in the training job) orders the
+    train split by the length-grouped rule (B3) before batching, as a
+    length-grouped training sampler does; validation keeps the shuffled order.
+    """
     recs = with_record_id(records, id_col).select(id_col, "instruction", "input", "output")
     order = O.exact_split(recs, id_col, val_set_size, seed, shuffle_seed=shuffle_seed)
     order = order.derive(lambda d: tokenize_records(
@@ -63,9 +69,34 @@ def training_batches(records: DataFrame, template: Template, encoder: Encoder,
     if pad is None:
         raise ValueError(f"encoder {encoder.name} has no pad id; pass pad_id")
     size = B.device_batch_size(micro_batch_size, devices)
+    cols = [id_col, "split", "position", "batch", "width", "input_ids", "attention_mask", "labels"]
     out = B.pad_batches(order, size, pad_id=pad)
-    return out.select(id_col, "split", "position", "batch", "width",
-                      "input_ids", "attention_mask", "labels")
+    if not group_by_length:
+        return out.select(*cols)
+    return out.filter(F.col("split") == "validation").select(*cols).unionByName(
+        _grouped_train(order, size, pad, id_col).select(*cols))
+
+
+def _grouped_train(order: O.ExactOrder, size: int, pad: int, id_col: str) -> DataFrame:
+    """Train rows in length-grouped order, batched and left-padded. Mega-batches
+    hold at most 50 batches, so the width window over a batch is bounded."""
+    from pyspark.sql import Window
+
+    train_off = order.offsets.filter(F.col("split") == "train")
+    train_off = train_off.withColumn("_total", F.sum("_n").over(Window.partitionBy()))
+    train = O.ExactOrder(order.ranked.filter(F.col("split") == "train"), train_off,
+                         order.rank_col, (), order.digits)
+    grouped = B.length_grouped_order(train, size, F.size("input_ids"), out_col="_g")
+    batched = (grouped.withColumn("position", F.col("_g"))
+               .withColumn("batch", B.batch_of(F.col("_g"), size)))
+    w = Window.partitionBy("batch")
+    width = B.round_up(F.max(F.size("input_ids")).over(w), 8)
+    lwidth = B.round_up(F.max(F.size("labels")).over(w), 8)
+    return batched.select(
+        id_col, "split", "position", "batch", width.alias("width"),
+        B.pad_left(F.col("input_ids"), width, pad).alias("input_ids"),
+        B.pad_left(F.col("attention_mask"), width, 0).alias("attention_mask"),
+        B.pad_left(F.col("labels"), lwidth, -100).alias("labels"))
 
 
 def write_batches(batches: DataFrame, out: str, mode: str = "errorifexists",
@@ -91,12 +122,14 @@ def main(argv=None) -> None:
     ap.add_argument("--devices", type=int, default=1)
     ap.add_argument("--val-set-size", type=int, default=VAL_SET_SIZE)
     ap.add_argument("--pad-id", type=int)
+    ap.add_argument("--group-by-length", action="store_true")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("tessera-training-data").getOrCreate()
     records = read_instructions(spark, args.data)
     df = training_batches(records, training_template(args.japanese), get_encoder(args.encoder),
                           args.cutoff_len, args.micro_batch_size, args.devices,
-                          args.val_set_size, pad_id=args.pad_id)
+                          args.val_set_size, pad_id=args.pad_id,
+                          group_by_length=args.group_by_length)
     write_batches(df, args.out)
     n = spark.read.parquet(args.out).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
     for r in n.collect():

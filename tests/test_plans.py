@@ -95,3 +95,31 @@ def test_identical_records_spread_and_split_exactly(spark, tmp_dir):
         from tessera.operators.order import exact_rank
         per_bucket = exact_rank(keyed, "id", digits=1).ranked.groupBy("_bucket").count().collect()
         assert max(r["count"] for r in per_bucket) < 600 / 16 * 2
+
+
+def test_training_job_group_by_length(spark):
+    import hashlib
+    import math
+
+    from .test_order_batches import py_length_grouped
+
+    recs = tables.inst(spark, SF_CHECK)
+    df = TR.training_batches(recs, get_template("alpaca"), CodePoints(), 256, 16, 2,
+                             val_set_size=20, group_by_length=True)
+    rows = df.collect()
+    base = {r.id: r for r in REG["train_batches"].run(spark, SF_CHECK).collect()}
+    val = [r for r in rows if r.split == "validation"]
+    assert len(val) == 20 and all(r.position == base[r.id].position for r in val)
+    train = [r for r in rows if r.split == "train"]
+    ids = [r.id for r in recs.select("id").collect()]
+    keyed = sorted(ids, key=lambda i: (hashlib.md5(f"{i}:42".encode()).hexdigest(), i))[20:]
+    lens = {r.id: len(r.input_ids) - r.input_ids.count(CP_PAD) for r in train}
+    order = py_length_grouped([lens[i] for i in keyed], 8)
+    want_pos = {keyed[k]: p for p, k in enumerate(order, start=1)}
+    assert {r.id: r.position for r in train} == want_pos
+    by_batch = {}
+    for r in train:
+        by_batch.setdefault(r.batch, []).append(r)
+    for b, rs in by_batch.items():
+        w = math.ceil(max(lens[r.id] for r in rs) / 8) * 8
+        assert all(r.width == w and len(r.input_ids) == w for r in rs)
