@@ -611,3 +611,18 @@ def vqa_records_ja(spark: SparkSession, sf_dir: str) -> DataFrame:
     qa = tables.inst(spark, sf_dir).select("id", F.col("instruction").alias("question"),
                                            F.col("output").alias("answer"))
     return _tokens_out(perplexity_records(qa, "ja", CodePoints(), PPL_MAX_LENGTH), "id")
+
+
+# --- X1: the response part of a rendered prompt -----------------------------------------
+
+@register("prompt_response", sql=_with(tables.INST_SQL) + f"""
+select id, case when contains(p, {sql_literal(ALPACA.response_split)})
+                then trim(split_part(p, {sql_literal(ALPACA.response_split)}, 2), {WS_SQL})
+                else null end as response
+from (select id, {render_sql(ALPACA, 'instruction', 'input', 'output')} as p from inst)""")
+def prompt_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 + X3: the text after the template's response marker (up to a second one),
+    stripped, of every rendered training prompt."""
+    recs = tables.inst(spark, sf_dir)
+    p = render(ALPACA, F.col("instruction"), F.col("input"), F.col("output"))
+    return recs.select("id", S.answer_after_first(p, ALPACA.response_split).alias("response"))
