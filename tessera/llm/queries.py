@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table_path
-from . import exact_dedup
+from . import bpe, exact_dedup, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def vocabulary(name: str) -> str:
+    """The text of a public tokenizer file (a bounded definition, sent to the tasks)."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+@_query("op2_token_files")
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(_table(spark, sf_dir, "documents"),
+                                      vocabulary("word_bpe_49k.json"), end_id=1)
+
+
+@_query("op5_best_fit")
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"),
+                                  vocabulary("byte_bpe_50k.json"), end_id=0, max_tokens=2048)
+
+
+@_query("op7_bpe_round_trip")
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 @_query("op8_bloom_dedup", exact_dedup.ORACLE_SQL)
 def op8_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
