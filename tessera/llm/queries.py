@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table_path
-from . import bpe, exact_dedup, packing, token_files
+from . import bpe, exact_dedup, importance, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,11 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   vocabulary("byte_bpe_50k.json"), end_id=0, max_tokens=2048)
 
 
+@_query("op6_importance")
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.select(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query("op7_bpe_round_trip")
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
