@@ -40,7 +40,7 @@ TABLE = 2 * BUCKETS        # one-word buckets, then two-word buckets
 BLOCKS = 128
 SAMPLE = 20_000            # labelled documents used at most
 SMOOTH = 0.5               # pseudo-count per bucket
-Z, FACTOR = 4.0, 4.0
+Z, FACTOR = 3.0, 4.0
 GOOD_COST = 10.0
 RUNS = range(3, 11)        # repeats of one word that count as n-grams
 

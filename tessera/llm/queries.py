@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table_path
-from . import bpe, exact_dedup, importance, packing, token_files
+from . import bpe, exact_dedup, importance, maxent, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,11 @@ def vocabulary(name: str) -> str:
         return f.read()
 
 
+@_query("op1_maxent")
+def op1_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(_table(spark, sf_dir, "documents"))
+
+
 @_query("op2_token_files")
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(_table(spark, sf_dir, "documents"),
