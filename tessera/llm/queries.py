@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table_path
-from . import bpe, exact_dedup, importance, maxent, packing, token_files
+from . import bpe, exact_dedup, importance, itq, maxent, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+@_query("op4_itq", itq.ORACLE_SQL)
+def op4_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 @_query("op5_best_fit")
 def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"),
