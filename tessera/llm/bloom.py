@@ -80,6 +80,30 @@ def to_numpy(blocks: DataFrame, log2: int) -> np.ndarray:
     return out
 
 
+def _xxhash64(key: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of 64-bit integers (XXH64 of eight bytes, seed 42)."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (   # fixed values of XXH64
+        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turn(x: np.ndarray, n: int) -> np.ndarray:
+        return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+    h = turn(key.view(np.uint64) * p2, 31) * p1 ^ np.uint64(42 + int(p5) + 8)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def probe_numpy(bits: np.ndarray, key: np.ndarray, log2: int) -> np.ndarray:
+    """``probe`` for an array of int64 keys and a filter from ``to_numpy``."""
+    held = np.ones(len(key), dtype=bool)
+    for pos in (key.view(np.uint64) & np.uint64((1 << log2) - 1), _xxhash64(key) >> np.uint64(64 - log2)):
+        pos = pos.astype(np.int64)
+        held &= (bits[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1
+    return held
+
+
 def drop_ids(df: DataFrame, id_col: str, ids: DataFrame, drop: bool = True) -> DataFrame:
     """Rows of ``df`` whose id is not (``drop``) or is (``drop=False``) in the one-column
     table ``ids``. Only rows that a filter of the ids may hold are shuffled; all others

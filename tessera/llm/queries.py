@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table_path
-from . import bpe, exact_dedup, html_text, importance, itq, maxent, packing, token_files
+from . import bpe, exact_dedup, html_text, importance, itq, maxent, minhash, packing, suffix_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+@_query("op3_superminhash")
+def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 @_query("op4_itq", itq.ORACLE_SQL)
 def op4_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.link_vectors(_table(spark, sf_dir, "embeddings"))
@@ -75,3 +80,8 @@ def op8_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_text_density")
 def op9_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+@_query("op10_suffix_repeats")
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
