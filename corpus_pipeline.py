@@ -1,12 +1,63 @@
-"""Corpus pipeline: documents -> cleaned, deduplicated, packed training sequences."""
+"""Corpus pipeline: documents -> selected, deduplicated, packed training sequences.
+
+Each stage is a function of ``(spark, docs, sf_dir)``; all but the last return the columns
+of ``documents``, the last one row per packed piece. Stages keep rows with null ids as
+they are, take null text as empty, and give empty results on empty tables; see the
+operators for ties and repeated rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-ORACLE_SQL = None   # SQL cannot express the stages
+from tessera.llm import exact_dedup, importance, minhash, packing, suffix_dedup
+from tessera.llm.common import materialize
+from tessera.llm.queries import vocabulary
+from tessera.session import table_path
+
+
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Importance resampling against the labelled good documents; rejected documents go."""
+    return importance.keep_selected(docs, spark.read.parquet(table_path(sf_dir, "labels")))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (white space normalised) the smallest id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at similarity 0.8 stays."""
+    return minhash.drop_near_duplicates(docs, words=5, percent=80)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes or more that occur elsewhere too are cut out of the texts."""
+    return suffix_dedup.drop_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens, packed into sequences."""
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0, max_tokens=2048)
+
+
+STAGES = [
+    ("quality selection", select_quality),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("repeated passages", drop_repeated_passages),
+    ("best-fit packing", pack),
+]
+
+ORACLE_SQL = None   # SQL cannot express the models and the tokenizer
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the whole ``documents`` table; each stage's result is written to the
+    shared folder and read again by the next."""
+    docs = spark.read.parquet(table_path(sf_dir, "documents"))
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, name.replace(" ", "-"))
+    return docs
