@@ -10,10 +10,12 @@ that share a band are candidates, and every candidate pair is verified on the fu
 1. Equal sets are collapsed to their smallest id, so copies are never paired.
 2. Each member of a band bucket is verified against the bucket's smallest id; the links
    found are grouped (union-find).
-3. Only where a bucket still holds several groups, members of different groups are
-   compared by signature, in blocks of ``BLOCK`` members, and pairs whose estimate is not
-   clearly below the threshold are verified too. Links inside a group cannot change the
-   result, so no link between groups is lost and buckets are never expanded in whole.
+3. Only where a bucket still holds several groups, its members are compared across
+   groups: documents connected by such buckets form a cluster, a cluster is dealt in
+   blocks of ``BLOCK`` documents with their full sets, and a task verifies every pair of
+   different groups that the signatures do not rule out. It gives out links only, and
+   none between groups it has linked already. Links inside a group cannot change the
+   result, so no link between groups is lost and no list of pairs is ever written.
 
 Words are runs of bytes other than space and tab to carriage return, A-Z lower-cased. A
 document with fewer words than a shingle has the whole sequence as one shingle; one
@@ -25,7 +27,6 @@ give empty results; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ from .components import connected_components
 from .words import mix, pair_hashes, word_hashes, words_of
 
 SLOTS, BAND = 96, 4        # 24 bands: a pair at similarity 0.8 is missed with 3e-6
-BLOCK = 2048
-MARGIN = 0.2               # signature estimates this far below the threshold are dropped
+BLOCK = 512
+MARGIN = 0.12              # signature estimates this far below the threshold are dropped (3 sigma)
 _STEP = np.uint64(52)      # slot value: step in the high bits, fraction in the low 52
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -127,11 +128,9 @@ def sign(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     return map_arrow(src, run, _SIGNED)
 
 
-def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int, id_col: str,
-           text_col: str) -> DataFrame:
-    """The pairs ``a, b`` whose full sets reach the similarity. Only the texts of documents
-    in a pair move."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "verify-ids")
+def _sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, items`` (sorted shingle hashes) of the documents in a table of ids; only their
+    texts move."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def to_sets(batches):
@@ -142,18 +141,22 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int, id_col:
                      pa.array([shingles(t, words).tobytes() for t in text_bytes(column(part, "text"))],
                               pa.binary())], ["id", "items"])
 
-    sets = materialize(map_arrow(bloom.drop_ids(src, "doc_id", ids, drop=False), to_sets,
+    return materialize(map_arrow(bloom.drop_ids(src, "doc_id", ids, drop=False), to_sets,
                                  "id long, items binary"), "sets")
 
+
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose full sets reach the similarity."""
     def check(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(column(batch, "x"), column(batch, "y")):
-                p = np.frombuffer(x.as_buffer(), dtype=np.uint64)
-                q = np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            mask = pa.array(ok, pa.bool_())
+            mask = pa.array([_similar(np.frombuffer(x.as_buffer(), dtype=np.uint64),
+                                      np.frombuffer(y.as_buffer(), dtype=np.uint64), percent)
+                             for x, y in zip(column(batch, "x"), column(batch, "y"))], pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, "a").filter(mask), column(batch, "b").filter(mask)],
                                              ["a", "b"])
 
@@ -162,31 +165,57 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int, id_col:
     return materialize(map_arrow(joined.select("a", "b", "x", "y"), check, "a long, b long"), "links")
 
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one bucket that are in different groups and may be similar:
-    rows ``key, id, n_shingles, sig, component, size`` -> ``a, b``."""
+def _cross_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links between different groups of one cluster of documents that share buckets, each
+    verified on the full sets where the signatures do not rule it out; a task gives no
+    link between groups that it has linked already. ``members``: ``cluster, size, id,
+    n_shingles, sig, items, component``."""
     need = max(0.0, percent / 100 - MARGIN) * SLOTS
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), SLOTS)
-        ids, comp, n, blk = (pdf[c].to_numpy() for c in ("id", "component", "n_shingles", "blk"))
-        across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
-        out = []
-        for i in range(len(pdf) - 1):
-            j = np.flatnonzero(comp[i + 1:] != comp[i]) + i + 1
+    def solve(t: pa.Table, out: list) -> None:
+        ids, n, comp, blk = (t.column(c).to_numpy() for c in ("id", "n_shingles", "component", "blk"))
+        comp = comp.copy()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
+        items = [np.frombuffer(x, dtype=np.uint64) for x in t.column("items").to_pylist()]
+        across = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+        for i in range(len(ids) - 1):
+            j = np.arange(i + 1, len(ids))
+            j = j[(comp[j] != comp[i]) & (np.minimum(n[j], n[i]) * 100 >= percent * np.maximum(n[j], n[i]))]
             if across:
                 j = j[blk[j] != blk[i]]
-            j = j[np.minimum(n[j], n[i]) * 100 >= percent * np.maximum(n[j], n[i])]
-            j = j[(sig[j] == sig[i]).sum(axis=1) >= need]
-            out += [(min(ids[i], x), max(ids[i], x)) for x in ids[j].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            for k in j[(sig[j] == sig[i]).sum(axis=1) >= need].tolist():
+                if comp[k] != comp[i] and _similar(items[i], items[k], percent):
+                    out.append((int(ids[i]), int(ids[k])))
+                    comp[comp == comp[k]] = comp[i]
+
+    def run(batches):
+        held = None       # rows of the last group, which may go on in the next batch
+        for batch in batches:
+            t = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            keys = [t.column(c).to_numpy() for c in ("cluster", "lo", "hi")]
+            cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist()]
+            out: list = []
+            for p, q in zip(cuts, cuts[1:]):
+                solve(t.slice(p, q - p), out)
+            held = t.slice(cuts[-1])
+            yield links_batch(out)
+        out = []
+        if held is not None and len(held):
+            solve(held, out)
+        yield links_batch(out)
+
+    def links_batch(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()),
+                                           pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = (members.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("key", "id", "n_shingles", "sig", "component", "blk",
+             .select("cluster", "id", "n_shingles", "sig", "items", "component", "blk",
                      F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi")))
-    return dealt.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = dealt.repartition(parts, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "id")
+    return materialize(map_arrow(grouped, run, "a long, b long"), "cross-links")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -206,18 +235,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         members.filter("id <> hub").select("hub", "id", "n_shingles").distinct().join(sizes, "hub")
         .filter(F.least("n_shingles", "hub_n") * 100 >= F.greatest("n_shingles", "hub_n") * percent)
         .select(F.col("hub").alias("a"), F.col("id").alias("b")), "stars")
-    links = verify(docs, stars, words, percent, id_col, text_col)
+    ids = materialize(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "star-ids")
+    links = verify(stars, _sets(docs, ids, words, id_col, text_col), percent)
     grouped = materialize(connected_components(links), "groups")
-    in_group = materialize(members.select("key", "id", "n_shingles", "size").join(
+    in_group = materialize(members.select("key", "hub", "id").join(
         grouped, F.col("id") == F.col("node"), "left").select(
-        "key", "id", "n_shingles", "size", F.coalesce("component", "id").alias("component")), "in-group")
-    split = materialize(in_group.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-                        .filter("x <> y").select("key"), "split-buckets")
-    rest = materialize(_cross_pairs(
-        in_group.join(split, "key").join(classes.select("id", "sig"), "id"), percent)
-        .join(stars, ["a", "b"], "left_anti"), "cross-pairs")
-    if rest.head(1):
-        links = links.union(verify(docs, rest, words, percent, id_col, text_col))
+        "key", "hub", "id", F.coalesce("component", "id").alias("component")), "in-group")
+    split = materialize(in_group.groupBy("key").agg(
+        F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key"),
+        "split-buckets")
+    if split.head(1):
+        open_members = materialize(in_group.join(split, "key").select("hub", "id", "component").distinct(), "open")
+        clusters = materialize(connected_components(open_members.select(
+            F.col("hub").alias("a"), F.col("id").alias("b"))), "clusters")
+        sizes = materialize(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")
+        ids = materialize(clusters.select(F.col("node").alias("id")), "cluster-ids")
+        whole = (clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+                 .join(sizes.withColumnRenamed("component", "cluster"), "cluster")
+                 .join(_sets(docs, ids, words, id_col, text_col), "id")
+                 .join(classes.select("id", "n_shingles", "sig"), "id")
+                 .join(grouped, F.col("id") == F.col("node"), "left")
+                 .withColumn("component", F.coalesce("component", "id")))
+        links = links.union(_cross_links(whole, percent))
         grouped = materialize(connected_components(links), "groups")
     per_class = materialize(classes.select("key_a", "key_b", "n_shingles", "id").join(
         grouped, F.col("id") == F.col("node"), "left").select(
