@@ -45,8 +45,10 @@ LEAST = 200
 GRAM = 32
 BUFFER = 1 << 18          # bytes hashed at once
 PIECE = 1 << 18           # windows of a piece of a long text
-SORT_BYTES = 2 << 20      # region bytes in one suffix array (whole keys; one key may be larger)
-HOT = 20_000
+SORT_BYTES = 512 << 10    # region bytes in one suffix array (whole keys; one key may be larger)
+DEPTH = 256               # suffixes are compared this far; longer prefixes count as this long
+SUFFIXES = 80_000         # suffixes sorted at once
+HOT = 4_000
 SEEN = 200_000            # regions remembered per task so that copies are sent once
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _FACTOR = 0x9E3779B97F4A7C15
@@ -183,20 +185,25 @@ def candidate_regions(src: DataFrame, least: int) -> DataFrame:
 def common_prefixes(text: np.ndarray, suffixes: np.ndarray, room: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each suffix with the next one; ``room`` is how far
     each may reach."""
-    out = np.zeros(len(suffixes) - 1, dtype=np.int64)
-    limit = np.minimum(room[:-1], room[1:])
-    step = 4096
+    out = np.minimum(room[:-1], room[1:])
+    step, width = 8192, 64
     for at in range(0, len(out), step):
-        a, b, most = suffixes[at:at + step][:len(out) - at], suffixes[at + 1:at + step + 1], limit[at:at + step]
-        width = int(most.max())
-        col = np.arange(width)
-        reach = np.minimum(a[:, None] + col, len(text) - 1), np.minimum(b[:, None] + col, len(text) - 1)
-        differ = (text[reach[0]] != text[reach[1]]) | (col >= most[:, None])
-        out[at:at + step] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        rows = np.arange(at, min(at + step, len(out)))
+        off = 0
+        while len(rows):
+            col = off + np.arange(width)
+            p = np.minimum(suffixes[rows][:, None] + col, len(text) - 1)
+            q = np.minimum(suffixes[rows + 1][:, None] + col, len(text) - 1)
+            differ = text[p] != text[q]
+            stop = differ.any(axis=1)
+            out[rows[stop]] = np.minimum(out[rows[stop]], off + differ[stop].argmax(axis=1))
+            off += width
+            rows = rows[~stop & (out[rows] > off)]
     return out
 
 
-def maximal_repeats(lcp: np.ndarray, before: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+def maximal_repeats(lcp: np.ndarray, before: np.ndarray, least: int, depth: int = 1 << 62
+                    ) -> Iterator[tuple[int, int, int]]:
     """Stack scan of the common prefixes of a sorted suffix list: every interval
     ``(first, last, length)`` of at least ``least`` bytes whose suffixes differ in the byte
     before them (``before``; negative: nothing comes before), inner ones first."""
@@ -207,10 +214,10 @@ def maximal_repeats(lcp: np.ndarray, before: np.ndarray, least: int) -> Iterator
         # suffixes i and i + 1 share ``length`` bytes
         first, common = i, left[i]
         while stack and stack[-1][0] > length:
-            depth, first, inner = stack.pop()
+            size, first, inner = stack.pop()
             common = inner if inner == common else -1
-            if common < 0:
-                yield first, i, depth
+            if common < 0 or size >= depth:
+                yield first, i, size
         if length >= least:
             if stack and stack[-1][0] == length:
                 if stack[-1][2] != common:
@@ -236,16 +243,41 @@ def covered_ranges(regions: list[bytes], least: int) -> list[list[tuple[int, int
     often = np.zeros(len(starts), dtype=bool)
     often[order[1:][same]] = True
     often[order[:-1][same]] = True
+    starts, window = starts[often], window[often]
+    change = np.zeros(len(text) + 1, dtype=np.int64)
+    # equal windows are in the same part, so parts can be sorted one by one
+    parts = 1 + len(starts) // SUFFIXES
+    for part in range(parts):
+        mine = starts[mix(window) % np.uint64(parts) == part]
+        reach = _reach(raw, text, mine, sizes, ends, least)
+        np.add.at(change, mine, reach > 0)
+        np.subtract.at(change, mine + reach, reach > 0)
+    covered = np.cumsum(change[:-1]) > 0
+    edge = np.concatenate([[True], covered[1:] != covered[:-1]])
+    edge[(ends - sizes)] = True             # ranges do not run on into the next region
+    first = np.flatnonzero(edge)
+    last = np.append(first[1:], len(text))
     out: list[list[tuple[int, int]]] = [[] for _ in regions]
-    if not often.any():
-        return out
-    cand = starts[often]
+    on = covered[first]
+    region = np.searchsorted(ends, first[on], side="right")
+    base = (ends - sizes)[region]
+    for r, x, y in zip(region.tolist(), (first[on] - base).tolist(), (last[on] - base).tolist()):
+        out[r].append((x, y))
+    return out
+
+
+def _reach(raw: bytes, text: np.ndarray, cand: np.ndarray, sizes: np.ndarray, ends: np.ndarray,
+           least: int) -> np.ndarray:
+    """Length of the longest maximal repeat that starts at each candidate (0: none)."""
+    found = np.zeros(len(cand), dtype=np.int64)
+    if len(cand) < 2:
+        return found
     region = np.searchsorted(ends, cand, side="right")
-    stop = ends[region].tolist()
-    order = sorted(range(len(cand)), key=[raw[a:b] for a, b in zip(cand.tolist(), stop)].__getitem__)
-    sa, region = cand[order], region[order]
-    room = ends[region] - sa
-    opens = sa == (ends - sizes)[region]
+    stop = np.minimum(ends[region], cand + DEPTH)
+    order = sorted(range(len(cand)), key=[raw[a:b] for a, b in zip(cand.tolist(), stop.tolist())].__getitem__)
+    order = np.array(order)
+    sa, room = cand[order], (stop - cand)[order]
+    opens = sa == (ends - sizes)[region[order]]
     before = np.where(opens, -1 - np.arange(len(sa)), text[sa - 1].astype(np.int64))
     lcp = common_prefixes(text, sa, room)
     done = list(range(len(sa) + 1))          # next suffix without a longer repeat
@@ -256,15 +288,13 @@ def covered_ranges(regions: list[bytes], least: int) -> list[list[tuple[int, int
             i = done[i]
         return i
 
-    for first, last, length in maximal_repeats(lcp, before, least):
+    for first, last, length in maximal_repeats(lcp, before, least, DEPTH):
         i = following(first)
         while i <= last:
-            r = int(region[i])
-            at = int(sa[i] - (ends[r] - sizes[r]))
-            out[r].append((at, at + length))
+            found[order[i]] = length
             done[i] = i + 1
             i = following(i)
-    return out
+    return found
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
