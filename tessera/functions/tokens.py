@@ -117,11 +117,9 @@ def _load(kind: str, path: str):
         obj.encode_special_tokens = True
     elif kind == "tiktoken":
         import tiktoken
-        try:
-            import public_tokenizers as P
-            pattern = P.PATTERN
-        except ImportError:  # pragma: no cover - the vocabulary files ship with it
-            pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+        import public_tokenizers as P   # the split pattern belongs to the rank files
+
+        pattern = P.PATTERN
         with open(path, "rb") as fh:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, fh) if a}
         obj = tiktoken.Encoding(f"file:{path}", pat_str=pattern, mergeable_ranks=ranks,

@@ -53,9 +53,9 @@ def _message(role_name: Column, text: Column, sep: str) -> Column:
 
 
 def _system_text(conv: DataFrame, style: ConversationStyle) -> DataFrame:
-    """conv_id -> system text: the conversation's own system row, else the style's."""
+    """conv_id -> text of the conversation's first system row (by turn); none: the style's."""
     return (conv.filter(F.col("role") == "system").groupBy("conv_id")
-            .agg(F.min("text").alias("_sys")))
+            .agg(F.min_by("text", "turn").alias("_sys")))
 
 
 def conversation_prompts(conv: DataFrame, style: ConversationStyle = JAPANESE,
@@ -100,12 +100,6 @@ def conversation_prompts(conv: DataFrame, style: ConversationStyle = JAPANESE,
         return (local.filter(F.col("role") == "user").join(prefix, ["conv_id", "_c"], "inner")
                 .select("conv_id", "turn", F.concat("_p", "_l", F.lit(style.roles[1] + ":"))
                         .alias("prompt")))
-    hist = hist.filter(F.col("role") == "user")
-    sys = _system_text(conv, style)
-    return hist.join(sys, "conv_id", "left").select(
-        "conv_id", "turn",
-        F.concat(F.coalesce(F.col("_sys"), F.lit(style.system)), F.lit(style.sep), F.col("_h"),
-                 F.lit(style.roles[1] + ":")).alias("prompt"))
 
 
 def _recent_prompts(conv: DataFrame, msgs: DataFrame, style: ConversationStyle, k: int,

@@ -24,7 +24,7 @@ RESPONSE_MARKERS = {"en": "### Response:\n", "ja": "### 返答:\n"}
 def response_marker(language: str) -> str:
     """Response marker of the inference prompt (newline included)."""
     if language not in RESPONSE_MARKERS:
-        raise ValueError(f"Invalid language {language}")
+        raise ValueError(f"no response marker for language {language!r}")
     return RESPONSE_MARKERS[language]
 
 
@@ -88,6 +88,7 @@ def few_shot_text(train: DataFrame, shot: int, order_col: str = "sentence_pair_i
     per = (shot + 2) // 3
     w = Window.partitionBy("label").orderBy(F.col(order_col))
     picked = (train.select(order_col, "label", "sentence1", "sentence2")
+              .filter(F.col("label").isin(*NLI_LABEL_WORDS))   # other labels are no examples
               .withColumn("_rn", F.row_number().over(w))
               .filter(F.col("_rn") <= per)
               .withColumn("_i", (F.col("_rn") - 1) * 3 + F.col("label"))
@@ -96,7 +97,7 @@ def few_shot_text(train: DataFrame, shot: int, order_col: str = "sentence_pair_i
     block = fill(parts, {"sentence1": F.col("sentence1"), "sentence2": F.col("sentence2"),
                          "label": label_word(F.col("label"))})
     agg = picked.agg(
-        F.count(F.lit(1)).alias("_n"),
+        F.count_distinct("_i").alias("_n"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_i"), block.alias("t")))),
                                  lambda x: x["t"]), "").alias("_text"))
     checked = agg.select(F.when(F.col("_n") < F.lit(shot), F.raise_error(F.concat(

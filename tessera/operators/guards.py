@@ -26,5 +26,5 @@ def length_guard(df: DataFrame, max_length: int, ids: str = "input_ids", reserve
     if mode == "drop":
         return df.filter(fits)
     check = F.when(fits, F.lit(True)).otherwise(F.raise_error(F.concat(
-        F.lit(f"Exceed max_length {max_length} < "), need.cast("string"))).cast("boolean"))
+        F.lit(f"a row needs more than {max_length} tokens: "), need.cast("string"))).cast("boolean"))
     return df.filter(check)

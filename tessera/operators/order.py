@@ -27,24 +27,11 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_DIGITS = 4      # 65,536 buckets: offsets table <= 65,536 rows (~1 MB broadcast)
-MAX_DIGITS = 5          # 1,048,576 buckets: offsets table ~16 MB broadcast
-BUCKET_BYTES = 128 << 20
+DEFAULT_DIGITS = 4      # 65,536 buckets: offsets table <= 65,536 rows (~1 MB broadcast);
+                        # 5 digits keep buckets near 128 MB beyond ~8 TB (~16 MB broadcast)
 DEFAULT_SEED = 42
 
 
-def auto_digits(df: DataFrame) -> int:
-    """Bucket digits for a table: about ``BUCKET_BYTES`` of input per bucket,
-    from the optimizer's size estimate, between 4 and 5 hex digits (so the
-    broadcast offsets table stays within ~16 MB). 65,536 buckets serve inputs
-    up to ~8 TB; beyond, 16**5."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: the default
-        return DEFAULT_DIGITS
-    return MAX_DIGITS if size > (16 ** DEFAULT_DIGITS) * BUCKET_BYTES else DEFAULT_DIGITS
-
-
 def order_key(id_col: str | Column, seed: int | str = DEFAULT_SEED) -> Column:
     """``md5(id || ':' || seed)``; a null id fails the job (it would have no
     place in the order, and the row must not vanish)."""
@@ -79,7 +66,7 @@ class ExactOrder:
 
 
 def exact_rank(df: DataFrame, id_col: str, seed: int | str = DEFAULT_SEED,
-               digits: int | None = None, by: tuple[str, ...] | list[str] = (),
+               digits: int = DEFAULT_DIGITS, by: tuple[str, ...] | list[str] = (),
                rank_col: str = "rank", key: Column | None = None,
                more_than: int | None = None) -> ExactOrder:
     """Exact 1-based rank of every row in key order (per ``by`` group).
@@ -87,8 +74,6 @@ def exact_rank(df: DataFrame, id_col: str, seed: int | str = DEFAULT_SEED,
     ``more_than``: fail (when the job runs) unless the table has more rows
     than this; the check rides on the broadcast offsets, no extra pass.
     """
-    if digits is None:
-        digits = auto_digits(df)
     if not 1 <= digits <= 6:
         raise ValueError("digits must be between 1 and 6")
     by = tuple(by)
@@ -108,22 +93,26 @@ def exact_rank(df: DataFrame, id_col: str, seed: int | str = DEFAULT_SEED,
     inside = Window.partitionBy(*by, "_bucket").orderBy("_key", id_col)
     numbered = (keyed.repartition(*[F.col(c) for c in by], F.col("_bucket"))
                 .withColumn("_in", F.row_number().over(inside)))
-    ranked = (numbered.join(F.broadcast(offsets.select(*by, "_bucket", start.alias("_start"))),
-                            [*by, "_bucket"], "inner")
+    side = offsets.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bucket").alias("_b"),
+                          start.alias("_start"))
+    on = F.col("_bucket") == F.col("_b")
+    for c in by:            # a null group is a group
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    ranked = (numbered.join(F.broadcast(side), on, "inner").drop("_b", *[f"_by_{c}" for c in by])
               .withColumn(rank_col, (F.col("_start") + F.col("_in")).cast("bigint"))
               .drop("_start", "_in"))
     return ExactOrder(ranked, offsets, rank_col, by, digits)
 
 
 def shuffle_rows(df: DataFrame, id_col: str, seed: int | str = DEFAULT_SEED,
-                 digits: int | None = None, rank_col: str = "rank") -> DataFrame:
+                 digits: int = DEFAULT_DIGITS, rank_col: str = "rank") -> DataFrame:
     """The rows in a seeded random order: ``rank`` 1..N (each partition
     holds whole buckets, sorted by rank inside)."""
     return exact_rank(df, id_col, seed, digits, rank_col=rank_col).ranked.drop("_key", "_bucket")
 
 
 def exact_split(df: DataFrame, id_col: str, n_val: int, seed: int | str = DEFAULT_SEED,
-                digits: int | None = None, shuffle_seed: int | str | None = None,
+                digits: int = DEFAULT_DIGITS, shuffle_seed: int | str | None = None,
                 train: str = "train", val: str = "validation") -> ExactOrder:
     """Exactly ``n_val`` rows to validation, the rest to train.
 

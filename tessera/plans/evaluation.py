@@ -16,6 +16,8 @@ Perplexity task:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,13 @@ MAX_LENGTH = 256
 NEW_TOKENS = 5
 
 
+def _job_guard(mode: str) -> str:
+    """Jobs score what the guard lets through; a mere flag would be lost on the way."""
+    if mode not in ("fail", "drop"):
+        raise ValueError(f"guard must be 'fail' or 'drop' in a job, not {mode!r}")
+    return mode
+
+
 def nli_accuracy_job(pairs: DataFrame, scorer: S.Scorer, shot: int = 0, language: str = "ja",
                      encoder: Encoder | None = None, max_length: int = MAX_LENGTH,
                      new_tokens: int = NEW_TOKENS, guard: str = "fail",
@@ -41,9 +50,13 @@ def nli_accuracy_job(pairs: DataFrame, scorer: S.Scorer, shot: int = 0, language
     marker = E.response_marker(language)
     ev = E.require_columns(E.nli_eval_set(pairs, shot, language, id_col))
     checked = G.length_guard(ev.withColumn("input_ids", enc.encode(F.col("prompts"))),
-                             max_length, reserve=new_tokens, mode=guard)
+                             max_length, reserve=new_tokens, mode=_job_guard(guard))
     gen = S.score(checked.drop("input_ids"), scorer, id_col=id_col, passthrough=["expected"])
     paired = gen.withColumn("answer", S.answer_after_last(F.col("generated"), marker))
+    if save_dir:      # the model runs once: the report and the CSV read the stored replies
+        stored = f"{save_dir.rstrip('/')}/replies-{uuid.uuid4().hex}.parquet"
+        paired.write.parquet(stored)
+        paired = paired.sparkSession.read.parquet(stored)
     report = S.report(paired, "jnli", S.accuracy(F.col("expected"), F.col("answer")), 4)
     results = paired.select(F.col("expected").alias("ground"), F.col("answer").alias("generated"))
     if save_dir:
@@ -60,7 +73,7 @@ def perplexity_records(qa: DataFrame, language: str = "en", encoder: Encoder | N
     tok = tokenize_records(recs, evaluation_template(language), encoder or CodePoints(),
                            cutoff_len=None, train_on_inputs=False, truncation=False,
                            keep=[id_col])
-    return G.length_guard(tok, max_length, mode=guard)
+    return G.length_guard(tok, max_length, mode=_job_guard(guard))
 
 
 def perplexity_job(qa: DataFrame, scorer: S.Scorer | None = None, language: str = "en",
@@ -110,7 +123,7 @@ def main(argv=None) -> None:
     ap.add_argument("--shot", type=int, default=0)
     ap.add_argument("--format-lang", choices=["ja", "en"], default="ja")
     ap.add_argument("--max-length", type=int, default=MAX_LENGTH)
-    ap.add_argument("--guard", choices=["fail", "drop", "flag"], default="fail")
+    ap.add_argument("--guard", choices=["fail", "drop"], default="fail")
     ap.add_argument("--save-dir", default=None)
     ap.add_argument("--model-path", default="model")
     ap.add_argument("--lora", action="store_true")

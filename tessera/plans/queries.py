@@ -426,7 +426,7 @@ VQA_TOK_SQL = f"""enc as (select id, {codepoints_sql(render_sql(VQA, 'instructio
 tok as (select id, {_eos_sql('ids0', None)} as ids, n from enc),
 masked as (select id, ids, list_concat(list_transform(range(n), lambda x: -100),
        case when len(ids) > n then ids[n + 1:] else []::integer[] end) as labels from tok
-       where case when len(ids) <= {PPL_MAX_LENGTH} then true else error('Exceed max_length') end),
+       where case when len(ids) <= {PPL_MAX_LENGTH} then true else error('row too long') end),
 counts as (select t as tok, count(*) as c from (select unnest(ids) as t from masked) group by t),
 nv as (select sum(c) as n, count(*) as v from counts),
 lp as (select tok, c, ln((c + 1.0) / (n + v)) as logprob from counts, nv),
@@ -487,7 +487,7 @@ def _msg_sql(role_name: str, text: str) -> str:
             f"else {role_name} || ':' end)")
 
 
-CHAT_SYS_SQL = """sys as (select conv_id, min(text) as s from conversations where role = 'system' group by conv_id)"""
+CHAT_SYS_SQL = """sys as (select conv_id, arg_min(text, turn) as s from conversations where role = 'system' group by conv_id)"""
 
 
 @register("chat_prompts", sql=_with(

@@ -17,6 +17,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions.templates import Template, training_template
@@ -31,20 +32,19 @@ SPLIT_SEED = 42       # seed of its split
 
 
 def with_record_id(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """Give records read from files a unique, deterministic id: the source
-    position. Identical records (a corpus may repeat one record very often)
-    then get different ids, so their order keys spread over all buckets
-    instead of piling into one. Parquet: file path + row index; other
-    formats: the scan-position id, which a re-run of the same file split
-    reproduces. Call it on the DataFrame as read (before any shuffle)."""
+    """Give records read from files a deterministic id that depends on neither the folder
+    nor the partition layout. Parquet: file name, row index and content hash, so that a
+    record a corpus repeats very often still spreads over all buckets; other formats have
+    no row index: the content hash (equal records are interchangeable). Call it on the
+    DataFrame as read (before any shuffle)."""
     if id_col in df.columns:
         return df
+    content = F.md5(F.to_json(F.struct(*df.columns)))
     try:
-        pos = F.concat(F.col("_metadata.file_path"), F.lit(":"),
-                       F.col("_metadata.row_index").cast("string"))
-        return df.withColumn(id_col, pos)
-    except Exception:  # noqa: BLE001 - formats without a row index
-        return df.withColumn(id_col, F.monotonically_increasing_id())
+        return df.withColumn(id_col, F.concat_ws(":", F.col("_metadata.file_name"), F.col(
+            "_metadata.row_index").cast("string"), content))
+    except AnalysisException:      # no row index in this format
+        return df.withColumn(id_col, content)
 
 
 def training_batches(records: DataFrame, template: Template, encoder: Encoder,

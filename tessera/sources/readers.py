@@ -33,17 +33,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-def _first_data_file(spark: SparkSession, path: str):
-    fs, hpath = _fs_and_path(spark, path)
-    if not fs.getFileStatus(hpath).isDirectory():
-        return fs, hpath
-    for st in fs.listStatus(hpath):
-        name = st.getPath().getName()
-        if st.isFile() and not name.startswith((".", "_")):
-            return fs, st.getPath()
-    raise ValueError(f"no data file under {path}")
-
-
 def _data_files(spark: SparkSession, path: str) -> list:
     fs, hpath = _fs_and_path(spark, path)
     if not fs.getFileStatus(hpath).isDirectory():
@@ -52,28 +41,24 @@ def _data_files(spark: SparkSession, path: str) -> list:
             if st.isFile() and not st.getPath().getName().startswith((".", "_"))]
 
 
-def _first_char_of(fs, fpath, limit: int = 1 << 16) -> str:
+def _first_char_of(fs, fpath) -> str:
+    """First character that is not blank, however many blanks stand before it; an empty
+    file has none."""
     stream = fs.open(fpath)
+    blank = b"\xef\xbb\xbf \t\r\n"     # byte order mark and blanks
     try:
-        buf = bytearray()
-        while len(buf) < limit:
-            b = stream.read()
-            if b < 0:
-                break
-            buf.append(b)
-            ch = bytes(buf).decode("utf-8", errors="ignore").lstrip("\ufeff \t\r\n")
-            if ch:
-                return ch[0]
+        while (b := stream.read()) >= 0:
+            if b not in blank:
+                return chr(b)
     finally:
         stream.close()
     return ""
 
 
-def first_char(spark: SparkSession, path: str, limit: int = 1 << 16) -> str:
-    """First non-blank character of (the first file of) ``path``; reads at
-    most ``limit`` bytes on the driver."""
-    fs, fpath = _first_data_file(spark, path)
-    return _first_char_of(fs, fpath, limit)
+def first_char(spark: SparkSession, path: str) -> str:
+    """First non-blank character of the first file of ``path`` that has one."""
+    fs, _ = _fs_and_path(spark, path)
+    return next((c for c in (_first_char_of(fs, f) for f in _data_files(spark, path)) if c), "")
 
 
 def read_json_records(spark: SparkSession, path: str,
@@ -92,7 +77,7 @@ def read_json_records(spark: SparkSession, path: str,
         # file must be an array (whole files are parsed by one task each in
         # this mode anyway, so there are few of them)
         fs, _ = _fs_and_path(spark, path)
-        kinds = {_first_char_of(fs, f) == "[" for f in _data_files(spark, path)}
+        kinds = {c == "[" for c in (_first_char_of(fs, f) for f in _data_files(spark, path)) if c}
         if kinds != {True}:
             raise ValueError(f"{path} mixes JSON arrays and JSON lines")
     return (spark.read.schema(schema).option("multiLine", multiline)
@@ -122,11 +107,11 @@ def read_nested_qa(spark: SparkSession, path: str) -> DataFrame:
 
 
 def materialize_once(df: DataFrame, path: str, fmt: str = "json", schema=None) -> DataFrame:
-    """Write ``df`` to ``path`` unless something is already there, then
+    """Write ``df`` to ``path`` unless a finished result is already there, then
     read ``path`` back (a later run reuses the stored result)."""
     spark = df.sparkSession
-    if not path_exists(spark, path):
-        df.write.mode("ignore").format(fmt).save(path)
+    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):   # a failed write left no result
+        df.write.mode("overwrite").format(fmt).save(path)
     reader = spark.read.format(fmt)
     if schema is not None or fmt == "json":
         reader = reader.schema(schema if schema is not None else df.schema)

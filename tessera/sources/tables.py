@@ -39,7 +39,7 @@ def inst(spark: SparkSession, sf_dir: str) -> DataFrame:
     nxt = conv.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
     system = (conv.filter(F.col("role") == "system").groupBy("conv_id")
-              .agg(F.min("text").alias("sys")))
+              .agg(F.min_by("text", "turn").alias("sys")))
     pairs = user.join(nxt, ["conv_id", "turn"], "inner")
     return pairs.join(system, "conv_id", "left").select(
         (F.col("conv_id") * TURN_SPAN + F.col("turn")).alias("id"),
@@ -55,7 +55,7 @@ INST_SQL = f"""inst as (
   from conversations u
   join conversations a
     on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant'
-  left join (select conv_id, min(text) as sys from conversations
+  left join (select conv_id, arg_min(text, turn) as sys from conversations
              where role = 'system' group by conv_id) s on s.conv_id = u.conv_id
   where u.role = 'user')"""
 

@@ -58,3 +58,10 @@ def test_reply_cleanup(spark):
     df = spark.createDataFrame([("a<NL>b###rest",), ("plain",), ("###x",)], "r string")
     got = [r.c for r in df.select(C.cut_at_stop(C.decode_newlines(F.col("r"))).alias("c")).collect()]
     assert got == ["a\nb", "plain", ""]
+
+
+def test_first_system_text_by_turn(spark):
+    from tessera.operators import chat as CH
+    rows = [(1, 0, "system", "zz"), (1, 1, "user", "hi"), (1, 2, "system", "aa"), (1, 3, "user", "ho")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert all(r.prompt.startswith("zz") for r in CH.conversation_prompts(df).collect())

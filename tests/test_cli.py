@@ -4,6 +4,8 @@ import glob
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tessera.plans import chat as CH
@@ -22,11 +24,13 @@ def test_evaluation_cli(spark, tmp_dir, capsys):
     tables.nli(spark, SF_CHECK).write.parquet(pairs)
     EV.main(["--task", "ppl-vqa", "--data", qa, "--max-length", "4096"])
     EV.main(["--task", "jnli", "--data", pairs, "--scorer",
-             "tessera.operators.scoring:RuleReplyScorer", "--guard", "flag",
+             "tessera.operators.scoring:RuleReplyScorer", "--max-length", "100000",
              "--save-dir", os.path.join(tmp_dir, "res"), "--model-path", "org/m"])
     out = capsys.readouterr().out
     assert "ppl-vqa: n=233" in out and "jnli: n=1745" in out
     assert glob.glob(os.path.join(tmp_dir, "res", "jnli_*_m.csv", "part-*"))
+    with pytest.raises(SystemExit):      # a flag would not reach the report
+        EV.main(["--task", "jnli", "--data", pairs, "--scorer", "x:y", "--guard", "flag"])
 
 
 def test_chat_and_training_cli(spark, tmp_dir, capsys):

@@ -23,27 +23,30 @@ def pairs(spark):
     return rows, spark.createDataFrame(rows, "sentence_pair_id long, sentence1 string, sentence2 string, label int, split string")
 
 
-def py_shots(rows, shot):
-    train = [r for r in sorted(rows) if r[4] == "train"]
-    text = ""
-    for i in range(shot):
-        d = [r for r in train if r[3] == i % 3][i // 3]
-        text += "### 前提文:\n{}\n### 仮説文:\n{}\n### 返答:\n{}\n\n".format(d[1], d[2], E.NLI_LABEL_WORDS[d[3]])
-    return text
+# even ids are train rows; (id, word) of the examples in order, label by label
+EXAMPLES = [(0, "含意"), (4, "矛盾"), (2, "中立"), (6, "含意"), (10, "矛盾"), (8, "中立"), (12, "含意")]
+BLOCK = "### 前提文:\npremise {0}\n### 仮説文:\nhypothesis {0}\n### 返答:\n{1}\n\n"
 
 
 @pytest.mark.parametrize("shot,language", [(0, "ja"), (1, "en"), (5, "ja"), (7, "en")])
-def test_eval_set_matches_python(pairs, shot, language):
+def test_eval_set_prompts(pairs, shot, language):
     rows, df = pairs
     got = {r.sentence_pair_id: r for r in E.nli_eval_set(df, shot, language).collect()}
-    ex = py_shots(rows, shot)
+    examples = "".join(BLOCK.format(*x) for x in EXAMPLES[:shot])
     val = [r for r in rows if r[4] == "validation"]
     assert len(got) == len(val)
     for r in val:
-        assert got[r[0]].prompts == py_nli_prompt(r[1], r[2], E.RESPONSE_MARKERS[language], ex)
+        assert got[r[0]].prompts == py_nli_prompt(r[1], r[2], E.RESPONSE_MARKERS[language], examples)
         assert got[r[0]].expected == E.NLI_LABEL_WORDS[r[3]]
 
 
+def test_other_labels_are_no_examples(spark, pairs):
+    _, df = pairs
+    extra = spark.createDataFrame([(-1, "p", "h", 3, "train"), (-2, "p", "h", None, "train")], df.schema)
+    whole = df.union(extra).filter("split = 'train' or label < 3")
+    assert E.nli_eval_set(whole, 4, "ja").count() == E.nli_eval_set(df, 4, "ja").count()
+
+
 def test_shot_shortage_fails(pairs):
     _, df = pairs
     with pytest.raises(Exception, match="shots asked"):
@@ -142,7 +145,7 @@ def test_length_guard_modes(spark):
     assert [r.id for r in length_guard(df, 8, reserve=5, mode="drop").collect()] == [1]
     assert {r.id: r.fits for r in length_guard(df, 8, reserve=5, mode="flag").collect()} == {1: True, 2: False}
     assert length_guard(df, 6, mode="fail").count() == 2
-    with pytest.raises(Exception, match="Exceed max_length 8 < 11"):
+    with pytest.raises(Exception, match="more than 8 tokens: 11"):
         length_guard(df, 8, reserve=5, mode="fail").collect()
 
 

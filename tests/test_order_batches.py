@@ -156,10 +156,11 @@ def test_exact_split_property(spark, ids, data, digits):
     assert [i for _, i in val] == sorted(ids, key=lambda i: want[i])[:n_val]
 
 
-def test_bucket_digits_follow_size(spark):
-    assert O.auto_digits(spark.range(1000)) == 4
-    # 10**13 longs: the optimizer estimates 80 TB without running anything
-    assert O.auto_digits(spark.range(10 ** 13)) == 5
+def test_null_group_is_ranked(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else None) for i in range(30)], "id long, g string")
+    got = O.exact_rank(df, "id", by=("g",)).ranked.collect()
+    assert sorted(r["rank"] for r in got if r.g is None) == list(range(1, 11))
+    assert sorted(r["rank"] for r in got if r.g == "a") == list(range(1, 21))
 
 
 def test_scale_conf():

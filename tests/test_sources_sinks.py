@@ -98,3 +98,26 @@ def test_mixed_directory_is_an_error(spark, tmp_dir):
     _write(os.path.join(d2, "b.json"), json.dumps(RECORDS, indent=2))
     with pytest.raises(Exception):
         R.read_json_records(spark, d2).collect()
+
+
+def test_many_blanks_and_empty_files_before_an_array(spark, tmp_dir):
+    import os
+
+    from tessera.sources.readers import read_json_records
+    folder = os.path.join(tmp_dir, "d.json")
+    os.makedirs(folder)
+    open(os.path.join(folder, "a.json"), "w").close()
+    with open(os.path.join(folder, "b.json"), "w") as fh:
+        fh.write(" " * 70_000 + '[{"instruction": "q",\n "input": "", "output": "a"}]')
+    assert read_json_records(spark, folder).filter("instruction = 'q'").count() == 1
+
+
+def test_failed_first_write_is_not_a_result(spark, tmp_dir):
+    import os
+
+    from tessera.sources.readers import materialize_once
+    path = os.path.join(tmp_dir, "once")
+    os.makedirs(path)
+    df = spark.createDataFrame([("q", "a")], "question string, answer string")
+    assert materialize_once(df, path).count() == 1
+    assert materialize_once(df.limit(0), path).count() == 1

@@ -5,33 +5,24 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions.templates import get_template
+from tessera.functions.templates import get_template, render
 from tessera.functions.tokens import (CP_EOS, IGNORE_INDEX, CodePoints, cut_prompt,
                                       get_encoder)
 from tessera.operators.tokenize import tokenize_records
 
 
-def py_tokenize(t, ins, inp, out, cutoff, train_on_inputs, bos=None, eos=CP_EOS):
-    """Python model of the record builder with a code point tokenizer."""
-    def prompt(label):
-        res = (t.prompt_input.format(instruction=ins, input=inp) if inp
-               else t.prompt_no_input.format(instruction=ins))
-        return res + label if label else res
-
-    def enc(text, add_eos):
-        ids = ([bos] if bos is not None else []) + [ord(c) for c in text]
-        if cutoff is not None:
-            ids = ids[:cutoff]
-        if ids[-1] != eos and (cutoff is None or len(ids) < cutoff) and add_eos:
-            ids.append(eos)
-        return ids
-
-    ids = enc(prompt(out), True)
-    labels = list(ids)
-    if not train_on_inputs:
-        n = len(enc(prompt(None), False))
-        labels = [IGNORE_INDEX] * n + labels[n:]
-    return ids, [1] * len(ids), labels
+def expected(spark, t, rows, cutoff, on_inputs):
+    """ids and labels per row from the rules: code points and one end id, cut once; the
+    labels of the user prompt's share are ignored."""
+    df = spark.createDataFrame(rows, "id long, instruction string, input string, output string")
+    texts = df.select("id", render(t, F.col("instruction"), F.col("input"), F.col("output")).alias("whole"),
+                      render(t, F.col("instruction"), F.col("input")).alias("user")).collect()
+    out = {}
+    for r in texts:
+        ids = [*map(ord, r.whole), CP_EOS][:cutoff]
+        hidden = 0 if on_inputs else len(r.user[:cutoff])
+        out[r.id] = ids, [IGNORE_INDEX] * hidden + ids[hidden:]
+    return out
 
 
 EDGE = [
@@ -51,10 +42,9 @@ def test_record_builder_matches_python(spark, cutoff, train_on_inputs):
     df = spark.createDataFrame(rows, "id long, instruction string, input string, output string")
     got = {r.id: r for r in tokenize_records(df, t, CodePoints(), cutoff_len=cutoff,
                                               train_on_inputs=train_on_inputs).collect()}
-    for i, ins, inp, out in rows:
-        ids, mask, labels = py_tokenize(t, ins, inp, out, cutoff, train_on_inputs)
+    for i, (ids, labels) in expected(spark, t, rows, cutoff, train_on_inputs).items():
         assert got[i].input_ids == ids
-        assert got[i].attention_mask == mask
+        assert got[i].attention_mask == [1] * len(ids)
         assert got[i].labels == labels
 
 
@@ -68,8 +58,7 @@ def test_record_builder_property(spark, rows, cutoff, train_on_inputs):
     df = spark.createDataFrame(data, "id long, instruction string, input string, output string")
     got = {r.id: r for r in tokenize_records(df, t, CodePoints(), cutoff_len=cutoff,
                                               train_on_inputs=train_on_inputs).collect()}
-    for i, ins, inp, out in data:
-        ids, mask, labels = py_tokenize(t, ins, inp, out, cutoff, train_on_inputs)
+    for i, (ids, labels) in expected(spark, t, data, cutoff, train_on_inputs).items():
         assert got[i].input_ids == ids and got[i].labels == labels
 
 
