@@ -70,10 +70,20 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
                         .select("u", F.least("u", "m").alias("m")), "least")
     joined = near.join(least, "u")
     moved = joined.filter(F.col("v") > F.col("u") if large else F.col("v") != F.col("m")).select(
-        F.col("v").alias("a"), F.col("m").alias("b"))
-    if not large:
-        moved = moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return materialize(moved.filter("a <> b").distinct(), "star")
+        F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    if large:      # one row per link at most; repeats end in the small step that follows
+        return materialize(moved, "star")
+    return materialize(moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b")
+                       .distinct(), "star")
+
+
+def _is_star_forest(links: DataFrame) -> bool:
+    """Whether every node that hooks on something hooks on one node, which is a root."""
+    ends = links.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        links.select("b", F.lit(0), F.lit(1)))
+    bent = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter(
+        "up > 1 or up = 1 and down = 1")
+    return bent.count() == 0
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -81,13 +91,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     links are rows ``a, b`` of 64-bit ids (either way round, repeats allowed)."""
     ordered = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = materialize(_forest(ordered).distinct(), "forest")
-    seen = None
-    while True:
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == seen:
-            break
-        seen = state
+    while not _is_star_forest(e):
         e = _star(_star(e, large=True), large=False)
-    roots = e.groupBy("a").agg(F.min("b").alias("component"))
-    return (roots.select(F.col("a").alias("node"), "component")
-            .union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+        e.select("b", "b").distinct())

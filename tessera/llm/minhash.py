@@ -256,8 +256,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                  .join(classes.select("id", "n_shingles", "sig"), "id")
                  .join(grouped, F.col("id") == F.col("node"), "left")
                  .withColumn("component", F.coalesce("component", "id")))
-        links = links.union(_cross_links(whole, percent))
-        grouped = materialize(connected_components(links), "groups")
+        known = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        grouped = materialize(connected_components(known.union(_cross_links(whole, percent))), "groups")
     per_class = materialize(classes.select("key_a", "key_b", "n_shingles", "id").join(
         grouped, F.col("id") == F.col("node"), "left").select(
         "key_a", "key_b", "n_shingles", F.coalesce("component", "id").alias("component_id")), "per-class")
