@@ -22,7 +22,6 @@ from tessera.session import local_session  # noqa: E402
 
 HEADLINE = [
     "train_records",          # T5: render + code points + end-of-text + mask
-    "train_records_bpe",      # T5 with a BPE vocabulary in Arrow batches
     "train_batches",          # T5 + W3/W5 exact split + B1/B2 padded batches
     "exact_split",            # W3/W6 on all documents
     "batch_footprint",        # B4

@@ -141,12 +141,17 @@ def footprint(df: DataFrame, id_col: str, length: Column, sizes: list[int],
     """For each candidate batch size, what padding costs on this table:
     rows, batches, real tokens, padded tokens, waste share, widest batch."""
     order = exact_rank(df.select(id_col, length.alias("_len")), id_col, seed)
-    ranked = order.ranked.select(order.rank_col, "_len")
-    cand = ranked.select("*", F.explode(F.array(*[F.lit(int(s)) for s in sizes])).alias("batch_size"))
-    per_batch = (cand.withColumn("batch", F.floor((F.col("rank") - 1) / F.col("batch_size")))
-                 .groupBy("batch_size", "batch")
-                 .agg(F.count(F.lit(1)).alias("_rows"), F.sum("_len").alias("_real"),
-                      F.max("_len").alias("_max")))
+    cand = (order.ranked.select("_bucket", order.rank_col, "_len")
+            .withColumn("batch_size", F.explode(F.array(*[F.lit(int(s)) for s in sizes])))
+            .withColumn("batch", F.floor((F.col(order.rank_col) - 1) / F.col("batch_size"))))
+    # a batch lies inside one bucket, whose partitioning is reused, unless a bucket's edge
+    # cuts it: only cut batches (two per bucket and size at most) move once more
+    local = cand.groupBy("_bucket", "batch_size", "batch").agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("_len").alias("_real"), F.max("_len").alias("_max"))
+    cols = ["batch_size", "_rows", "_real", "_max"]
+    merged = local.filter("_rows < batch_size").groupBy("batch_size", "batch").agg(
+        F.sum("_rows").alias("_rows"), F.sum("_real").alias("_real"), F.max("_max").alias("_max"))
+    per_batch = local.filter("_rows = batch_size").select(*cols).union(merged.select(*cols))
     width = F.floor((F.col("_max") + multiple - 1) / multiple) * multiple
     rep = (per_batch.groupBy("batch_size")
            .agg(F.sum("_rows").cast("bigint").alias("rows"),

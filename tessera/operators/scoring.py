@@ -81,21 +81,6 @@ def score(df: DataFrame, scorer: Scorer, id_col: str = "id",
     return df.select(*cols).mapInPandas(run, out_schema)
 
 
-class RuleReplyScorer(Scorer):
-    """Deterministic test generator (stands in for a language model): the
-    reply is the prompt followed by the label word picked by the prompt's
-    code point count modulo 3, and a newline."""
-
-    schema = "generated string"
-    inputs = ("prompts",)
-    WORDS = ("含意", "矛盾", "中立")
-
-    def score(self, model, pdf: pd.DataFrame) -> pd.DataFrame:
-        words = self.WORDS
-        gen = [p + words[len(p) % 3] + "\n" for p in pdf["prompts"].astype(str)]
-        return pd.DataFrame({"generated": gen})
-
-
 # --- G3: count-based token scorer ------------------------------------------------
 
 def count_model(tok: DataFrame, id_col: str = "id", ids: str = "input_ids",
@@ -105,12 +90,9 @@ def count_model(tok: DataFrame, id_col: str = "id", ids: str = "input_ids",
     The add-one unigram model of all tokens of the table, ``log((n + 1) /
     (N + V))``, scores each example's targets (labels at positions 2..n that
     are not -100; their mean negative log-probability is the loss; no target:
-    NaN). Every example's tokens are exploded once and pre-aggregated per
-    (example, token); the token table (one row per distinct token, so bounded
-    by the vocabulary) sums that aggregate per token, and the losses join the
-    table's target tokens back (broadcast) and sum per example. Both read the
-    same aggregate, so Spark builds the token arrays once and reuses its
-    exchange.
+    NaN). The token table is counted with partial aggregation, so only (vocabulary x
+    tasks) rows move; its target tokens (bounded by the vocabulary) are broadcast back to
+    the tokens, and as an example's tokens lie in one task, one row per example moves.
     """
     n = F.size(ids)
     pairs = F.zip_with(ids, F.slice(labels, 1, n), lambda t, l: F.struct(t.alias("t"), l.alias("l")))
@@ -118,26 +100,50 @@ def count_model(tok: DataFrame, id_col: str = "id", ids: str = "input_ids",
         id_col, F.col("_x.t").alias("tok"),
         F.coalesce((F.col("_p") >= 1) & (F.col("_x.l") != F.lit(IGNORE_INDEX)), F.lit(False))
         .cast("int").alias("_tgt"))
-    per = exploded.groupBy(id_col, "tok").agg(F.count("tok").alias("_all"),
-                                              F.sum("_tgt").alias("_tgt"))
     # (a row without tokens yields a null token with n = 0: it adds nothing to N,
-    # and V counts non-null tokens; filtering it out here would be pushed below
-    # the shared aggregate and split the two branches again)
-    counts = per.groupBy("tok").agg(F.sum("_all").alias("n"), F.sum("_tgt").alias("n_target"))
+    # and V counts non-null tokens)
+    counts = exploded.groupBy("tok").agg(F.count("tok").alias("n"), F.sum("_tgt").alias("n_target"))
     everything = Window.partitionBy()
     table = counts.select("tok", F.col("n").cast("bigint").alias("n"), "n_target", F.log(
         (F.col("n") + 1) / (F.sum("n").over(everything) + F.count("tok").over(everything))
     ).alias("logprob"))
     targets = table.filter(F.col("n_target") > 0).select("tok", "logprob")
-    scored = per.join(F.broadcast(targets), "tok", "left")
+    scored = exploded.join(F.broadcast(targets), "tok", "left")
     agg = scored.groupBy(id_col).agg(F.sum(F.col("_tgt") * F.col("logprob")).alias("_s"),
-                                     F.sum("_tgt").alias("_c"), F.sum("_all").alias("_n"))
+                                     F.sum("_tgt").alias("_c"), F.count("tok").alias("_n"))
     # an example without tokens or without targets has no loss
     losses = agg.select(id_col, F.when((F.col("_n") == 0) | (F.col("_c") == 0), F.lit(float("nan")))
                         .otherwise(-F.col("_s") / F.col("_c")).alias("loss"))
     return table.filter(F.col("tok").isNotNull()), losses
 
 
+# --- G3 per label: the label whose words fit best ---------------------------------------
+
+def choose_label(train: DataFrame, rows: DataFrame, text: Column, label: Column,
+                 labels: list[int], id_col: str = "id") -> DataFrame:
+    """The count model (G3) conditioned on the label, as a classifier: ``id, label``.
+
+    Add-one log-probabilities of the space-separated words of ``text`` are counted per
+    label over all of ``train`` (null labels aside); every row of ``rows`` gets the label
+    under which its words' mean negative log-probability, to 6 digits, is lowest (ties:
+    the first in order). The token table has a row per distinct word; the join to it is
+    left to the optimizer, which broadcasts it by measured size only.
+    """
+    def words(df, *keep):
+        return df.select(*keep, F.explode(F.split(F.coalesce(text, F.lit("")), " ")).alias("tok"))
+
+    counts = words(train.filter(label.isNotNull()), label.alias("_l")).groupBy("tok").agg(
+        *[F.count(F.when(F.col("_l") == k, F.lit(1))).alias(f"_n{k}") for k in labels])
+    totals = counts.agg(F.struct(F.count(F.lit(1)).alias("v"), *[
+        F.coalesce(F.sum(f"_n{k}"), F.lit(0)).alias(f"t{k}") for k in labels])).scalar()
+    scored = words(rows, id_col).join(counts, "tok", "left").groupBy(id_col).agg(*[
+        F.round(-F.avg(F.log((F.coalesce(F.col(f"_n{k}"), F.lit(0)) + 1)
+                             / F.greatest(totals[f"t{k}"] + totals["v"], F.lit(1)))), 6).alias(f"_s{k}")
+        for k in labels])
+    return scored.select(id_col, F.array_min(F.array(*[
+        F.struct(F.col(f"_s{k}").alias("s"), F.lit(k).alias("l")) for k in labels]))["l"].alias("label"))
+
+
 # --- G2: loss of one example ---------------------------------------------------------
 
 def example_loss(labels: Column, logprobs: Column) -> Column:

@@ -59,6 +59,16 @@ def tokenize_records(df: DataFrame, template: Template, encoder: Encoder | None
                          labels.alias("labels"))
 
 
+def cut_fields(df: DataFrame, encoder: Encoder, cutoff_len: int | None,
+               fields: tuple[str, ...] = ("instruction", "input", "output")) -> DataFrame:
+    """What truncated records can use of their fields, for a shuffle before the encoding:
+    with one id per character, the first ``cutoff_len`` characters of each field. Other
+    encoders need whole texts and get them."""
+    if not encoder.native or cutoff_len is None:
+        return df
+    return df.withColumns({f: F.substring(F.col(f).cast("string"), 1, max(cutoff_len, 1)) for f in fields})
+
+
 def encode_column(df: DataFrame, text: str, encoder: Encoder | None = None,
                   out: str = "input_ids", cutoff: int | None = None) -> DataFrame:
     """Encode one text column (no end-of-text, no mask)."""

@@ -111,7 +111,7 @@ def main(argv=None) -> None:
 
     from pyspark.sql import SparkSession
 
-    from ..sources.readers import read_instructions, read_nested_qa
+    from ..sources.readers import QA_SCHEMA, read_instructions, read_nested_qa
 
     ap = argparse.ArgumentParser(description="evaluation jobs")
     ap.add_argument("--task", choices=["jnli", "ppl-vqa"], required=True)
@@ -142,7 +142,7 @@ def main(argv=None) -> None:
         if args.data.endswith(".json"):
             qa = read_nested_qa(spark, args.data)
         else:
-            qa = read_instructions(spark, args.data)
+            qa = read_instructions(spark, args.data, QA_SCHEMA)
         from .training import with_record_id
         qa = with_record_id(qa)
         scorer = load_scorer(args.scorer) if args.scorer else None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.templates import get_template, render, render_sql
 from ..functions.tokens import CP_EOS, CodePoints, codepoints_sql, ids_text
-from ..operators.tokenize import tokenize_records
+from ..operators.tokenize import cut_fields, tokenize_records
 from ..sources import tables
 from .registry import register
 
@@ -137,6 +137,7 @@ from m""")
 def train_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5 -> exact split (20 validation rows) -> shuffled -> batches of 8 -> left pad to x8."""
     recs = tables.inst(spark, sf_dir).select("id", "instruction", "input", "output")
+    recs = cut_fields(recs, CodePoints(), CUTOFF)
     order = O.exact_split(recs, "id", VAL_RECORDS, SEED).derive(
         lambda d: tokenize_records(d, ALPACA, CodePoints(), cutoff_len=CUTOFF,
                                    train_on_inputs=True,
@@ -257,14 +258,14 @@ def template_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("decode_ids", sql=_with(
     tables.INST_SQL,
-    f"""enc as (select id, {codepoints_sql(render_sql(ALPACA, 'instruction', 'input', 'output'), CUTOFF)} as ids0 from inst)""",
-    f"""e2 as (select id, {_eos_sql('ids0', CUTOFF)} as ids from enc)""",
+    f"""enc as (select id, {codepoints_sql(render_sql(ALPACA, 'instruction', 'input', 'output'))} as ids0 from inst)""",
+    f"""e2 as (select id, {_eos_sql('ids0', None)} as ids from enc)""",
 ) + f"""select id, array_to_string(list_transform(list_filter(ids, lambda i: i < {CP_EOS}),
        lambda i: chr(i)), '') as text from e2""")
 def decode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids of the training records back to text, special ids skipped."""
+    """Token ids of the whole training records back to text, special ids skipped."""
     recs = tables.inst(spark, sf_dir)
-    tok = tokenize_records(recs, ALPACA, CodePoints(), cutoff_len=CUTOFF)
+    tok = tokenize_records(recs, ALPACA, CodePoints(), cutoff_len=None, truncation=False)
     return tok.select("id", CodePoints().decode(F.col("input_ids")).alias("text"))
 
 
@@ -353,32 +354,54 @@ def nli_encode_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "fits")
 
 
-def _rule_reply_sql(prompts: str) -> str:
-    w = S.RuleReplyScorer.WORDS
-    return (f"({prompts} || case length({prompts}) % 3 when 0 then {sql_literal(w[0])} "
-            f"when 1 then {sql_literal(w[1])} else {sql_literal(w[2])} end || chr(10))")
-
-
 WS_SQL = sql_chars(PY_WHITESPACE)
-GEN_SQL = f"""gen as (select sentence_pair_id, expected, {_rule_reply_sql('prompts')} as generated from nli_eval),
+LABELS = sorted(E.NLI_LABEL_WORDS)
+PAIR_TEXT_SQL = "string_split(concat_ws(' ', sentence1, sentence2), ' ')"
+GEN_SQL = f"""lw as (select label, unnest({PAIR_TEXT_SQL}) as tok from nli where split = 'train' and label is not null),
+lc as (select tok, {', '.join(f"count(*) filter (label = {k}) as n{k}" for k in LABELS)} from lw group by tok),
+lt as (select count(*) as v, {', '.join(f"coalesce(sum(n{k}), 0) as t{k}" for k in LABELS)} from lc),
+rw as (select sentence_pair_id, unnest({PAIR_TEXT_SQL}) as tok from nli where split = 'validation'),
+rs as (select sentence_pair_id, {', '.join(f"round(-avg(ln((coalesce(n{k}, 0) + 1) / greatest(t{k} + v, 1))), 6) as s{k}" for k in LABELS)}
+       from rw left join lc on lc.tok = rw.tok cross join lt group by sentence_pair_id),
+rl as (select sentence_pair_id, case when s0 <= s1 and s0 <= s2 then 0 when s1 <= s2 then 1 else 2 end as label from rs),
+rep as (select sentence_pair_id, {_label_word_sql('label')} as reply from rl),
+gen as (select e.sentence_pair_id, e.expected, e.prompts || rep.reply || chr(10) as generated
+        from nli_eval e join rep on rep.sentence_pair_id = e.sentence_pair_id),
 ans as (select sentence_pair_id, expected, generated,
         trim(split_part(generated, {sql_literal(E.RESPONSE_MARKERS['ja'])}, -1), {WS_SQL}) as answer from gen)"""
 
 
+def _nli_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label word that the count model conditioned on the label, fitted on the whole
+    train split, prefers for each validation pair."""
+    pairs = tables.nli(spark, sf_dir)
+    chosen = S.choose_label(E.select_split(pairs, "train"), E.select_split(pairs, "validation"),
+                            F.concat_ws(" ", "sentence1", "sentence2"), F.col("label"), LABELS,
+                            id_col="sentence_pair_id")
+    return chosen.select("sentence_pair_id", E.label_word(F.col("label")).alias("reply"))
+
+
 def _nli_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = E.require_columns(E.nli_eval_set(tables.nli(spark, sf_dir), shot=0, language="ja"))
-    # M3: the expected word rides through the scoring job with its row: no join
-    gen = S.score(ev, S.RuleReplyScorer(temperature=0.01, top_p=0.75, top_k=40, num_beams=1),
-                  id_col="sentence_pair_id", passthrough=["expected"])
+    both = S.pair(ev, _nli_replies(spark, sf_dir), "sentence_pair_id")
+    gen = both.withColumn("generated", F.concat("prompts", "reply", F.lit("\n")))
     return gen.withColumn("answer", S.answer_after_last(F.col("generated"), E.RESPONSE_MARKERS["ja"]))
 
 
+@register("nli_pair_replies", sql=_with(tables.NLI_SQL, NLI_ZERO_SQL, GEN_SQL) + """
+select e.sentence_pair_id, e.expected, rep.reply from nli_eval e
+join rep on rep.sentence_pair_id = e.sentence_pair_id""")
+def nli_pair_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G3 per label + M3: expected words and the model's replies, matched on the pair id."""
+    ev = E.nli_eval_set(tables.nli(spark, sf_dir), shot=0, language="ja")
+    return S.pair(ev.select("sentence_pair_id", "expected"), _nli_replies(spark, sf_dir), "sentence_pair_id")
+
+
 @register("nli_generate", sql=_with(tables.NLI_SQL, NLI_ZERO_SQL, GEN_SQL) +
           "select sentence_pair_id, expected, generated, answer from ans")
 def nli_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1 + X2 + X3 + M3: score every prompt (test generator, Arrow batches),
-    take the text after the last marker, strip it; the expected word stays on
-    its row through the job."""
+    """X2 + X3 + M3: prompt and reply as a model emits them, the text after the last
+    marker, stripped."""
     return _nli_answers(spark, sf_dir).select("sentence_pair_id", "expected", "generated", "answer")
 
 
@@ -556,23 +579,6 @@ def chat_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("conv_id", "turn", C.cut_at_stop(C.decode_newlines(gen)).alias("reply"))
 
 
-# --- T1 with a vocabulary encoder (Python worker, Arrow batches) -----------------------
-
-from ..functions.tokens import get_encoder  # noqa: E402
-
-
-@register("train_records_bpe")
-def train_records_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T5 with the byte-level BPE vocabulary (encoded in a pandas_udf), cutoff
-    256, prompt masked: the user prompt is encoded separately, as its merges
-    can differ at the boundary. No SQL oracle (DuckDB has no tokenizer);
-    tests compare it with the tokenizer library called directly."""
-    recs = tables.inst(spark, sf_dir)
-    tok = tokenize_records(recs, ALPACA, get_encoder("byte_bpe_50k"), cutoff_len=CUTOFF,
-                           train_on_inputs=False)
-    return _tokens_out(tok, "id")
-
-
 # --- variants: bounded chat history, Japanese question template ------------------------
 
 from .evaluation import perplexity_records  # noqa: E402
@@ -591,7 +597,8 @@ RECENT = 4   # messages of history a bounded-context model keeps
        || {sql_literal(C.JAPANESE_ROLES[1] + ':')} as prompt
 from hist h left join sys on sys.conv_id = h.conv_id where h.role = 'user'""")
 def chat_prompts_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C1 with a bounded history: the latest 4 messages (sliding frame)."""
+    """C1 with a bounded history (an option of ours for models with a short context): the
+    latest 4 messages, by a sliding frame."""
     return C.conversation_prompts(tables.conversations(spark, sf_dir), max_messages=RECENT)
 
 
@@ -626,3 +633,24 @@ def prompt_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = tables.inst(spark, sf_dir)
     p = render(ALPACA, F.col("instruction"), F.col("input"), F.col("output"))
     return recs.select("id", S.answer_after_first(p, ALPACA.response_split).alias("response"))
+
+
+# --- S3, S4: nested question lists ---------------------------------------------------------
+
+from ..sources.readers import NESTED_QA_SCHEMA, flatten_qa  # noqa: E402
+
+
+@register("qa_flatten", sql="""
+select u.text as question, a.text as answer from conversations u left join conversations a
+  on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant'
+where u.role = 'user'""")
+def qa_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + S4: documents with a ``qas`` list (one user turn each, with a key of its own,
+    and without the answer key where no reply follows), read as JSON and flattened."""
+    conv = tables.conversations(spark, sf_dir)
+    reply = conv.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    qa = conv.filter(F.col("role") == "user").join(reply, ["conv_id", "turn"], "left").select(
+        F.array(F.struct(F.col("text").alias("question"), "answer", "turn")).alias("qas"))
+    nested = qa.select(F.from_json(F.to_json(F.struct("qas")), NESTED_QA_SCHEMA).alias("d")).select("d.qas")
+    return flatten_qa(nested)

@@ -24,19 +24,24 @@ from ..functions.templates import Template, training_template
 from ..functions.tokens import Encoder, get_encoder
 from ..operators import batches as B
 from ..operators import order as O
-from ..operators.tokenize import tokenize_records
+from ..operators.evalsets import select_split
+from ..operators.tokenize import cut_fields, tokenize_records
 from ..sources.readers import read_instructions
 
 VAL_SET_SIZE = 2000   # validation rows of the training job
 SPLIT_SEED = 42       # seed of its split
 
 
+COPIES = 100_000      # copies of one record that one task writes out
+
+
 def with_record_id(df: DataFrame, id_col: str = "id") -> DataFrame:
     """Give records read from files a deterministic id that depends on neither the folder
-    nor the partition layout. Parquet: file name, row index and content hash, so that a
-    record a corpus repeats very often still spreads over all buckets; other formats have
-    no row index: the content hash (equal records are interchangeable). Call it on the
-    DataFrame as read (before any shuffle)."""
+    nor the partition layout, and that is unique, so that a record a corpus repeats very
+    often still spreads over all buckets. Parquet: file name, row index and content hash
+    (call it on the DataFrame as read, before any shuffle). Formats without a row index:
+    content hash and number of the copy; copies are counted (summed in the tasks first)
+    and written out again in runs of ``COPIES``, so a hot record is no hot group."""
     if id_col in df.columns:
         return df
     content = F.md5(F.to_json(F.struct(*df.columns)))
@@ -44,7 +49,16 @@ def with_record_id(df: DataFrame, id_col: str = "id") -> DataFrame:
         return df.withColumn(id_col, F.concat_ws(":", F.col("_metadata.file_name"), F.col(
             "_metadata.row_index").cast("string"), content))
     except AnalysisException:      # no row index in this format
-        return df.withColumn(id_col, content)
+        pass
+    groups = df.groupBy(content.alias("_content")).agg(
+        F.first(F.struct(*df.columns)).alias("_row"), F.count(F.lit(1)).alias("_n"))
+    runs = groups.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                        F.floor((F.col("_n") - 1) / COPIES))))
+    dealt = runs.filter(F.col("_n") <= COPIES).union(
+        runs.filter(F.col("_n") > COPIES).repartition("_content", "_k"))
+    return dealt.withColumn("_copy", F.explode(F.sequence(
+        F.col("_k") * COPIES + 1, F.least((F.col("_k") + 1) * COPIES, F.col("_n"))))).select(
+        "_row.*", F.concat_ws(":", "_content", "_copy").alias(id_col))
 
 
 def training_batches(records: DataFrame, template: Template, encoder: Encoder,
@@ -52,15 +66,20 @@ def training_batches(records: DataFrame, template: Template, encoder: Encoder,
                      val_set_size: int = VAL_SET_SIZE, seed: int | str = SPLIT_SEED,
                      shuffle_seed: int | str | None = None, train_on_inputs: bool = True,
                      pad_id: int | None = None, id_col: str = "id",
-                     group_by_length: bool = False) -> DataFrame:
+                     group_by_length: bool = False, split: str | None = None) -> DataFrame:
     """The whole training data plan as one lazy DataFrame with columns
     ``id, split, position, batch, width, input_ids, attention_mask, labels``.
 
     ``group_by_length`` (off by default, as in the training job) orders the
     train split by the length-grouped rule (B3) before batching, as a
     length-grouped training sampler does; validation keeps the shuffled order.
+    ``split`` keeps one split of a dataset that has a split column (S2).
     """
-    recs = with_record_id(records, id_col).select(id_col, "instruction", "input", "output")
+    recs = with_record_id(records, id_col)
+    if split is not None:
+        recs = select_split(recs, split)
+    recs = recs.select(id_col, "instruction", "input", "output")
+    recs = cut_fields(recs, encoder, cutoff_len)     # the shuffle moves no more than is used
     order = O.exact_split(recs, id_col, val_set_size, seed, shuffle_seed=shuffle_seed)
     order = order.derive(lambda d: tokenize_records(
         d, template, encoder, cutoff_len=cutoff_len, train_on_inputs=train_on_inputs,
@@ -122,6 +141,7 @@ def main(argv=None) -> None:
     ap.add_argument("--devices", type=int, default=1)
     ap.add_argument("--val-set-size", type=int, default=VAL_SET_SIZE)
     ap.add_argument("--pad-id", type=int)
+    ap.add_argument("--split", help="split of the dataset to train on (default: all rows)")
     ap.add_argument("--group-by-length", action="store_true")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("tessera-training-data").getOrCreate()
@@ -129,7 +149,7 @@ def main(argv=None) -> None:
     df = training_batches(records, training_template(args.japanese), get_encoder(args.encoder),
                           args.cutoff_len, args.micro_batch_size, args.devices,
                           args.val_set_size, pad_id=args.pad_id,
-                          group_by_length=args.group_by_length)
+                          group_by_length=args.group_by_length, split=args.split)
     write_batches(df, args.out)
     n = spark.read.parquet(args.out).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
     for r in n.collect():

@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import table_path
 
-TURN_SPAN = 1_000_000   # record id = conv_id * TURN_SPAN + turn
-LINE_SPAN = 1_000_000   # pair id = doc_id * LINE_SPAN + line position
+# record id: "conv_id:turn"; pair id: "doc_id:line position"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,15 +41,15 @@ def inst(spark: SparkSession, sf_dir: str) -> DataFrame:
               .agg(F.min_by("text", "turn").alias("sys")))
     pairs = user.join(nxt, ["conv_id", "turn"], "inner")
     return pairs.join(system, "conv_id", "left").select(
-        (F.col("conv_id") * TURN_SPAN + F.col("turn")).alias("id"),
+        F.concat_ws(":", "conv_id", "turn").alias("id"),
         F.col("text").alias("instruction"),
         F.coalesce(F.col("sys"), F.lit("")).alias("input"),
         F.col("reply").alias("output"),
         "conv_id", "turn")
 
 
-INST_SQL = f"""inst as (
-  select u.conv_id * {TURN_SPAN} + u.turn as id, u.text as instruction,
+INST_SQL = """inst as (
+  select u.conv_id::varchar || ':' || u.turn::varchar as id, u.text as instruction,
          coalesce(s.sys, '') as input, a.text as output, u.conv_id, u.turn
   from conversations u
   join conversations a
@@ -77,7 +76,7 @@ def nli(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "label", F.posexplode(
                 F.when(n > 0, pairs).otherwise(F.array().cast(
                     "array<struct<s1:string,s2:string>>"))).alias("pos", "p"))
-            .select((F.col("doc_id") * LINE_SPAN + F.col("pos")).alias("sentence_pair_id"),
+            .select(F.concat_ws(":", "doc_id", "pos").alias("sentence_pair_id"),
                     "doc_id",
                     F.col("p.s1").alias("sentence1"), F.col("p.s2").alias("sentence2"),
                     "label",
@@ -85,12 +84,12 @@ def nli(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .otherwise(F.lit("validation")).alias("split")))
 
 
-NLI_SQL = f"""nli_docs as (
+NLI_SQL = """nli_docs as (
   select d.doc_id, string_split(d.text, chr(10)) as ls,
          cast(l.quality + l.toxic as integer) as label
   from documents d join labels l on l.doc_id = d.doc_id),
 nli as (
-  select doc_id * {LINE_SPAN} + (i - 1) as sentence_pair_id, doc_id,
+  select doc_id::varchar || ':' || (i - 1)::varchar as sentence_pair_id, doc_id,
          ls[i] as sentence1, ls[i + 1] as sentence2, label,
          case when doc_id % 2 = 0 then 'train' else 'validation' end as split
   from (select doc_id, ls, label, unnest(range(1, len(ls))) as i from nli_docs))"""

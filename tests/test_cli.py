@@ -24,7 +24,7 @@ def test_evaluation_cli(spark, tmp_dir, capsys):
     tables.nli(spark, SF_CHECK).write.parquet(pairs)
     EV.main(["--task", "ppl-vqa", "--data", qa, "--max-length", "4096"])
     EV.main(["--task", "jnli", "--data", pairs, "--scorer",
-             "tessera.operators.scoring:RuleReplyScorer", "--max-length", "100000",
+             "tests.stand_in:RuleReplyScorer", "--max-length", "100000",
              "--save-dir", os.path.join(tmp_dir, "res"), "--model-path", "org/m"])
     out = capsys.readouterr().out
     assert "ppl-vqa: n=233" in out and "jnli: n=1745" in out

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tessera.operators import evalsets as E
 from tessera.operators import scoring as S
 
+from .stand_in import WORDS, RuleReplyScorer
+
 
 def py_nli_prompt(s1, s2, response, example=""):
     return E.NLI_PROMPT.format(example=example, input1=s1, input2=s2, response=response)
@@ -100,9 +102,9 @@ def test_accuracy_rules(spark):
 
 def test_scoring_job_keeps_ids(spark):
     df = spark.createDataFrame([(i, f"p{i}", "e") for i in range(50)], "id long, prompts string, expected string")
-    out = S.score(df.repartition(4), S.RuleReplyScorer())
+    out = S.score(df.repartition(4), RuleReplyScorer())
     got = {r.id: r.generated for r in out.collect()}
-    assert got == {i: f"p{i}" + S.RuleReplyScorer.WORDS[len(f"p{i}") % 3] + "\n" for i in range(50)}
+    assert got == {i: f"p{i}" + WORDS[len(f"p{i}") % 3] + "\n" for i in range(50)}
 
 
 def test_loss_and_perplexity(spark):

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions.templates import get_template
 from tessera.functions.tokens import CP_PAD, CodePoints
-from tessera.operators import scoring as S
 from tessera.plans import evaluation as EV
 from tessera.plans import training as TR
 from tessera.plans.registry import load_all
 from tessera.sources import tables
 
 from .conftest import SF_CHECK
+from .stand_in import WORDS, RuleReplyScorer
 
 REG = load_all()
 
@@ -45,6 +45,7 @@ def test_training_plan_moves_text_once(spark):
     # the data moves once (main and correction branch share it at run time); the other
     # bucket exchanges carry only bucket counts
     assert plan.count("REPARTITION_BY_COL") == 2
+    assert "substring(" in plan.split("REPARTITION_BY_COL")[1]     # cut before it moves
     assert "rangepartitioning" not in plan               # no sampling pass over the input
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
     # the width window reuses the bucket partitioning: no exchange on (split, _bucket, batch)
@@ -58,9 +59,13 @@ def test_few_shot_plan_limits_before_shuffle(spark):
 
 def test_nli_job_matches_query(spark, tmp_dir):
     pairs = tables.nli(spark, SF_CHECK)
-    report, results = EV.nli_accuracy_job(pairs, S.RuleReplyScorer(), guard="flag",
+    report, results = EV.nli_accuracy_job(pairs, RuleReplyScorer(), max_length=100_000,
                                           save_dir=tmp_dir, model_path="org/m1", lora=True)
-    assert tuple(report.first()) == tuple(REG["nli_accuracy"].run(spark, SF_CHECK).first())
+    ev = REG["nli_prompts"].run(spark, SF_CHECK).collect()
+    hits = sum(WORDS[len(r.prompts) % 3] == r.expected for r in ev)
+    task, n, value = report.first()
+    assert (task, n) == ("jnli", len(ev)) and abs(value - hits / len(ev)) < 1e-4
+    assert results.count() == n
     files = glob.glob(os.path.join(tmp_dir, "jnli_*_m1_lora.csv", "part-*"))
     assert files and open(files[0], encoding="utf-8").readline().strip() == "ground,generated"
 
@@ -97,6 +102,21 @@ def test_identical_records_spread_and_split_exactly(spark, tmp_dir):
         assert max(r["count"] for r in per_bucket) < 600 / 16 * 2
 
 
+def test_copies_beyond_one_run_and_split(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(TR, "COPIES", 4)
+    path = os.path.join(tmp_dir, "copies.jsonl")
+    with open(path, "w", encoding="utf-8") as fh:
+        fh.write('{"instruction": "a", "output": "b", "split": "train"}\n' * 10)
+        fh.write('{"instruction": "c", "input": "", "output": "d", "split": "test"}\n' * 3)
+    src = spark.read.schema("instruction string, input string, output string, split string").json(path)
+    rows = TR.with_record_id(src).collect()
+    assert len(rows) == len({r.id for r in rows}) == 13
+    assert sum(r.instruction == "a" and r.input is None for r in rows) == 10
+    df = TR.training_batches(src, get_template("alpaca"), CodePoints(), 64, 8, 1, val_set_size=4,
+                             split="train")
+    assert df.count() == 10
+
+
 def test_training_job_group_by_length(spark):
     import hashlib
     import math

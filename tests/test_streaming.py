@@ -11,6 +11,7 @@ from tessera.sources.tables import inst
 from tessera.streaming import stream as ST
 
 from .conftest import SF_SMALL
+from .stand_in import RuleReplyScorer
 
 
 def test_stream_equals_batch(spark, tmp_dir):
@@ -67,7 +68,7 @@ def test_scoring_job_on_stream(spark, tmp_dir):
 
     def build(df):
         ev = E.nli_eval_set(df, shot=0, language="ja")
-        gen = S.score(ev, S.RuleReplyScorer(), id_col="sentence_pair_id", passthrough=["expected"])
+        gen = S.score(ev, RuleReplyScorer(), id_col="sentence_pair_id", passthrough=["expected"])
         return gen.withColumn("answer", S.answer_after_last(F.col("generated"), "### 返答:\n"))
 
     batch = build(pairs)

@@ -12,9 +12,14 @@ import sys
 sys.path.insert(0, {ROOT!r})
 import __spark_entry__ as e
 from pyspark.sql import SparkSession
+from tessera.functions.templates import get_template
+from tessera.functions.tokens import get_encoder
+from tessera.operators.tokenize import tokenize_records
+from tessera.sources import tables
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
 print("ROWS", e.queries()["nli_accuracy"](spark, "/root/testdata/sf0.001").count(),
-      e.queries()["train_records_bpe"](spark, "/root/testdata/sf0.001").count() > 0)
+      tokenize_records(tables.inst(spark, "/root/testdata/sf0.001"), get_template("alpaca"),
+                       get_encoder("byte_bpe_50k"), cutoff_len=256).count() > 0)
 """
 
 
