@@ -1,9 +1,10 @@
 """Corpus pipeline: documents -> selected, deduplicated, packed training sequences.
 
 Each stage is a function of ``(spark, docs, sf_dir)``; all but the last return the columns
-of ``documents``, the last one row per packed piece. Stages keep rows with null ids as
-they are, take null text as empty, and give empty results on empty tables; see the
-operators for ties and repeated rows.
+of ``documents``, the last one row per packed piece. Every row is a document of its own: the
+first three stages decide and drop by row, so of rows that share an id each stands for
+itself, rows with null ids are dropped like any other, and one row of each text or group
+stays. Stages take null text as empty and give empty results on empty tables.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from tessera.session import table_path
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Importance resampling against the labelled good documents; rejected documents go."""
+    """Importance resampling against the labelled good documents; rejected rows go."""
     return importance.keep_selected(docs, spark.read.parquet(table_path(sf_dir, "labels")))
 
 

@@ -39,6 +39,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROW = "__t_row"
+
+
+def with_rows(df: DataFrame) -> DataFrame:
+    """``df`` with a unique number per row (``ROW``), written so that it stays the same
+    however often the rows are read."""
+    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def first_rows(df: DataFrame, group_col: str, id_col: str) -> DataFrame:
+    """The ``ROW`` of one row per group: of the smallest id (null last), and there of the
+    smallest row number."""
+    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col(ROW).alias("r"))
+    return df.groupBy(group_col).agg(F.min(order).alias("s")).select(F.col("s.r").alias(ROW))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str) -> DataFrame:
     """``mapInArrow`` with this package shipped to the workers."""

@@ -7,9 +7,10 @@ through, and only the others are shuffled and grouped by their digest.
 
 Texts are equal when identical after each run of white space (space, tab to carriage
 return) is replaced by one space. Null text counts as empty. Of equal texts the row
-with the smallest id stays; rows that repeat an id and a text all carry the same
-decision. Rows with a null id never stay before a row with an id (nulls only: all stay).
-An empty table gives an empty result; other columns are ignored.
+with the smallest id stays; in ``exact_groups``, which tells of documents, rows that
+repeat an id and a text all carry the same decision. Rows with a null id never stay before
+a row with an id (nulls only: all stay). ``drop_copies`` leaves exactly one row of each
+text. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import materialize
+from .common import ROW, first_rows, materialize
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -51,9 +52,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without the rows whose text a smaller id has."""
-    gone = exact_groups(docs, id_col, text_col).filter("not kept").select("doc_id")
-    return bloom.drop_ids(docs, id_col, materialize(gone, "copies"))
+    """One row of ``docs``, all columns, per text: the row of the smallest id. Only rows whose
+    text may repeat are written and numbered; all others pass straight through."""
+    digested = docs.withColumn("__t_digest", F.sha2(normalized(F.col(text_col)), 256))
+    key = F.xxhash64("__t_digest")
+    keys = materialize(digested.select(key.alias("_k")), "digest-keys")
+    log2 = bloom.log2_bits(keys.count())
+    probed = bloom.probe(digested, key, bloom.build_repeated(keys, "_k", log2), log2, "__t_copy")
+    maybe = materialize(probed.filter("__t_copy").withColumn(ROW, F.monotonically_increasing_id()), "maybe-copies")
+    first = materialize(first_rows(maybe, "__t_digest", id_col), "first-copies")
+    return (probed.filter("not __t_copy").select(*[F.col(f"`{c}`") for c in docs.columns])
+            .unionByName(bloom.drop_ids(maybe, ROW, first, drop=False)
+                         .select(*[F.col(f"`{c}`") for c in docs.columns])))
 
 
 ORACLE_SQL = r"""

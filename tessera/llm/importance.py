@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import (collect_blocks, column, map_arrow, materialize, sum_blocks, text_bytes,
-                     text_slices)
+from .common import (ROW, collect_blocks, column, map_arrow, materialize, sum_blocks, text_bytes,
+                     text_slices, with_rows)
 from .words import mix, pair_hashes, word_hashes, words_of
 
 BUCKETS = 1 << 18          # per n-gram order
@@ -83,10 +83,12 @@ def label_sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
 
 
 def _labelled(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, text, good`` of all documents; the sample has at most SAMPLE rows."""
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """``doc_id, text, good`` of all documents, and their row number if they have one; the
+    sample has at most SAMPLE rows."""
+    row = F.col(ROW) if ROW in docs.columns else F.lit(None).cast("long")
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row.alias(ROW))
             .join(F.broadcast(sample), F.col("doc_id") == F.col("__t_id"), "left")
-            .select("doc_id", "text", "good"))
+            .select("doc_id", "text", "good", ROW))
 
 
 def fit(labelled: DataFrame) -> np.ndarray:
@@ -125,7 +127,7 @@ def fit(labelled: DataFrame) -> np.ndarray:
 
 
 def weigh(labelled: DataFrame, table: np.ndarray) -> DataFrame:
-    """``doc_id, n_words, log_weight, good`` per document."""
+    """``doc_id, n_words, log_weight, good`` and the row number per document."""
     shared = labelled.sparkSession.sparkContext.broadcast(table)
 
     def score(batches):
@@ -137,9 +139,9 @@ def weigh(labelled: DataFrame, table: np.ndarray) -> DataFrame:
                 weight = np.bincount(row, weights=ratio[idx].astype(np.float64), minlength=n)
                 yield pa.RecordBatch.from_arrays(
                     [column(part, "doc_id"), pa.array(words, pa.int64()), pa.array(weight, pa.float64()),
-                     column(part, "good")], ["doc_id", "n_words", "log_weight", "good"])
+                     column(part, "good"), column(part, ROW)], ["doc_id", "n_words", "log_weight", "good", ROW])
 
-    return map_arrow(labelled, score, "doc_id long, n_words long, log_weight double, good boolean")
+    return map_arrow(labelled, score, f"doc_id long, n_words long, log_weight double, good boolean, {ROW} long")
 
 
 def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
@@ -204,6 +206,11 @@ def gumbel(id_col: str, seed: int) -> F.Column:
 def select(docs: DataFrame, labels: DataFrame, seed: int = 7, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, log_weight, gumbel_key, kept`` per document."""
+    return _decide(docs, labels, seed, id_col, text_col).drop(ROW)
+
+
+def _decide(docs: DataFrame, labels: DataFrame, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """``select``, with the row number of each document."""
     labelled = _labelled(docs, materialize(label_sample(labels), "label-sample"), id_col, text_col)
     scores = materialize(weigh(labelled, fit(labelled)).withColumn(
         "gumbel_key", F.col("log_weight") + gumbel("doc_id", seed)), "weights")
@@ -213,11 +220,12 @@ def select(docs: DataFrame, labels: DataFrame, seed: int = 7, id_col: str = "doc
     k = scores.filter(F.col("log_weight") >= cut).count()
     least = kth_largest(scores, "gumbel_key", k)
     return scores.select("doc_id", "n_words", "log_weight", "gumbel_key",
-                         (F.col("gumbel_key") >= least).alias("kept"))
+                         (F.col("gumbel_key") >= least).alias("kept"), ROW)
 
 
-def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
+def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 7, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without the documents that selection rejects."""
-    gone = select(docs, labels, id_col=id_col, text_col=text_col).filter("not kept").select("doc_id")
-    return bloom.drop_ids(docs, id_col, materialize(gone, "rejected"))
+    """The rows of ``docs``, all columns, without the rows that selection rejects."""
+    rows = with_rows(docs)
+    gone = _decide(rows, labels, seed, id_col, text_col).filter("not kept").select(ROW)
+    return bloom.drop_ids(rows, ROW, materialize(gone, "rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -376,3 +376,38 @@ def test_pages(spark):
                    1: "", 2: "", 3: "just text", 4: "open tags", 5: "", 6: "Head\nOne"}
     assert html_text.extract(df.limit(0)).count() == 0
     assert html_text.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+
+
+def test_pipeline_decides_by_row(spark):
+    rng = np.random.default_rng(12)
+    word = lambda n: " ".join(f"q{int(x)}" for x in rng.integers(0, 10 ** 6, n))
+    twice, null_copy, other, near = word(60), word(60), word(60), word(120)
+    rows = [(1, twice), (1, twice), (2, null_copy), (None, null_copy), (None, null_copy),
+            (3, twice), (3, other), (4, near), (4, near + " end"), (None, near + " stop"), (None, word(5)), (None, None)]
+    df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, rid int")
+    exact = exact_dedup.drop_copies(df)
+    assert exact.columns == df.columns
+    want = collections.Counter({(1, twice): 1, (2, null_copy): 1, (3, other): 1, (4, near): 1, (4, near + " end"): 1,
+                                (None, near + " stop"): 1, rows[10]: 1, (None, None): 1})
+    assert collections.Counter((r.doc_id, r.text) for r in exact.collect()) == want
+    left = [(r.doc_id, r.text) for r in minhash.drop_near_duplicates(df, 5).collect()]
+    assert sorted(i for i, t in left if t and i) == [1, 2, 3, 4]
+    assert len(left) == 6 and sum(t is not None and t.startswith(near) for _, t in left) == 1
+    staged = suffix_dedup.drop_repeats(minhash.drop_near_duplicates(exact, 5))
+    texts = [r.text for r in staged.collect()]
+    assert sorted(t for t in texts if t and len(t) > 100) == sorted(
+        [twice, null_copy, other] + [t for _, t in left if t and t.startswith(near)])
+
+
+def test_selection_drops_rows_not_ids(spark):
+    good = [(i, f"fine words here number {i % 7} " * 5) for i in range(400)]
+    bad = [(1000 + i, "SPAM!! insult " * 10 + str(i % 5)) for i in range(400)]
+    mixed = [(0, bad[0][1]), (1000, good[0][1])] + [(None, bad[1][1])] * 3
+    df = spark.createDataFrame(good + bad + mixed, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 200)] + [(1000 + i, 0, 1) for i in range(1, 200)],
+                                   "doc_id long, quality int, toxic int")
+    want = collections.Counter()
+    for r in importance.select(df, labels).collect():
+        want[r.doc_id] += r.kept
+    got = collections.Counter(r.doc_id for r in importance.keep_selected(df, labels).collect())
+    assert got == +want and got[0] == 1 and got[None] == 0
