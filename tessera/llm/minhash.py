@@ -13,8 +13,9 @@ that share a band are candidates, and every candidate pair is verified on the fu
 3. Only where a bucket still holds several groups, its members are compared across
    groups: documents connected by such buckets form a cluster, a cluster is dealt in
    blocks of ``BLOCK`` documents with their full sets, and a task verifies every pair of
-   different groups that the signatures do not rule out. It gives out links only, and
-   none between groups it has linked already. Links inside a group cannot change the
+   different groups that a bound on the overlap does not rule out (set sizes, and the
+   number of shingles by hash bucket: never below the true overlap, so no link is lost).
+   It gives out links only, and none between groups it has linked already. Links inside a group cannot change the
    result, so no link between groups is lost and no list of pairs is ever written.
 
 Words are runs of bytes other than space and tab to carriage return, A-Z lower-cased. A
@@ -38,7 +39,6 @@ from .words import mix, pair_hashes, word_hashes, words_of
 
 SLOTS, BAND = 96, 4        # 24 bands: a pair at similarity 0.8 is missed with 3e-6
 BLOCK = 512
-MARGIN = 0.12              # signature estimates this far below the threshold are dropped (3 sigma)
 _STEP = np.uint64(52)      # slot value: step in the high bits, fraction in the low 52
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -99,11 +99,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-_SIGNED = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, sig binary"
+_SIGNED = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>"
 
 
 def sign(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, set size, a 128-bit key of the set, band keys and a byte per slot."""
+    """Per row: id, set size, a 128-bit key of the set and band keys."""
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
@@ -111,18 +111,16 @@ def sign(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero(n)
                 bands: list = [None] * len(sets)
-                small: list = [None] * len(sets)
                 key = np.zeros((len(sets), 2), dtype=np.uint64)
                 if len(full):
                     sig = signatures([sets[i] for i in full])
-                    for i, b, s in zip(full.tolist(), band_keys(sig), mix(sig).astype(np.uint8)):
-                        bands[i], small[i] = b, s.tobytes()
+                    for i, b in zip(full.tolist(), band_keys(sig)):
+                        bands[i] = b
                         key[i] = mix(sets[i]).sum(), np.bitwise_xor.reduce(mix(sets[i] + np.uint64(7)))
                 yield pa.RecordBatch.from_arrays(
                     [column(part, "doc_id"), pa.array(n), pa.array(key[:, 0].astype(np.int64)),
-                     pa.array(key[:, 1].astype(np.int64)), pa.array(bands, pa.list_(pa.int64())),
-                     pa.array(small, pa.binary())],
-                    ["doc_id", "n_shingles", "key_a", "key_b", "bands", "sig"])
+                     pa.array(key[:, 1].astype(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "key_a", "key_b", "bands"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return map_arrow(src, run, _SIGNED)
@@ -150,6 +148,16 @@ def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(p) + len(q) - both)
 
 
+def _bucket_counts(items: list[np.ndarray]) -> np.ndarray:
+    """Elements of each set by hash bucket (sets x buckets, a power of two near a quarter
+    of a middling set). The sum of the smaller counts bounds the overlap of two sets."""
+    sizes = np.array([len(s) for s in items])
+    width = 1 << min(11, max(7, int(np.median(sizes)).bit_length() - 2))
+    kind = np.uint16 if sizes.max() < 1 << 16 else np.int64
+    return np.stack([np.bincount((s >> np.uint64(20)).astype(np.int64) & (width - 1), minlength=width).astype(kind)
+                     for s in items])
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets reach the similarity."""
     def check(batches):
@@ -167,23 +175,22 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _cross_links(members: DataFrame, percent: int) -> DataFrame:
     """Links between different groups of one cluster of documents that share buckets, each
-    verified on the full sets where the signatures do not rule it out; a task gives no
+    verified on the full sets where the overlap bound does not rule it out; a task gives no
     link between groups that it has linked already. ``members``: ``cluster, size, id,
-    n_shingles, sig, items, component``."""
-    need = max(0.0, percent / 100 - MARGIN) * SLOTS
-
+    n_shingles, items, component``."""
     def solve(t: pa.Table, out: list) -> None:
         ids, n, comp, blk = (t.column(c).to_numpy() for c in ("id", "n_shingles", "component", "blk"))
         comp = comp.copy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
         items = [np.frombuffer(x, dtype=np.uint64) for x in t.column("items").to_pylist()]
+        counts = _bucket_counts(items)
         across = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
         for i in range(len(ids) - 1):
             j = np.arange(i + 1, len(ids))
             j = j[(comp[j] != comp[i]) & (np.minimum(n[j], n[i]) * 100 >= percent * np.maximum(n[j], n[i]))]
             if across:
                 j = j[blk[j] != blk[i]]
-            for k in j[(sig[j] == sig[i]).sum(axis=1) >= need].tolist():
+            most = np.minimum(counts[j], counts[i]).sum(axis=1, dtype=np.int64)
+            for k in j[100 * most >= percent * (n[j] + n[i] - most)].tolist():
                 if comp[k] != comp[i] and _similar(items[i], items[k], percent):
                     out.append((int(ids[i]), int(ids[k])))
                     comp[comp == comp[k]] = comp[i]
@@ -211,7 +218,7 @@ def _cross_links(members: DataFrame, percent: int) -> DataFrame:
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = (members.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("cluster", "id", "n_shingles", "sig", "items", "component", "blk",
+             .select("cluster", "id", "n_shingles", "items", "component", "blk",
                      F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi")))
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = dealt.repartition(parts, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "id")
@@ -224,8 +231,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     signed = materialize(sign(docs, words, id_col, text_col), "signatures")
     able = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(able.groupBy("key_a", "key_b", "n_shingles").agg(
-        F.min_by(F.struct("doc_id", "bands", "sig"), "doc_id").alias("r")).select(
-        "key_a", "key_b", "n_shingles", F.col("r.doc_id").alias("id"), "r.bands", "r.sig"), "classes")
+        F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("r")).select(
+        "key_a", "key_b", "n_shingles", F.col("r.doc_id").alias("id"), "r.bands"), "classes")
     banded = classes.select("id", "n_shingles", F.explode("bands").alias("key"))
     hubs = materialize(banded.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size"))
                        .filter("size > 1"), "hubs")
@@ -253,7 +260,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         whole = (clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
                  .join(sizes.withColumnRenamed("component", "cluster"), "cluster")
                  .join(_sets(docs, ids, words, id_col, text_col), "id")
-                 .join(classes.select("id", "n_shingles", "sig"), "id")
+                 .join(classes.select("id", "n_shingles"), "id")
                  .join(grouped, F.col("id") == F.col("node"), "left")
                  .withColumn("component", F.coalesce("component", "id")))
         known = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))

@@ -411,3 +411,29 @@ def test_selection_drops_rows_not_ids(spark):
         want[r.doc_id] += r.kept
     got = collections.Counter(r.doc_id for r in importance.keep_selected(df, labels).collect())
     assert got == +want and got[0] == 1 and got[None] == 0
+
+
+def test_unlucky_signatures_do_not_hide_a_link(spark):
+    # true links whose signatures agree in few slots
+    rng = np.random.default_rng(8)
+    found = []
+    while len(found) < 3:
+        sets = []
+        for _ in range(500):
+            x = rng.integers(0, 2 ** 63, 100).astype(np.uint64)
+            sets += [np.sort(x[:90]), np.sort(x[10:])]       # 80 of 100 shared
+        sig = minhash.signatures(sets)
+        same = (sig[::2] == sig[1::2]).sum(axis=1)
+        found += [(sets[2 * i], sets[2 * i + 1], sig[2 * i:2 * i + 2]) for i in np.flatnonzero(same <= 65)]
+    rows = []
+    for k, (a, b, sig) in enumerate(found):
+        small = minhash.mix(sig).astype(np.uint8)
+        rows += [(k, 2, 2 * k, 90, small[0].tobytes(), a.tobytes(), 2 * k),
+                 (k, 2, 2 * k + 1, 90, small[1].tobytes(), b.tobytes(), 2 * k + 1)]
+    members = spark.createDataFrame(rows, "cluster long, size long, id long, n_shingles long, sig binary, "
+                                          "items binary, component long")
+    got = {tuple(sorted(r)) for r in minhash._cross_links(members, 80).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(len(found))}
+    big = [np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64)) for n in (1, 50, 4000)]
+    counts = minhash._bucket_counts(big)
+    assert counts.sum(axis=1).tolist() == [len(s) for s in big]
