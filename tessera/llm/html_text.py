@@ -13,7 +13,11 @@ while another child there reaches the threshold.
 
 Scripts, styles, menus, page headers and footers, sidebars, notices, adverts, forms and
 reader comments are left out before that: by element, by role, and by names in class and
-id. White space inside a block becomes one blank, blocks are trimmed and joined by one
+id. A name counts where it is the last part of a class or id ("main-sidebar") or the first
+one before words for containers ("sidebar-wrap"), not in a layout's name
+("content-sidebar-wrap", "with-sidebar", "layout--sidebar"). An element that is named so, or
+is a form, stays all the same if it holds a main element, the page's first article or h1,
+or (reader comments excepted) more than half of the page's text outside links. White space inside a block becomes one blank, blocks are trimmed and joined by one
 line end; a line break element is white space. Character references are decoded.
 
 Null, empty or text-free html gives the empty text. A tag cut off at the end of the page is
@@ -35,7 +39,7 @@ from .common import column, map_arrow, text_slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(
-    "head script style noscript template nav aside footer form button select textarea input iframe "
+    "head script style noscript template nav aside footer button select textarea input iframe "
     "object svg canvas dialog menu audio video map".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
@@ -46,16 +50,38 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = frozenset("html body table ul ol dl div article section main td th blockquote".split())
 KEPT_ROOT = frozenset("html body article main".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_NAMES = re.compile(
-    r"(?:^|[-_])(?:ads?|advert\w*|adsense|adbox|banner|sidebar|side|menu\w*|nav\w*|foot|footer|header|masthead|"
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
+_NAME = re.compile(
+    r"(?:ads?|advert\w*|adsense|adbox|banner|sidebar|side|menu\w*|nav\w*|foot|footer|header|masthead|"
     r"cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|share|sharing|social|related|"
     r"recommend\w*|comments?|commentlist|respond|disqus|replies|newsletter|subscribe|subscription|promo\w*|"
-    r"sponsor\w*|breadcrumbs?|widget|pagination|pager|toolbar|copyright|login|signup)(?:$|[-_\d])", re.I)
-_NOT_NAMES = re.compile(r"^(?:has|with|without|no|is|not)[-_]", re.I)
+    r"sponsor\w*|breadcrumbs?|widget|pagination|pager|toolbar|copyright|login|signup|widgets)")
+_COMMENT = re.compile(r"comments?|commentlist|respond|disqus|replies")
+_NOT_BEFORE = frozenset("has with without no is not by".split())
+_CONTAINERS = frozenset(
+    "area list wrap wrapper container box block section group row col column inner outer content body panel item "
+    "items link links icon icons button buttons btn bar form post posts article articles title heading left right "
+    "top bottom primary secondary main unit slot zone thread text message image logo site page".split())
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
 
+def _name_kind(token: str) -> str | None:
+    """"comment" or "other" if a class or id names something that is not main text."""
+    token = token.lower()
+    split = [p for p in re.split(r"([-_]+)", token) if p]
+    words = [(re.sub(r"\d.*", "", p), split[i - 1] if i else "") for i, p in enumerate(split) if p[0] not in "-_"]
+    words = [w for w in words if w[0]]
+    if not words or words[0][0] in _NOT_BEFORE:
+        return None
+    last, glue = words[-1]
+    named = None
+    if _NAME.fullmatch(last) and glue != "--" and (len(words) < 2 or words[-2][0] not in _NOT_BEFORE):
+        named = last
+    elif _NAME.fullmatch(words[0][0]) and all(w in _CONTAINERS or _NAME.fullmatch(w) for w, _ in words[1:]):
+        named = words[0][0]
+    return named and ("comment" if _COMMENT.fullmatch(named) else "other")
+
+
 class Page(HTMLParser):
     """Builds the tree: nodes in document order with parent, tag and text runs."""
 
@@ -66,6 +92,7 @@ class Page(HTMLParser):
         self.names = ["html"]
         self.hidden = 0          # open elements inside a dropped one
         self.hidden_names: list[str] = []
+        self.doubtful: dict[int, tuple[str, int]] = {}    # node -> kind of name, its first run
 
     def _dropped(self, tag: str, attrs) -> bool:
         if tag in DROPPED:
@@ -81,11 +108,17 @@ class Page(HTMLParser):
                 return True
             if k == "hidden" or k == "aria-hidden" and v == "true":
                 return True
-            if k in ("class", "id") and any(
-                    _NAMES.search(t) and not _NOT_NAMES.match(t) for t in v.split()):
-                return True
         return False
 
+    def _doubt(self, tag: str, attrs) -> str | None:
+        """The kind of an element that goes unless it holds the main text."""
+        if tag in KEPT_ROOT or tag == "header":
+            return None
+        kinds = {_name_kind(t) for k, v in attrs if k in ("class", "id") and v for t in v.split()}
+        if tag == "form" or "other" in kinds or any(k == "role" and v and v.strip().lower() == "form" for k, v in attrs):
+            return "other"
+        return "comment" if "comment" in kinds else None
+
     def handle_starttag(self, tag, attrs):
         if self.hidden_names:
             if tag == "body":        # a head that never ended
@@ -108,6 +141,9 @@ class Page(HTMLParser):
         self.parent.append(self.stack[-1])
         self.tag.append(tag)
         node = len(self.tag) - 1
+        doubt = self._doubt(tag, attrs) if tag not in VOID else None
+        if doubt:
+            self.doubtful[node] = doubt, len(self.runs)
         self.runs.append((node, None if tag not in INLINE else " " if tag == "br" else ""))
         if tag not in VOID:
             self.stack.append(node)
@@ -154,6 +190,39 @@ class Page(HTMLParser):
             self.runs.append((self.stack[-1], data))
 
 
+def _drop_doubtful(page: Page) -> None:
+    """Take doubtful elements that do not hold the main text out of the tree."""
+    if not page.doubtful:
+        return
+    n = len(page.tag)
+    parent, tag = page.parent, page.tag
+    plain, in_link, holds = [0] * n, [False] * n, [False] * n
+    for i in range(1, n):
+        in_link[i] = tag[i] == "a" or in_link[parent[i]]
+    for node, text in page.runs:
+        if text and not in_link[node]:
+            plain[node] += len("".join(text.split()))
+    for name in ("article", "h1"):
+        if name in tag:
+            holds[tag.index(name)] = True
+    for i in range(n - 1, 0, -1):
+        plain[parent[i]] += plain[i]
+        holds[parent[i]] = holds[parent[i]] or holds[i] or tag[i] == "main"
+    gone = [False] * n
+    runs: list = list(page.runs)
+    for i in range(1, n):
+        gone[i] = gone[parent[i]]
+        if i in page.doubtful and not gone[i]:
+            kind, at = page.doubtful[i]
+            gone[i] = not holds[i] and (kind == "comment" or 2 * plain[i] <= plain[0])
+            if gone[i]:
+                runs[at] = parent[i], None        # a dropped element ends a block
+    at = {i: k for k, i in enumerate(i for i in range(n) if not gone[i])}
+    page.parent = [at.get(parent[i], -1) for i in at]
+    page.tag = [tag[i] for i in at]
+    page.runs = [(at[node], text) for node, text in runs if node in at]
+
+
 def _density(c: float, t: float, lc: float, lt: float, body_ratio: float) -> float:
     base = math.log(c / max(c - lc, 1) * lc + body_ratio * c + math.e)
     spread = c / max(lc, 1) * max(t, 1) / max(lt, 1)
@@ -165,6 +234,7 @@ def main_text(html: str) -> str:
     page = Page()
     page.feed(_CUT_TAG.sub("", html))
     page.close()
+    _drop_doubtful(page)
     n = len(page.tag)
     parent, tag = page.parent, page.tag
     chars, tags, link_chars, link_tags = ([0] * n for _ in range(4))

@@ -437,3 +437,38 @@ def test_unlucky_signatures_do_not_hide_a_link(spark):
     big = [np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64)) for n in (1, 50, 4000)]
     counts = minhash._bucket_counts(big)
     assert counts.sum(axis=1).tolist() == [len(s) for s in big]
+
+
+ARTICLE = "".join(f"<p>Paragraph {i} of the article, which is long enough to be the main text of this page.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("opening,closing", [
+    ('<div class="content-sidebar-wrap">', "</div>"), ('<div class="content-with-sidebar">', "</div>"),
+    ('<div class="layout--sidebar">', "</div>"), ('<div class="side-by-side">', "</div>"),
+    ('<form id="aspnetForm" action="/x">', "</form>"), ('<div class="page-header">', "</div>"),
+    ('<div class="sidebar">', "</div>"), ('<div class="widget" role="form"><main>', "</main></div>")])
+def test_wrappers_keep_the_article(opening, closing):
+    page = (f"<html><body><div class=menu><a href=/>Home</a></div>{opening}<div class=post><h1>The title</h1>{ARTICLE}"
+            f"</div><div class='sidebar'><p>Other things to read here.</p></div>{closing}"
+            "<div class='comments-area'><p>A reader says hello.</p></div></body></html>")
+    text = html_text.main_text(page)
+    assert text.startswith("The title\nParagraph 0") and text.count("Paragraph") == 6
+    assert "reader" not in text and "Other things" not in text and "Home" not in text
+
+
+def test_part_of_an_article_is_not_a_sidebar():
+    page = (f"<body><article><div class='article-header'><h1>The title</h1></div>{ARTICLE}<div class='side-by-side'>"
+            f"<p>Left half of the text.</p><p>Right half of the text.</p></div><div class='share-buttons'>Send it on</div>"
+            "</article><div id=comments><article><p>" + "A long reader comment. " * 90 + "</p></article></div></body>")
+    text = html_text.main_text(page)
+    assert text.startswith("The title") and "Right half" in text
+    assert "Send it on" not in text and "reader" not in text
+
+
+@pytest.mark.parametrize("token,named", [
+    ("sidebar", True), ("main-sidebar", True), ("sidebar2", True), ("sidebar-wrap", True), ("comment-list", True),
+    ("widget-3", True), ("share-buttons", True), ("site__footer", True), ("content-sidebar-wrap", False),
+    ("content-with-sidebar", False), ("layout--sidebar", False), ("side-by-side", False), ("has-sidebar", False),
+    ("no-comments", False), ("social-studies", False), ("-", False), ("12", False)])
+def test_names_of_other_elements(token, named):
+    assert bool(html_text._name_kind(token)) == named
