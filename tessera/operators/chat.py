@@ -2,7 +2,10 @@
 
 Input is a conversations table ``(conv_id, turn, role, text)`` with roles
 ``system``, ``user``, ``assistant``; ``turn`` orders the messages. Output is
-one prompt row per user turn.
+one prompt row per user turn, also where its ``conv_id`` or ``turn`` is null:
+the rows without a ``conv_id`` are one conversation, and a message without a
+``turn`` comes before all others of its conversation. A message without a role
+is part of the history, with an empty role name.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ JAPANESE = ConversationStyle()
 
 def _role_name(role: Column, style: ConversationStyle) -> Column:
     return F.when(role == "user", F.lit(style.roles[0])).when(
-        role == "assistant", F.lit(style.roles[1])).otherwise(role)
+        role == "assistant", F.lit(style.roles[1])).otherwise(F.coalesce(role, F.lit("")))
 
 
 def _message(role_name: Column, text: Column, sep: str) -> Column:
@@ -58,6 +61,13 @@ def _system_text(conv: DataFrame, style: ConversationStyle) -> DataFrame:
             .agg(F.min_by("text", "turn").alias("_sys")))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys where null equals null; the left side's keys stay."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(named, on, "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def conversation_prompts(conv: DataFrame, style: ConversationStyle = JAPANESE,
                          max_messages: int | None = None, chunk: int = 256) -> DataFrame:
     """For every user turn, the prompt of the whole conversation so far:
@@ -75,7 +85,7 @@ def conversation_prompts(conv: DataFrame, style: ConversationStyle = JAPANESE,
     the history); only that prefix step is per conversation, on
     ``turns / chunk`` rows.
     """
-    msgs = conv.filter(F.col("role") != "system").select(
+    msgs = conv.filter(~F.col("role").eqNullSafe("system")).select(
         "conv_id", "turn", "role",
         _message(_role_name(F.col("role"), style), F.col("text"), style.sep).alias("_m"))
     if max_messages is not None:
@@ -87,17 +97,18 @@ def conversation_prompts(conv: DataFrame, style: ConversationStyle = JAPANESE,
         local = msgs.withColumn("_l", F.array_join(F.collect_list("_m").over(inside), ""))
         # a chunk's text is the local history at its last turn; the aggregate
         # reuses the window's (conv_id, chunk) partitioning: no exchange
-        chunk_text = local.groupBy("conv_id", "_c").agg(F.max_by("_l", "turn").alias("_t"))
+        # (messages without a turn are a chunk of their own: the longest text is the last)
+        last = F.struct(F.col("turn"), F.length("_l").alias("n"))
+        chunk_text = local.groupBy("conv_id", "_c").agg(F.max_by("_l", last).alias("_t"))
         before = Window.partitionBy("conv_id").orderBy("_c").rowsBetween(
             Window.unboundedPreceding, -1)
         # the system text joins the (small) per-chunk table, so the per-turn
         # output keeps its (conv_id, chunk) partitioning into the last join
-        prefix = chunk_text.select("conv_id", "_c", F.array_join(
-            F.collect_list("_t").over(before), "").alias("_p")).join(
-            _system_text(conv, style), "conv_id", "left").select(
+        prefix = _join_null_safe(chunk_text.select("conv_id", "_c", F.array_join(
+            F.collect_list("_t").over(before), "").alias("_p")), _system_text(conv, style), ["conv_id"]).select(
             "conv_id", "_c", F.concat(F.coalesce(F.col("_sys"), F.lit(style.system)),
                                       F.lit(style.sep), F.col("_p")).alias("_p"))
-        return (local.filter(F.col("role") == "user").join(prefix, ["conv_id", "_c"], "inner")
+        return (_join_null_safe(local.filter(F.col("role") == "user"), prefix, ["conv_id", "_c"])
                 .select("conv_id", "turn", F.concat("_p", "_l", F.lit(style.roles[1] + ":"))
                         .alias("prompt")))
 
@@ -131,10 +142,10 @@ def _recent_prompts(conv: DataFrame, msgs: DataFrame, style: ConversationStyle,
         F.when(F.size("_all") > 0, F.slice("_all", F.greatest(F.size("_all") - F.lit(k - 2), F.lit(1)),
                                            F.lit(max(k - 1, 0))))
         .otherwise(F.array().cast("array<string>")).alias("_tail"))
-    tails = tails.join(_system_text(conv, style), "conv_id", "left").select(
+    tails = _join_null_safe(tails, _system_text(conv, style), ["conv_id"]).select(
         "conv_id", "_c", "_tail",
         F.concat(F.coalesce(F.col("_sys"), F.lit(style.system)), F.lit(style.sep)).alias("_p"))
-    users = local.filter(F.col("role") == "user").join(tails, ["conv_id", "_c"], "left")
+    users = _join_null_safe(local.filter(F.col("role") == "user"), tails, ["conv_id", "_c"])
     need = F.lit(k) - F.size("_l")
     tail = F.coalesce(F.col("_tail"), F.array().cast("array<string>"))
     picked = F.when(need > 0, F.slice(tail, F.greatest(F.size(tail) - need + 1, F.lit(1)), need)) \
@@ -152,7 +163,7 @@ def no_context_prompts(conv: DataFrame, style: ConversationStyle = JAPANESE) ->
     through a batch join first, or rely on the style's system text)."""
     users = conv.filter(F.col("role") == "user")
     sys = _system_text(conv, style)
-    return users.join(sys, "conv_id", "left").select(
+    return _join_null_safe(users, sys, ["conv_id"]).select(
         "conv_id", "turn",
         F.concat(F.coalesce(F.col("_sys"), F.lit(style.system)), F.lit(style.sep),
                  _message(F.lit(style.roles[0]), F.col("text"), style.sep),

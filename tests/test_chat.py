@@ -65,3 +65,23 @@ def test_first_system_text_by_turn(spark):
     rows = [(1, 0, "system", "zz"), (1, 1, "user", "hi"), (1, 2, "system", "aa"), (1, 3, "user", "ho")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert all(r.prompt.startswith("zz") for r in CH.conversation_prompts(df).collect())
+
+
+@pytest.mark.parametrize("max_messages", [None, 2, 5])
+def test_null_keys_and_roles_keep_their_rows(spark, max_messages):
+    rows = [(1, 0, "system", "own"), (1, None, "user", "early"), (1, 1, "user", "hi"), (1, 2, None, "aside"),
+            (1, 3, "user", "more"), (None, 0, "system", "nobody"), (None, 1, "user", "lost"),
+            (None, 2, "assistant", "found"), (None, 300, "user", "late")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.prompt for r in C.conversation_prompts(df, max_messages=max_messages).collect()}
+    u, a = C.JAPANESE_ROLES
+    for cid, system, msgs in (
+            (1, "own", [(None, u, "early"), (1, u, "hi"), (2, "", "aside"), (3, u, "more")]),
+            (None, "nobody", [(1, u, "lost"), (2, a, "found"), (300, u, "late")])):
+        for k, (turn, role, _) in enumerate(msgs):
+            if role == u:
+                hist = [m[1:] for m in msgs[:k + 1]][-(max_messages or 99):]
+                assert got.pop((cid, turn)) == py_prompt(system, hist + [(a, None)])
+    assert not got
+    alone = {(r.conv_id, r.turn): r.prompt for r in C.no_context_prompts(df).collect()}
+    assert alone[(None, 1)] == py_prompt("nobody", [(u, "lost"), (a, None)]) and len(alone) == 5
