@@ -472,3 +472,17 @@ def test_part_of_an_article_is_not_a_sidebar():
     ("no-comments", False), ("social-studies", False), ("-", False), ("12", False)])
 def test_names_of_other_elements(token, named):
     assert bool(html_text._name_kind(token)) == named
+
+
+def test_neighbour_counts_beyond_32_bits(spark, monkeypatch):
+    # 8,192 tasks that each hold the same counts
+    from tessera.llm import common
+    monkeypatch.setattr(maxent, "sum_blocks", lambda partials, dtype, blocks: common.sum_blocks(
+        partials.crossJoin(spark.range(8192)).select("block", "data"), dtype, blocks))
+    df = spark.createDataFrame([("a b " * 200_000,)], "text string").coalesce(1)
+    ids = maxent.HeadIds([b"a", b"b", maxent.END])
+    got = maxent.neighbour_counts(df, spark.sparkContext.broadcast(ids), [0, 1])
+    # every neighbouring pair of words is one of a and b
+    assert got[0, 1] == got[1, 0] == 8192 * 399_999 and got.min() >= 0
+    with pytest.raises(ValueError):
+        maxent.word_classes(np.array([[-2 ** 31] + [2 ** 30] * (maxent.NEAR - 1), [5] * maxent.NEAR]), np.array([3, 2]))
