@@ -486,3 +486,34 @@ def test_neighbour_counts_beyond_32_bits(spark, monkeypatch):
     assert got[0, 1] == got[1, 0] == 8192 * 399_999 and got.min() >= 0
     with pytest.raises(ValueError):
         maxent.word_classes(np.array([[-2 ** 31] + [2 ** 30] * (maxent.NEAR - 1), [5] * maxent.NEAR]), np.array([3, 2]))
+
+
+@pytest.mark.parametrize("dim,offset", [(64, 0.0), (64, 0.7), (384, 0.5)])
+def test_vectors_with_a_common_offset(spark, dim, offset):
+    # pairs at cosine 0.95 to 0.96 among vectors of mean cosine ``offset``
+    rng = np.random.default_rng(dim)
+    shared = np.zeros(dim)
+    shared[0] = 1.0
+    free = rng.normal(size=(600, dim))
+    free /= np.linalg.norm(free, axis=1)[:, None]
+    x = np.sqrt(offset) * shared + np.sqrt(1 - offset) * free
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cos = rng.uniform(0.9501, 0.96, size=(600, 1))
+    y = cos * x + np.sqrt(1 - cos ** 2) * side
+    both = np.concatenate([x, y])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    found = sum(r.n_links for r in itq.link_vectors(df).collect())
+    want = int((both @ both.T >= 0.95).sum()) - len(both)
+    assert 0.95 * want <= found <= want
+
+
+def test_codes_reach_the_recall_on_odd_samples():
+    rng = np.random.default_rng(6)
+    tight = np.eye(32)[0] + rng.normal(size=(500, 32)) * 1e-3
+    for x in (rng.normal(size=(1, 8)), rng.normal(size=(3, 2)), np.ones((2, 1)), tight, rng.normal(size=(900, 100)) + 3):
+        x = x / np.linalg.norm(x, axis=1)[:, None]
+        shift, projection = itq.learn_codes(x, 0.95)
+        assert projection.shape[0] == x.shape[1] and len(shift) == projection.shape[1]
