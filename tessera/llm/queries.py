@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table_path
-from . import bpe, exact_dedup, html_text, importance, itq, maxent, minhash, packing, suffix_dedup, token_files
+from . import (bpe, exact_dedup, html_text, importance, itq, maxent, minhash, packing, repair, suffix_dedup,
+               token_files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +86,8 @@ def op9_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_suffix_repeats")
 def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_survivor_viterbi")
+def op13_survivor_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(_table(spark, sf_dir, "conversations"))
