@@ -17,7 +17,7 @@ def test_one_query_per_operator():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{SF_CHECK}/{t}.parquet')")
     df = QUERIES[name](spark, SF_CHECK)
     rel = con.sql(ORACLES[name])
