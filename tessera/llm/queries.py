@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table_path
-from . import (bpe, exact_dedup, html_text, importance, itq, maxent, minhash, nra, packing, repair,
+from . import (bpe, crf, exact_dedup, html_text, importance, itq, maxent, minhash, nra, packing, repair,
                suffix_dedup, token_files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,11 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+@_query("op11_crf")
+def op11_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.identify(_table(spark, sf_dir, "documents"))
+
+
 @_query("op12_nra", nra.ORACLE_SQL)
 def op12_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nra.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
