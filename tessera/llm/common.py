@@ -15,20 +15,49 @@ from ..session import checkpoint_dir, ship_package
 SLICE_BYTES = 2 << 20   # text handled at once inside a Python worker
 
 
+_STAGES: dict[str, list[str]] = {}   # application -> folders of the pipeline stages, the last one is in use
+
+
+def _base(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared ``spark.checkpoint.dir``."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tessera-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    """A new folder below the shared ``spark.checkpoint.dir``, inside the folder of the
+    pipeline stage that runs (if any)."""
+    inside = _STAGES.get(spark.sparkContext.applicationId)
+    return f"{inside[-1] if inside else _base(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def clean_scratch(spark: SparkSession) -> None:
     """Delete what this application's operators wrote below ``spark.checkpoint.dir``
     (call it once their results are stored)."""
-    base = checkpoint_dir(spark).rstrip("/")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
-        f"{base}/tessera-{spark.sparkContext.applicationId}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path, True)
+    delete_path(spark, _base(spark))
+
+
+def begin_stage(docs: DataFrame, label: str) -> None:
+    """What operators write from now on lies in a folder of its own. The folders of earlier
+    stages go, but for those that ``docs`` still reads: a stage's result is stored before
+    the next stage begins, or else is part of that stage's input."""
+    spark = docs.sparkSession
+    folders = _STAGES.setdefault(spark.sparkContext.applicationId, [])
+    if folders:
+        files = docs.inputFiles()
+        for folder in [f for f in folders if not any(f"{f}/" in x for x in files)]:
+            delete_path(spark, folder)
+            folders.remove(folder)
+    folders.append(f"{_base(spark)}/{label}-{uuid.uuid4().hex}")
+
+
+def end_stages(spark: SparkSession) -> None:
+    """Operators that are called from now on belong to no stage."""
+    _STAGES.pop(spark.sparkContext.applicationId, None)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -39,13 +68,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-ROW = "__t_row"
+ROW, WHOLE = "__t_row", "row"
+
+
+def whole_rows(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` in one struct column (``WHOLE``), out of the way of the names
+    that an operator adds; ``unpacked`` is the way back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(WHOLE))
+
+
+def inner(col: str) -> str:
+    """A column of ``whole_rows``."""
+    return f"{WHOLE}.`{col}`"
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select(f"{WHOLE}.*")
 
 
 def with_rows(df: DataFrame) -> DataFrame:
-    """``df`` with a unique number per row (``ROW``), written so that it stays the same
+    """``whole_rows`` with a unique number per row (``ROW``), written so that it stays the same
     however often the rows are read."""
-    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    return materialize(whole_rows(df).withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
 def first_rows(df: DataFrame, group_col: str, id_col: str) -> DataFrame:
@@ -88,19 +132,27 @@ def text_bytes(arr: pa.Array) -> list[bytes]:
     return arr.cast(pa.binary()).fill_null(b"").to_pylist()
 
 
-def sum_blocks(partials: DataFrame, dtype: str, blocks: int) -> DataFrame:
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts of at least 0 in as few bytes each as the largest needs (``sum_blocks`` with ``width``)."""
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(counts) or counts.max() <= np.iinfo(k).max)
+    return counts.astype(kind).tobytes()
+
+
+def sum_blocks(partials: DataFrame, dtype: str, blocks: int, width: int = 0) -> DataFrame:
     """Sum arrays that many tasks hold: rows ``(block int, data binary)`` with
     equal-length arrays per block -> one row per block. Blocks are dealt over
-    tasks and each task adds its rows one by one (one array per block in memory)."""
+    tasks and each task adds its rows one by one (one array per block in memory). With
+    ``width`` (entries per block) the rows are ``narrow`` counts."""
     def add(batches):
         acc: dict[int, np.ndarray] = {}
         for b in batches:
             for k, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                x = np.frombuffer(raw.as_buffer(), dtype=dtype)
+                data = raw.as_buffer()
+                x = np.frombuffer(data, dtype=f"<u{data.size // width}" if width else dtype).astype(dtype)
                 if k in acc:
                     acc[k] += x
                 else:
-                    acc[k] = x.copy()
+                    acc[k] = x
         if acc:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(acc), pa.int32()),
@@ -118,7 +170,3 @@ def collect_blocks(summed: DataFrame, dtype: str, size: int, blocks: int) -> np.
     for k, raw in ((r["block"], r["data"]) for r in summed.collect()):
         out[k * width:(k + 1) * width] = np.frombuffer(raw, dtype=dtype)
     return out
-
-
-def long_hash(*cols) -> "F.Column":
-    return F.xxhash64(*cols)

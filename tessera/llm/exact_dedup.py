@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import ROW, first_rows, materialize
+from .common import ROW, first_rows, inner, materialize, unpacked, whole_rows
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -54,16 +54,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs``, all columns, per text: the row of the smallest id. Only rows whose
     text may repeat are written and numbered; all others pass straight through."""
-    digested = docs.withColumn("__t_digest", F.sha2(normalized(F.col(text_col)), 256))
-    key = F.xxhash64("__t_digest")
+    digested = whole_rows(docs).withColumn("digest", F.sha2(normalized(F.col(inner(text_col))), 256))
+    key = F.xxhash64("digest")
     keys = materialize(digested.select(key.alias("_k")), "digest-keys")
     log2 = bloom.log2_bits(keys.count())
-    probed = bloom.probe(digested, key, bloom.build_repeated(keys, "_k", log2), log2, "__t_copy")
-    maybe = materialize(probed.filter("__t_copy").withColumn(ROW, F.monotonically_increasing_id()), "maybe-copies")
-    first = materialize(first_rows(maybe, "__t_digest", id_col), "first-copies")
-    return (probed.filter("not __t_copy").select(*[F.col(f"`{c}`") for c in docs.columns])
-            .unionByName(bloom.drop_ids(maybe, ROW, first, drop=False)
-                         .select(*[F.col(f"`{c}`") for c in docs.columns])))
+    probed = bloom.probe(digested, key, bloom.build_repeated(keys, "_k", log2), log2, "maybe")
+    maybe = materialize(probed.filter("maybe").withColumn(ROW, F.monotonically_increasing_id()), "maybe-copies")
+    first = materialize(first_rows(maybe, "digest", inner(id_col)), "first-copies")
+    return unpacked(probed.filter("not maybe").select("row").unionByName(
+        bloom.drop_ids(maybe, ROW, first, drop=False).select("row")))
 
 
 ORACLE_SQL = r"""

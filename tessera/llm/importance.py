@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import (ROW, collect_blocks, column, map_arrow, materialize, sum_blocks, text_bytes,
-                     text_slices, with_rows)
+from .common import (collect_blocks, column, inner, map_arrow, materialize, narrow, sum_blocks, text_bytes,
+                     text_slices, unpacked, whole_rows)
 from .words import mix, pair_hashes, word_hashes, words_of
 
 BUCKETS = 1 << 18          # per n-gram order
@@ -82,13 +82,21 @@ def label_sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
             .orderBy(F.xxhash64("__t_id"), "__t_id").limit(size))
 
 
+KEY = "__t_key"
+
+
+def _key(id_col: str, text_col: str) -> F.Column:
+    """What a decision depends on: 128 bits of id and text."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.lit(":"),
+                          F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def _labelled(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, text, good`` of all documents, and their row number if they have one; the
-    sample has at most SAMPLE rows."""
-    row = F.col(ROW) if ROW in docs.columns else F.lit(None).cast("long")
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row.alias(ROW))
+    """``doc_id, text, good, KEY`` of all documents; the sample has at most SAMPLE rows."""
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                        _key(id_col, text_col).alias(KEY))
             .join(F.broadcast(sample), F.col("doc_id") == F.col("__t_id"), "left")
-            .select("doc_id", "text", "good", ROW))
+            .select("doc_id", "text", "good", KEY))
 
 
 def fit(labelled: DataFrame) -> np.ndarray:
@@ -108,10 +116,10 @@ def fit(labelled: DataFrame) -> np.ndarray:
         used = np.flatnonzero(parts.any(axis=1))
         if len(used):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())],
+                [pa.array(used, pa.int32()), pa.array([narrow(parts[k]) for k in used], pa.binary())],
                 ["block", "data"])
 
-    summed = sum_blocks(map_arrow(labelled, count, "block int, data binary"), "<i8", 2 * BLOCKS)
+    summed = sum_blocks(map_arrow(labelled, count, "block int, data binary"), "<i8", 2 * BLOCKS, width)
     raw, target = collect_blocks(summed, "<i8", 2 * TABLE, 2 * BLOCKS).reshape(2, TABLE).astype(float)
     out = np.zeros(TABLE, dtype=np.float32)
     for part in (slice(0, BUCKETS), slice(BUCKETS, TABLE)):
@@ -127,7 +135,7 @@ def fit(labelled: DataFrame) -> np.ndarray:
 
 
 def weigh(labelled: DataFrame, table: np.ndarray) -> DataFrame:
-    """``doc_id, n_words, log_weight, good`` and the row number per document."""
+    """``doc_id, n_words, log_weight, good, KEY`` per document."""
     shared = labelled.sparkSession.sparkContext.broadcast(table)
 
     def score(batches):
@@ -139,9 +147,9 @@ def weigh(labelled: DataFrame, table: np.ndarray) -> DataFrame:
                 weight = np.bincount(row, weights=ratio[idx].astype(np.float64), minlength=n)
                 yield pa.RecordBatch.from_arrays(
                     [column(part, "doc_id"), pa.array(words, pa.int64()), pa.array(weight, pa.float64()),
-                     column(part, "good"), column(part, ROW)], ["doc_id", "n_words", "log_weight", "good", ROW])
+                     column(part, "good"), column(part, KEY)], ["doc_id", "n_words", "log_weight", "good", KEY])
 
-    return map_arrow(labelled, score, f"doc_id long, n_words long, log_weight double, good boolean, {ROW} long")
+    return map_arrow(labelled, score, f"doc_id long, n_words long, log_weight double, good boolean, {KEY} string")
 
 
 def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
@@ -206,26 +214,28 @@ def gumbel(id_col: str, seed: int) -> F.Column:
 def select(docs: DataFrame, labels: DataFrame, seed: int = 7, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, log_weight, gumbel_key, kept`` per document."""
-    return _decide(docs, labels, seed, id_col, text_col).drop(ROW)
+    return _decide(docs, labels, seed, id_col, text_col).drop(KEY)
 
 
 def _decide(docs: DataFrame, labels: DataFrame, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """``select``, with the row number of each document."""
+    """``select``, with the key of each document."""
     labelled = _labelled(docs, materialize(label_sample(labels), "label-sample"), id_col, text_col)
     scores = materialize(weigh(labelled, fit(labelled)).withColumn(
         "gumbel_key", F.col("log_weight") + gumbel("doc_id", seed)), "weights")
-    # at most SAMPLE labelled documents (a repeated document counts once per copy, so bound it again)
-    seen = scores.filter("good is not null").select("good", "log_weight").limit(4 * SAMPLE).collect()
+    # at most SAMPLE labelled ids; of rows that repeat one the lowest weight counts
+    seen = scores.filter("good is not null").groupBy("doc_id").agg(
+        F.first("good"), F.min("log_weight")).select(F.col("first(good)"), F.col("min(log_weight)")).collect()
     cut = best_threshold(np.array([r[1] for r in seen if r[0]]), np.array([r[1] for r in seen if not r[0]]))
     k = scores.filter(F.col("log_weight") >= cut).count()
     least = kth_largest(scores, "gumbel_key", k)
     return scores.select("doc_id", "n_words", "log_weight", "gumbel_key",
-                         (F.col("gumbel_key") >= least).alias("kept"), ROW)
+                         (F.col("gumbel_key") >= least).alias("kept"), KEY)
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 7, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without the rows that selection rejects."""
-    rows = with_rows(docs)
-    gone = _decide(rows, labels, seed, id_col, text_col).filter("not kept").select(ROW)
-    return bloom.drop_ids(rows, ROW, materialize(gone, "rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs``, all columns, without the rows that selection rejects. A decision
+    depends on id and text only, so rows are dropped by a key of both and none is copied."""
+    gone = materialize(_decide(docs, labels, seed, id_col, text_col).filter("not kept").select(KEY).distinct(), "rejected")
+    rows = whole_rows(docs).withColumn(KEY, _key(inner(id_col), inner(text_col)))
+    return unpacked(bloom.drop_ids(rows, KEY, gone))

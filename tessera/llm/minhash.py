@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import ROW, column, first_rows, map_arrow, materialize, text_bytes, text_slices, with_rows
+from .common import (ROW, column, first_rows, inner, map_arrow, materialize, text_bytes, text_slices, unpacked,
+                     with_rows)
 from .components import connected_components
 from .words import mix, pair_hashes, word_hashes, words_of
 
@@ -281,10 +282,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_
     """The rows of ``docs``, all columns, with one row of each group left: that of the
     smallest id. Every row is a document of its own here, whatever its id."""
     rows = with_rows(docs)
-    copies = materialize(near_duplicates(rows, words, percent, ROW, text_col).filter("not kept").select(
+    copies = materialize(near_duplicates(rows, words, percent, ROW, inner(text_col)).filter("not kept").select(
         F.col("doc_id").alias(ROW), "component_id"), "near-copies")
     heads = copies.select(F.col("component_id").alias(ROW), "component_id").distinct()
     group = materialize(copies.union(heads).join(
-        rows.select(ROW, F.col(id_col).alias("id")), ROW).select(ROW, "component_id", "id"), "near-groups")
+        rows.select(ROW, F.col(inner(id_col)).alias("id")), ROW).select(ROW, "component_id", "id"), "near-groups")
     gone = materialize(group.join(first_rows(group, "component_id", "id"), ROW, "left_anti").select(ROW), "near-gone")
-    return bloom.drop_ids(rows, ROW, gone).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(bloom.drop_ids(rows, ROW, gone))

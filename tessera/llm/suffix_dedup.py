@@ -37,8 +37,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from . import bloom
-from .common import column, map_arrow, materialize, text_bytes, text_slices
+from .common import column, inner, map_arrow, materialize, text_bytes, text_slices, unpacked, whole_rows
 from .words import mix
 
 LEAST = 200
@@ -450,24 +451,20 @@ def drop_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", te
     character that is only partly covered all bytes stay. ``size_col``, if there, is the
     new number of characters."""
     ranges = repeated_ranges(docs, least, id_col, text_col)
-    keep = docs.columns
-    rid = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    src = docs.withColumn("rid", rid) if "rid" not in keep else docs.withColumnRenamed("rid", "__t_rid").withColumn("rid", rid)
-    touched, rest = _split(src, ranges.withColumnRenamed("ranges", "__t_ranges"))
+    columns = docs.columns
+    rid = F.xxhash64(F.col(inner(id_col)).cast("long"), F.coalesce(F.col(inner(text_col)), F.lit("")))
+    touched, rest = _split(whole_rows(docs).withColumn("rid", rid), ranges)
 
     def cut(series_text, series_ranges):
         import pandas as pd
         return pd.Series([cut_characters(t, _spans(r)) for t, r in zip(series_text, series_ranges)])
 
-    from ..session import ship_package
     ship_package(docs.sparkSession)
-    cut_udf = F.pandas_udf(cut, "string")
-    touched = touched.withColumn(text_col, cut_udf(F.col(text_col), F.col("__t_ranges"))).drop("__t_ranges")
-    if size_col in keep:
-        touched = touched.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
-    both = touched.unionByName(rest).drop("rid")
-    return (both.withColumnRenamed("__t_rid", "rid") if "rid" in keep else both).select(
-        *[F.col(f"`{c}`") for c in keep])
+    touched = touched.withColumn("cut", F.pandas_udf(cut, "string")(F.col(inner(text_col)), "ranges"))
+    new = {text_col: F.col("cut")}
+    if size_col in columns:
+        new[size_col] = F.length("cut").cast(docs.schema[size_col].dataType)
+    return touched.select(*[new.get(c, F.col(inner(c))).alias(c) for c in columns]).unionByName(unpacked(rest.select("row")))
 
 
 def cut_characters(text: str, spans: list[tuple[int, int]]) -> str:
