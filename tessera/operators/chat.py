@@ -76,41 +76,70 @@ def conversation_prompts(conv: DataFrame, style: ConversationStyle = JAPANESE,
     ``role:``. ``max_messages`` keeps only that many latest messages (a
     sliding frame); ``None`` keeps the whole history, as the chat loop does.
 
-    The whole history is built in two levels so that a very long conversation
-    does not sit in one task: turns fall into chunks of ``chunk`` turns; a
-    running frame inside each chunk (bounded groups, spread over tasks by
-    ``(conv_id, chunk)``) gives the local history, and a running frame over
-    the chunks' texts gives each chunk the text before it. The output itself
-    grows with the square of a conversation's length (every prompt repeats
-    the history); only that prefix step is per conversation, on
-    ``turns / chunk`` rows.
+    The whole history is built without a frame or a group over a conversation. Turns
+    fall into chunks of ``chunk`` turns; a running frame inside each chunk gives the
+    local history. The text before a chunk comes from dyadic blocks: chunk c of a
+    conversation (numbered from 0) follows the blocks of 2^k chunks, one per set bit
+    k of c, so its prefix joins at most log2(c) texts. Only blocks that a later chunk
+    uses are built, so a conversation of one chunk sends no text beyond its own task.
+    A block's text is part of some prompt, and no group holds more than that; the output
+    itself grows with the square of a conversation's length, as every prompt
+    repeats the history.
     """
     msgs = conv.filter(~F.col("role").eqNullSafe("system")).select(
         "conv_id", "turn", "role",
         _message(_role_name(F.col("role"), style), F.col("text"), style.sep).alias("_m"))
     if max_messages is not None:
         return _recent_prompts(conv, msgs, style, max_messages, chunk)
-    else:
-        msgs = msgs.withColumn("_c", F.floor(F.col("turn") / F.lit(chunk)).cast("bigint"))
-        inside = Window.partitionBy("conv_id", "_c").orderBy("turn").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        local = msgs.withColumn("_l", F.array_join(F.collect_list("_m").over(inside), ""))
-        # a chunk's text is the local history at its last turn; the aggregate
-        # reuses the window's (conv_id, chunk) partitioning: no exchange
-        # (messages without a turn are a chunk of their own: the longest text is the last)
-        last = F.struct(F.col("turn"), F.length("_l").alias("n"))
-        chunk_text = local.groupBy("conv_id", "_c").agg(F.max_by("_l", last).alias("_t"))
-        before = Window.partitionBy("conv_id").orderBy("_c").rowsBetween(
-            Window.unboundedPreceding, -1)
-        # the system text joins the (small) per-chunk table, so the per-turn
-        # output keeps its (conv_id, chunk) partitioning into the last join
-        prefix = _join_null_safe(chunk_text.select("conv_id", "_c", F.array_join(
-            F.collect_list("_t").over(before), "").alias("_p")), _system_text(conv, style), ["conv_id"]).select(
-            "conv_id", "_c", F.concat(F.coalesce(F.col("_sys"), F.lit(style.system)),
-                                      F.lit(style.sep), F.col("_p")).alias("_p"))
-        return (_join_null_safe(local.filter(F.col("role") == "user"), prefix, ["conv_id", "_c"])
-                .select("conv_id", "turn", F.concat("_p", "_l", F.lit(style.roles[1] + ":"))
-                        .alias("prompt")))
+    msgs = msgs.withColumn("_c", F.floor(F.col("turn") / F.lit(chunk)).cast("bigint"))
+    inside = Window.partitionBy("conv_id", "_c").orderBy("turn").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    local = msgs.withColumn("_l", F.array_join(F.collect_list("_m").over(inside), ""))
+    # a chunk's text is the local history at its last turn; the aggregate reuses the
+    # window's (conv_id, chunk) partitioning: no exchange (messages without a turn are
+    # a chunk of their own: the longest text is the last)
+    last = F.struct(F.col("turn"), F.length("_l").alias("n"))
+    texts = local.groupBy("conv_id", "_c").agg(F.max_by("_l", last).alias("_t"))
+    places = _chunk_places(msgs, _system_text(conv, style), style)
+    prefix = _block_prefixes(_join_null_safe(texts, places.drop("_sys").filter("_last > 0"), ["conv_id", "_c"]))
+    users = _join_null_safe(local.filter(F.col("role") == "user"), places, ["conv_id", "_c"])
+    whole = _join_null_safe(users, prefix, ["conv_id", "_c"])
+    return whole.select("conv_id", "turn", F.concat(
+        "_sys", F.coalesce(F.col("_p"), F.lit("")), "_l", F.lit(style.roles[1] + ":")).alias("prompt"))
+
+
+def _chunk_places(msgs: DataFrame, system: DataFrame, style: ConversationStyle) -> DataFrame:
+    """Per chunk, without its text: its number ``_x`` from 0 in its conversation, the last
+    chunk's number, and the conversation's opening. The chunk of messages without a
+    turn comes first."""
+    chunks = msgs.select("conv_id", "_c").distinct()
+    span = chunks.groupBy("conv_id").agg(
+        (F.min("_c") - F.max(F.col("_c").isNull().cast("int"))).alias("_lo"), F.max("_c").alias("_hi"))
+    opened = _join_null_safe(_join_null_safe(chunks, span, ["conv_id"]), system, ["conv_id"])
+    lo = F.coalesce("_lo", F.lit(0))
+    return opened.select(
+        "conv_id", "_c", (F.coalesce(F.col("_c"), lo) - lo).alias("_x"),
+        (F.coalesce(F.col("_hi"), lo) - lo).alias("_last"),
+        F.concat(F.coalesce(F.col("_sys"), F.lit(style.system)), F.lit(style.sep)).alias("_sys"))
+
+
+def _block_prefixes(chunks: DataFrame) -> DataFrame:
+    """``conv_id, _c, _p``: the text before each chunk but the first. ``chunks``: ``conv_id,
+    _c, _t, _x, _last`` of the conversations with several chunks."""
+    levels = F.explode(F.sequence(F.lit(0), F.length(F.bin("_last")) - 1))
+    block = F.expr("shiftright(_x, _k)")
+    several = chunks.filter(F.col("_last").isNotNull())
+    # an even block is used by the chunks of the block after it
+    used = (several.withColumn("_k", levels).withColumn("_b", block)
+            .filter((F.col("_b") % 2 == 0) & (F.col("_b") < F.expr("shiftright(_last, _k)"))))
+    blocks = used.groupBy("conv_id", "_k", "_b").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("_x", "_t"))), lambda p: p["_t"]), "").alias("_bt"))
+    needs = (several.select("conv_id", "_c", "_x", levels.alias("_k")).withColumn("_b", block)
+             .filter(F.col("_b") % 2 == 1).select("conv_id", "_c", "_k", (F.col("_b") - 1).alias("_b")))
+    # higher blocks lie further back
+    return _join_null_safe(needs, blocks, ["conv_id", "_k", "_b"]).groupBy("conv_id", "_c").agg(F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_k")).alias("_k"), "_bt"))), lambda p: p["_bt"]),
+        "").alias("_p"))
 
 
 def _recent_prompts(conv: DataFrame, msgs: DataFrame, style: ConversationStyle, k: int,

@@ -85,3 +85,46 @@ def test_null_keys_and_roles_keep_their_rows(spark, max_messages):
     assert not got
     alone = {(r.conv_id, r.turn): r.prompt for r in C.no_context_prompts(df).collect()}
     assert alone[(None, 1)] == py_prompt("nobody", [(u, "lost"), (a, None)]) and len(alone) == 5
+
+
+def _history_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_frame_over_a_conversation(conv):
+    import re
+    plan = _history_plan(C.conversation_prompts(conv))
+    frames = re.findall(r"windowspecdefinition\(([^)]*?) (?:ASC|DESC)", plan)
+    assert frames and all("_c#" in f for f in frames)
+    assert not re.search(r"Exchange hashpartitioning\(conv_id#\d+L?, \d+\)[^\n]*\n[^\n]*_t#", plan)
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7])
+def test_histories_of_sparse_null_and_negative_turns(spark, chunk):
+    """Gaps, negative and missing turns, several null conversations, chunk numbers far apart."""
+    turns = [None, -9, -8, -1, 0, 1, 2, 3, 6, 7, 50, 51, 1_000_000, 1_000_001, 2 ** 40]
+    rows = [(c, t, ("user", "assistant", None)[(i + (c or 0)) % 3], f"m{i}") for c in (None, 1, 2)
+            for i, t in enumerate(turns) if (i + (c or 5)) % 4]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.prompt for r in C.conversation_prompts(df, chunk=chunk).collect()}
+    want = {}
+    for c in (None, 1, 2):
+        here = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0))
+        for i, (_, turn, role, _) in enumerate(here):
+            if role == "user":
+                want[c, turn] = py_prompt(C.JAPANESE_SYSTEM, [(ROLE.get(r[2], ""), r[3]) for r in here[:i + 1]]
+                                          + [(C.JAPANESE_ROLES[1], None)])
+    assert got == want
+
+
+def test_conversation_of_200_000_turns(spark):
+    """One conversation, 782 chunks: every prompt is a prefix of the whole history."""
+    n = 200_000
+    df = spark.range(n).selectExpr("7L as conv_id", "id as turn",
+                                   "if(id % 20011 = 20010, 'user', 'x') as role", "'' as text").repartition(8)
+    got = {r.turn: r.prompt for r in C.conversation_prompts(df).collect()}
+    assert sorted(got) == [20011 * i - 1 for i in range(1, n // 20011 + 1)]
+    head = C.JAPANESE_SYSTEM + C.JAPANESE_SEP
+    line = [f"{C.JAPANESE_ROLES[0]}:" if i % 20011 == 20010 else "x:" for i in range(n)]
+    for turn, prompt in got.items():
+        assert prompt == head + "".join(line[:turn + 1]) + f"{C.JAPANESE_ROLES[1]}:"
