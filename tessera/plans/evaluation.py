@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.templates import evaluation_template
-from ..functions.tokens import CodePoints, Encoder
+from ..functions.tokens import CodePoints, Encoder, get_encoder
 from ..operators import evalsets as E
 from ..operators import guards as G
 from ..operators import scoring as S
@@ -111,7 +111,7 @@ def main(argv=None) -> None:
 
     from pyspark.sql import SparkSession
 
-    from ..sources.readers import QA_SCHEMA, read_instructions, read_nested_qa
+    from ..sources.readers import PAIR_SCHEMA, QA_SCHEMA, read_instructions, read_json_records, read_nested_qa
 
     ap = argparse.ArgumentParser(description="evaluation jobs")
     ap.add_argument("--task", choices=["jnli", "ppl-vqa"], required=True)
@@ -122,7 +122,10 @@ def main(argv=None) -> None:
                                      "ppl-vqa: default is the count model)")
     ap.add_argument("--shot", type=int, default=0)
     ap.add_argument("--format-lang", choices=["ja", "en"], default="ja")
+    ap.add_argument("--encoder", default="codepoint", help="the guards count its tokens")
     ap.add_argument("--max-length", type=int, default=MAX_LENGTH)
+    ap.add_argument("--new-tokens", type=int, default=NEW_TOKENS,
+                    help="tokens that the jnli guard keeps free for the answer")
     ap.add_argument("--guard", choices=["fail", "drop"], default="fail")
     ap.add_argument("--save-dir", default=None)
     ap.add_argument("--model-path", default="model")
@@ -133,9 +136,10 @@ def main(argv=None) -> None:
         if not args.scorer:
             ap.error("--scorer is required for jnli")
         pairs = (spark.read.parquet(args.data) if not args.data.endswith((".json", ".jsonl"))
-                 else spark.read.json(args.data))
+                 else read_json_records(spark, args.data, PAIR_SCHEMA))
         report, _ = nli_accuracy_job(pairs, load_scorer(args.scorer), args.shot, args.format_lang,
-                                     max_length=args.max_length, guard=args.guard,
+                                     get_encoder(args.encoder), max_length=args.max_length,
+                                     new_tokens=args.new_tokens, guard=args.guard,
                                      save_dir=args.save_dir, model_path=args.model_path,
                                      lora=args.lora)
     else:
@@ -146,8 +150,8 @@ def main(argv=None) -> None:
         from .training import with_record_id
         qa = with_record_id(qa)
         scorer = load_scorer(args.scorer) if args.scorer else None
-        report = perplexity_job(qa, scorer, args.format_lang, max_length=args.max_length,
-                                guard=args.guard)
+        report = perplexity_job(qa, scorer, args.format_lang, get_encoder(args.encoder),
+                                max_length=args.max_length, guard=args.guard)
     for r in report.collect():
         print(f"{r.task}: n={r.n} value={r.value}")
 

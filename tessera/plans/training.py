@@ -132,7 +132,7 @@ def write_batches(batches: DataFrame, out: str, mode: str = "errorifexists",
 
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(description=__doc__.splitlines()[0])
-    ap.add_argument("--data", required=True, help=".json/.jsonl file or a dataset path/table")
+    ap.add_argument("--data", required=True, nargs="+", help=".json/.jsonl files or globs, or a dataset path/table")
     ap.add_argument("--out", required=True)
     ap.add_argument("--japanese", action="store_true")
     ap.add_argument("--encoder", default="codepoint")

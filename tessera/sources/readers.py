@@ -5,10 +5,14 @@ Schemas are explicit, so reading never needs an inference pass over the data.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_arrays import read_json_arrays
+
 INSTRUCTION_SCHEMA = T.StructType([
     T.StructField("instruction", T.StringType()),
     T.StructField("input", T.StringType()),
@@ -18,6 +22,14 @@ INSTRUCTION_SCHEMA = T.StructType([
 QA_SCHEMA = T.StructType([T.StructField("question", T.StringType()),
                           T.StructField("answer", T.StringType())])
 
+PAIR_SCHEMA = T.StructType([
+    T.StructField("sentence_pair_id", T.StringType()),
+    T.StructField("sentence1", T.StringType()),
+    T.StructField("sentence2", T.StringType()),
+    T.StructField("label", T.IntegerType()),
+    T.StructField("split", T.StringType()),
+])
+
 NESTED_QA_SCHEMA = T.StructType([T.StructField("qas", T.ArrayType(QA_SCHEMA))])
 
 
@@ -33,66 +45,116 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-def _data_files(spark: SparkSession, path: str) -> list:
-    fs, hpath = _fs_and_path(spark, path)
-    if not fs.getFileStatus(hpath).isDirectory():
-        return [hpath]
-    return [st.getPath() for st in fs.listStatus(hpath)
-            if st.isFile() and not st.getPath().getName().startswith((".", "_"))]
+def _data_files(spark: SparkSession, paths: list[str]) -> list:
+    """Status of every data file of a list of files, folders and globs, each once."""
+    found = {}
+    for path in paths:
+        fs, hpath = _fs_and_path(spark, path)
+        matches = fs.globStatus(hpath)
+        if not matches:
+            raise FileNotFoundError(f"no file matches {path}")
+        for st in matches:
+            inside = fs.listStatus(st.getPath()) if st.isDirectory() else [st]
+            for f in inside:
+                if f.isFile() and (not st.isDirectory() or not f.getPath().getName().startswith((".", "_"))):
+                    found[f.getPath().toString()] = f
+    return list(found.values())
 
 
-def _first_char_of(fs, fpath) -> str:
-    """First character that is not blank, however many blanks stand before it; an empty
-    file has none."""
-    stream = fs.open(fpath)
-    blank = b"\xef\xbb\xbf \t\r\n"     # byte order mark and blanks
+_BLANK = b"\xef\xbb\xbf \t\r\n"     # byte order mark and blanks
+
+
+def _head(spark: SparkSession, status, enough) -> bytes:
+    """The first bytes of a file, read until ``enough(bytes)`` or its end."""
+    fs, hpath = _fs_and_path(spark, status.getPath().toString())
+    stream, head = fs.open(hpath), b""
     try:
-        while (b := stream.read()) >= 0:
-            if b not in blank:
-                return chr(b)
+        while not enough(head):
+            more = bytes(stream.readNBytes(65536))
+            if not more:
+                break
+            head += more
     finally:
         stream.close()
-    return ""
+    return head
+
+
+def _first_char_of(spark: SparkSession, status) -> str:
+    """First character that is not blank, however many blanks stand before it; an empty
+    file has none."""
+    stripped = _head(spark, status, lambda h: bool(h.lstrip(_BLANK))).lstrip(_BLANK)
+    return chr(stripped[0]) if stripped else ""
 
 
-def first_char(spark: SparkSession, path: str) -> str:
+def first_char(spark: SparkSession, path: str | list[str]) -> str:
     """First non-blank character of the first file of ``path`` that has one."""
-    fs, _ = _fs_and_path(spark, path)
-    return next((c for c in (_first_char_of(fs, f) for f in _data_files(spark, path)) if c), "")
+    files = _data_files(spark, _as_list(path))
+    return next((c for c in (_first_char_of(spark, f) for f in files) if c), "")
+
+
+def _as_list(path: str | list[str]) -> list[str]:
+    return [path] if isinstance(path, str) else list(path)
 
 
-def read_json_records(spark: SparkSession, path: str,
+def first_record_keys(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The keys of the first record of the first file that has one (no more of the file is
+    read than that record and the block that it ends in)."""
+    decoder, keys = json.JSONDecoder(), []
+
+    def parse(head: bytes) -> bool:
+        text = head.decode("utf-8", "ignore").lstrip("\ufeff \t\r\n").removeprefix("[").lstrip()
+        try:
+            record, _ = decoder.raw_decode(text)
+        except ValueError:
+            return False
+        keys[:] = list(record) if isinstance(record, dict) else []
+        return True
+
+    for status in _data_files(spark, _as_list(path)):
+        _head(spark, status, parse)
+        if keys:
+            break
+    return keys
+
+
+def read_json_records(spark: SparkSession, path: str | list[str],
                       schema: T.StructType = INSTRUCTION_SCHEMA) -> DataFrame:
-    """JSON records, either one array of objects or JSON lines, under any suffix.
+    """JSON records, either one array of objects per file or JSON lines, under any suffix.
+    ``path``: a file, a folder, a glob, or a list of these.
 
-    Spark needs to be told which: an array is read with ``multiLine`` (it would
-    otherwise give rows of nulls), JSON lines without it (``multiLine`` would
-    silently keep only the first object). The first non-blank character of the
-    first file decides; a malformed record fails the read (FAILFAST), so a
-    directory mixing both kinds does not pass silently in JSON-lines mode.
+    The first non-blank character decides. Arrays are read in parallel also inside a file
+    (``json_arrays``); JSON lines by Spark's reader. A malformed record fails the read
+    (FAILFAST), and so does a mixture of arrays and JSON lines.
     """
-    multiline = first_char(spark, path) == "["
-    if multiline:
-        # multiLine would silently keep one object of a JSON-lines file: every
-        # file must be an array (whole files are parsed by one task each in
-        # this mode anyway, so there are few of them)
-        fs, _ = _fs_and_path(spark, path)
-        kinds = {c == "[" for c in (_first_char_of(fs, f) for f in _data_files(spark, path)) if c}
-        if kinds != {True}:
-            raise ValueError(f"{path} mixes JSON arrays and JSON lines")
-    return (spark.read.schema(schema).option("multiLine", multiline)
-            .option("mode", "FAILFAST").json(path))
-
-
-def read_instructions(spark: SparkSession, path: str,
-                      schema: T.StructType = INSTRUCTION_SCHEMA) -> DataFrame:
-    """A path ending in ``.json``/``.jsonl`` is JSON; anything else is a
-    dataset: a parquet path, or a table name of the catalog."""
-    if path.endswith(".json") or path.endswith(".jsonl"):
-        return read_json_records(spark, path, schema)
-    if "/" in path or path_exists(spark, path):
-        return spark.read.parquet(path)
-    return spark.table(path)
+    files = _data_files(spark, _as_list(path))
+    kinds = {f.getPath().toString(): c for f in files if (c := _first_char_of(spark, f))}
+    arrays = [f for f, c in kinds.items() if c == "["]
+    if arrays and len(arrays) < len(kinds):
+        raise ValueError(f"{path} mixes JSON arrays and JSON lines")
+    if arrays:
+        sizes = {f.getPath().toString(): f.getLen() for f in files}
+        return read_json_arrays(spark, arrays, schema, [sizes[f] for f in arrays])
+    return spark.read.schema(schema).option("mode", "FAILFAST").json([f.getPath().toString() for f in files])
+
+
+def read_instructions(spark: SparkSession, path: str | list[str],
+                      schema: T.StructType = INSTRUCTION_SCHEMA, id_col: str = "id") -> DataFrame:
+    """Paths that end in ``.json``/``.jsonl`` (files, globs, or a list of them) are JSON;
+    anything else is a dataset: a parquet path, or a table name of the catalog. Records that
+    carry an ``id_col`` of their own (the first record tells) keep it, as text."""
+    paths = _as_list(path)
+    as_json = [p.endswith((".json", ".jsonl")) for p in paths]
+    if all(as_json):
+        if id_col not in schema.fieldNames() and id_col in first_record_keys(spark, paths):
+            schema = T.StructType([T.StructField(id_col, T.StringType()), *schema.fields])
+        return read_json_records(spark, paths, schema)
+    if any(as_json):
+        raise ValueError(f"{path} mixes JSON files and datasets")
+    if all("/" in p or path_exists(spark, p) for p in paths):
+        return spark.read.parquet(*paths)
+    if len(paths) > 1:
+        raise ValueError(f"{path}: several datasets must be parquet paths")
+    return spark.table(paths[0])
 
 
 def flatten_qa(nested: DataFrame, keep=("question", "answer")) -> DataFrame:
