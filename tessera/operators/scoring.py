@@ -8,6 +8,7 @@ from typing import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import PY_WHITESPACE
 from ..session import ship_package
@@ -38,6 +39,24 @@ class Scorer:
         raise NotImplementedError
 
 
+class CountScorer(Scorer):
+    """The count model (G3) as a scorer: ``loss`` (G2) from token ids and labels. ``table``: token
+    -> log-probability, as many rows as the encoder's vocabulary has at most."""
+
+    schema = "loss double"
+    inputs = ("input_ids", "labels")
+
+    def __init__(self, table: dict[int, float]):
+        super().__init__()
+        self.table = table
+
+    def score(self, model, pdf: pd.DataFrame) -> pd.DataFrame:
+        def loss(ids, labels):
+            scored = [self.table[t] for t, y in zip(ids[1:], labels[1:]) if y != IGNORE_INDEX]
+            return -sum(scored) / len(scored) if scored else float("nan")
+        return pd.DataFrame({"loss": [loss(i, y) for i, y in zip(pdf["input_ids"], pdf["labels"])]}, dtype=float)
+
+
 _MODELS: dict[tuple, object] = {}
 
 
@@ -67,8 +86,7 @@ def score(df: DataFrame, scorer: Scorer, id_col: str = "id",
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise ValueError(f"scoring input lacks {missing}")
-    types = dict(df.dtypes)
-    out_schema = ", ".join([f"{c} {types[c]}" for c in (id_col, *keep)] + [scorer.schema])
+    out_schema = T.StructType([df.schema[c] for c in (id_col, *keep)] + T.StructType.fromDDL(scorer.schema).fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _model_of(scorer)
