@@ -35,5 +35,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # importing the plan modules registers their queries
-    from . import queries  # noqa: F401
+    from . import queries, stored_queries  # noqa: F401
     return REGISTRY

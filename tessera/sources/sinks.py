@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import ship_package
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -13,6 +17,25 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("encoding", "UTF-8").json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Files that hold one JSON array of objects each, a file per task (what
+    ``readers.read_json_records`` reads); null fields are left out."""
+    def as_array(batches):
+        started = False
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            if rows:
+                rows[0] = ("," if started else "[") + rows[0]
+                started = True
+                yield pa.RecordBatch.from_arrays([pa.array([rows[0], *("," + r for r in rows[1:])], pa.string())], ["value"])
+        if started:
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
+
+    ship_package(df.sparkSession)
+    objects = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
+    objects.mapInArrow(as_array, "value string").write.mode(mode).text(path)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """K2: CSV with a header, quoted only where needed, quotes doubled,
     empty strings and nulls as empty fields (the pandas ``to_csv`` form)."""
