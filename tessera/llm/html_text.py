@@ -9,7 +9,9 @@ inside links. Its density is characters per tag, adjusted for links:
 densities is the core of the article. The smallest density on the path from the body
 to the core is the threshold. A core without blocks in it stands for its container; then
 the selection climbs to the parent, below the body and not out of an article element,
-while another child there reaches the threshold.
+while another child there reaches the threshold. If an article or main element holds
+the core, all of it is taken but lists of links beside the core; else the blocks from the
+page's headline (h1) to the core, or unlinked texts right before the core, come with it.
 
 Scripts, styles, menus, page headers and footers, sidebars, notices, adverts, forms and
 reader comments are left out before that: by element, by role, and by names in class and
@@ -52,7 +54,7 @@ SCOPE = frozenset("html body table ul ol dl div article section main td th block
 KEPT_ROOT = frozenset("html body article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 _NAME = re.compile(
-    r"(?:ads?|advert\w*|adsense|adbox|banner|sidebar|side|menu\w*|nav\w*|foot|footer|header|masthead|"
+    r"(?:ads?|adsby\w*|advert\w*|adsense|adbox|banner|sidebar|side|menu\w*|nav\w*|foot|footer|header|masthead|"
     r"cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|share|sharing|social|related|"
     r"recommend\w*|comments?|commentlist|respond|disqus|replies|newsletter|subscribe|subscription|promo\w*|"
     r"sponsor\w*|breadcrumbs?|widget|pagination|pager|toolbar|copyright|login|signup|widgets)")
@@ -62,12 +64,13 @@ _CONTAINERS = frozenset(
     "area list wrap wrapper container box block section group row col column inner outer content body panel item "
     "items link links icon icons button buttons btn bar form post posts article articles title heading left right "
     "top bottom primary secondary main unit slot zone thread text message image logo site page".split())
+LEAD = 60       # characters other than white space of a text before the core that counts as its lead without a headline
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
 
 def _name_kind(token: str) -> str | None:
     """"comment" or "other" if a class or id names something that is not main text."""
-    token = token.lower()
+    token = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", token).lower()     # siteFooter
     split = [p for p in re.split(r"([-_]+)", token) if p]
     words = [(re.sub(r"\d.*", "", p), split[i - 1] if i else "") for i, p in enumerate(split) if p[0] not in "-_"]
     words = [w for w in words if w[0]]
@@ -79,6 +82,12 @@ def _name_kind(token: str) -> str | None:
         named = last
     elif _NAME.fullmatch(words[0][0]) and all(w in _CONTAINERS or _NAME.fullmatch(w) for w, _ in words[1:]):
         named = words[0][0]
+    else:
+        inner = [w for w, _ in words]
+        while inner and inner[-1] in _CONTAINERS:
+            inner.pop()
+        if inner and len(inner) < len(words) and _COMMENT.fullmatch(inner[-1]):
+            return "other"            # post-comments-section: unless it holds the main text
     return named and ("comment" if _COMMENT.fullmatch(named) else "other")
 
 
@@ -280,22 +289,63 @@ def main_text(html: str) -> str:
         if up in (body, 0) or not any(j != at and density[j] >= least and chars[j] for j in children[up]):
             break
         at = up
-    return _blocks(page, at)
-
-
-def _blocks(page: Page, root: int) -> str:
+    linked = [2 * link_chars[i] > chars[i] for i in range(n)]
+    semantic = at
+    while semantic not in (body, 0) and tag[semantic] not in ("article", "main"):
+        semantic = parent[semantic]
+    if semantic not in (body, 0):
+        # the whole article, without lists of links beside the path to its core
+        without = set()
+        while at != semantic:
+            without.update(j for j in children[parent[at]] if j != at and linked[j])
+            at = parent[at]
+        return _blocks(page, {at}, without)
+    return _blocks(page, {at, *_opening(page, children, at, body, [
+        chars[i] and not linked[i] for i in range(n)], [
+        chars[i] >= LEAD and not link_chars[i] for i in range(n)])}, set())
+
+
+def _opening(page: Page, children: list, at: int, body: int, plain: list, lead: list) -> list[int]:
+    """Blocks before the core ``at`` that belong to it: from the page's headline on, or else
+    the unlinked texts right before it."""
+    parent, tag = page.parent, page.tag
+    path = [at]
+    while path[-1] not in (body, 0):
+        path.append(parent[path[-1]])
+    heads = [i for i in range(at) if tag[i] == "h1"]
+    if heads and not any(t == "h1" and _inside(parent, i, at) for i, t in enumerate(tag)):
+        head = heads[-1]
+        while parent[head] not in path and head > 0:
+            head = parent[head]
+        up = parent[head]
+        if up in path[1:] and (up not in (body, 0) or tag.count("h1") == 1):
+            end = path[path.index(up) - 1]
+            return [j for j in children[up] if head <= j < end and (plain[j] or j == head)]
+    out = []
+    if len(path) > 1:
+        for j in reversed([j for j in children[path[1]] if j < at]):
+            if not lead[j]:
+                break
+            out.append(j)
+    return out
+
+
+def _inside(parent: list, i: int, root: int) -> bool:
+    while i > root:
+        i = parent[i]
+    return i == root
+
+
+def _blocks(page: Page, roots: set, without: set) -> str:
     inside = [False] * len(page.tag)
-    inside[root] = True
-    for i in range(root + 1, len(page.tag)):
-        inside[i] = inside[page.parent[i]]
+    for i in range(len(page.tag)):
+        inside[i] = i not in without and (i in roots or (i > 0 and inside[page.parent[i]]))
     blocks, run = [], []
     for node, text in page.runs:
-        if not inside[node]:
-            continue
-        if text is None:
+        if text is None:                 # a block begins or ends
             blocks.append(run)
             run = []
-        elif text:
+        elif text and inside[node]:
             run.append(text)
     blocks.append(run)
     lines = (" ".join("".join(b).split()) for b in blocks)
