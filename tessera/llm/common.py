@@ -100,7 +100,7 @@ def first_rows(df: DataFrame, group_col: str, id_col: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
+              schema) -> DataFrame:
     """``mapInArrow`` with this package shipped to the workers."""
     ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)

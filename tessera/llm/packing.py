@@ -8,7 +8,8 @@ piece goes to the open bin with the least space that holds it, and when a new bi
 needed while all are open, the fullest one closes. Runs of ``WINDOW`` pieces are taken
 longest first.
 
-Only (document, piece, length) rows are shuffled. Sequence numbers are unique over all
+The number of streams follows from the counted pieces (at least ``STREAM`` each), not from the
+session's partitions. Only (document, piece, length) rows are shuffled. Sequence numbers are unique over all
 tasks. Null text is empty (a piece that is just the end id); rows with a null or repeated
 id are pieces like any other; an empty table gives an empty result; other columns are
 ignored.
@@ -23,12 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .chunks import worker_encoder
-from .common import column, map_arrow, text_slices
+from .common import column, map_arrow, materialize, text_slices
 
 OPEN_BINS = 4096
 WINDOW = 4096
+STREAM = 8 * WINDOW        # pieces of a stream at least
 
 
 class BestFit:
@@ -93,28 +96,45 @@ def pieces(docs: DataFrame, definition: str, end_id: int, max_tokens: int,
     return map_arrow(src, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+def streams(n_items: int, partitions: int) -> int:
+    """Streams to deal so many pieces over: each has ``STREAM`` pieces at least, so that its
+    bins left open at the end weigh little, whatever the number of partitions."""
+    return max(1, min(partitions, n_items // STREAM))
+
+
 def pack(items: DataFrame, max_tokens: int, open_bins: int = OPEN_BINS) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``max_tokens``."""
+    items = materialize(items, "pieces")
+    schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()),
+                           T.StructField("offset", T.LongType())])
+
     def run(batches):
         from pyspark import TaskContext
         base = TaskContext.get().partitionId() << 40
         bins = BestFit(max_tokens, open_bins)
+
+        def place(part: pa.Table) -> pa.Table:
+            lengths = part.column("length").to_numpy()
+            seq, off = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+            for i in np.argsort(-lengths, kind="stable").tolist():
+                b, off[i] = bins.place(int(lengths[i]))
+                seq[i] = base + b
+            return part.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
+
+        held = None        # fewer rows than a window, which may go on in the next batch
         for batch in batches:
-            for at in range(0, batch.num_rows, WINDOW):
-                part = batch.slice(at, WINDOW)
-                lengths = column(part, "length").to_numpy()
-                seq, off = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-                for i in np.argsort(-lengths, kind="stable").tolist():
-                    b, off[i] = bins.place(int(lengths[i]))
-                    seq[i] = base + b
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(seq), pa.array(off)],
-                                                 [*part.schema.names, "sequence_id", "offset"])
-
-    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            whole = len(t) - len(t) % WINDOW
+            for at in range(0, whole, WINDOW):
+                yield from place(t.slice(at, WINDOW).combine_chunks()).to_batches()
+            held = t.slice(whole)
+        if held is not None and len(held):
+            yield from place(held.combine_chunks()).to_batches()
+
+    n = streams(items.count(), int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = (items.repartition(n, "doc_id", "piece", "ids_crc32")
                .sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "ids_crc32"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
-    return map_arrow(ordered, run, f"{schema}, sequence_id long, offset long")
+    return map_arrow(ordered, run, schema)
 
 
 def pack_documents(docs: DataFrame, definition: str, end_id: int = 0, max_tokens: int = 2048,
