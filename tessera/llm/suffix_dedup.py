@@ -23,7 +23,7 @@ of depth 200.
 
 Null text is empty. Rows that repeat an id and a text repeat each other, so all of their
 long-enough text goes. Null ids are documents like any other. Empty tables give empty
-results; other columns are ignored.
+results; other columns are ignored. ``least`` below ``MIN_LEAST`` (64) is refused.
 """
 
 from __future__ import annotations
@@ -44,10 +44,11 @@ from .words import mix
 
 LEAST = 200
 GRAM = 32
+MIN_LEAST = 2 * GRAM      # shorter passages have too few grams for a key
 BUFFER = 1 << 18          # bytes hashed at once
 PIECE = 1 << 18           # windows of a piece of a long text
 SORT_BYTES = 512 << 10    # region bytes in one suffix array (whole keys; one key may be larger)
-DEPTH = 256               # suffixes are compared this far; longer prefixes count as this long
+DEPTH = 256               # suffixes are compared this far, or ``least`` if that is more; longer prefixes count as this long
 SUFFIXES = 80_000         # suffixes sorted at once
 HOT = 4_000
 SEEN = 200_000            # regions remembered per task so that copies are sent once
@@ -121,10 +122,14 @@ def _buffers(texts: list[bytes], least: int) -> Iterator[tuple]:
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, text, rid``; rows with the same id and text share their rid."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                      F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return src.withColumn("rid", F.xxhash64("doc_id", "text"))
+    """``doc_id, text, rid``; rows with the same id and text share their rid (128 bits)."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                       _rid(id_col, text_col).alias("rid"))
+
+
+def _rid(id_col: str, text_col: str) -> F.Column:
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.lit(":"),
+                                  F.coalesce(F.col(text_col), F.lit("")))))
 
 
 def repeated_keys(src: DataFrame, least: int) -> DataFrame:
@@ -175,11 +180,11 @@ def candidate_regions(src: DataFrame, least: int) -> DataFrame:
                         seen.clear()
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(),
+                        [pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(),
                                                                pa.binary(), pa.binary()))],
                         ["rid", "start", "key", "hash", "region"])
 
-    return materialize(map_arrow(src, run, "rid long, start long, key long, hash binary, region binary"),
+    return materialize(map_arrow(src, run, "rid binary, start long, key long, hash binary, region binary"),
                        "regions")
 
 
@@ -237,8 +242,9 @@ def covered_ranges(regions: list[bytes], least: int) -> list[list[tuple[int, int
     ends = np.cumsum(sizes)
     # only windows that occur twice start a suffix of interest; found by their hash
     starts = np.concatenate([np.arange(e - s, e - least + 1) for s, e in zip(sizes, ends)])
-    h = _hashes(text, 128)
-    window = h[starts] * np.uint64(_FACTOR) + h[starts + least - 128]
+    half = 1 << (least.bit_length() - 1)             # two of these cover a window
+    h = _hashes(text, half)
+    window = h[starts] * np.uint64(_FACTOR) + h[starts + least - half]
     order = np.argsort(window, kind="stable")
     same = window[order][1:] == window[order][:-1]
     often = np.zeros(len(starts), dtype=bool)
@@ -274,7 +280,8 @@ def _reach(raw: bytes, text: np.ndarray, cand: np.ndarray, sizes: np.ndarray, en
     if len(cand) < 2:
         return found
     region = np.searchsorted(ends, cand, side="right")
-    stop = np.minimum(ends[region], cand + DEPTH)
+    depth = max(DEPTH, least)
+    stop = np.minimum(ends[region], cand + depth)
     order = sorted(range(len(cand)), key=[raw[a:b] for a, b in zip(cand.tolist(), stop.tolist())].__getitem__)
     order = np.array(order)
     sa, room = cand[order], (stop - cand)[order]
@@ -289,7 +296,7 @@ def _reach(raw: bytes, text: np.ndarray, cand: np.ndarray, sizes: np.ndarray, en
             i = done[i]
         return i
 
-    for first, last, length in maximal_repeats(lcp, before, least, DEPTH):
+    for first, last, length in maximal_repeats(lcp, before, least, depth):
         i = following(first)
         while i <= last:
             found[order[i]] = length
@@ -376,6 +383,8 @@ def _repeats_by_window(regions: DataFrame, least: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text",
                     hot: int = HOT) -> DataFrame:
     """``rid, ranges`` (byte ranges, not merged) of the documents that repeat something."""
+    if least < MIN_LEAST:
+        raise ValueError(f"passages must be at least {MIN_LEAST} bytes long, not {least}")
     occurrences = candidate_regions(_source(docs, id_col, text_col), least)
     distinct = materialize(occurrences.groupBy("key", "hash").agg(
         F.max("region").alias("region"), F.count(F.lit(1)).alias("copies")), "distinct-regions")
@@ -439,7 +448,8 @@ def _split(src: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with ranges (joined with them) and rows without; only rows that a filter of
     the rids may hold are shuffled."""
     log2 = bloom.log2_bits(ranges.count())
-    probed = bloom.probe(src, F.col("rid"), bloom.build(ranges, "rid", log2), log2, "__t_maybe")
+    held = bloom.build(ranges.select(F.xxhash64("rid").alias("_k")), "_k", log2)
+    probed = bloom.probe(src, F.xxhash64("rid"), held, log2, "__t_maybe")
     maybe = probed.filter("__t_maybe").drop("__t_maybe")
     return (maybe.join(ranges, "rid"),
             probed.filter("not __t_maybe").drop("__t_maybe").unionByName(maybe.join(ranges, "rid", "left_anti")))
@@ -452,8 +462,7 @@ def drop_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", te
     new number of characters."""
     ranges = repeated_ranges(docs, least, id_col, text_col)
     columns = docs.columns
-    rid = F.xxhash64(F.col(inner(id_col)).cast("long"), F.coalesce(F.col(inner(text_col)), F.lit("")))
-    touched, rest = _split(whole_rows(docs).withColumn("rid", rid), ranges)
+    touched, rest = _split(whole_rows(docs).withColumn("rid", _rid(inner(id_col), inner(text_col))), ranges)
 
     def cut(series_text, series_ranges):
         import pandas as pd
