@@ -97,25 +97,34 @@ def training_batches(records: DataFrame, template: Template, encoder: Encoder,
 
 
 def _grouped_train(order: O.ExactOrder, size: int, pad: int, id_col: str) -> DataFrame:
-    """Train rows in length-grouped order, batched and left-padded. Mega-batches
-    hold at most 50 batches, so the width window over a batch is bounded."""
+    """Train rows in length-grouped order, batched and left-padded. Only ranks and lengths are
+    regrouped; the new places go back to the rank buckets as one row per bucket, which the
+    records, still partitioned by bucket, join without moving. Mega-batches hold
+    at most 50 batches, so the windows over them and over a batch are bounded."""
     from pyspark.sql import Window
 
     train_off = order.offsets.filter(F.col("split") == "train")
     train_off = train_off.withColumn("_total", F.sum("_n").over(Window.partitionBy()))
-    train = O.ExactOrder(order.ranked.filter(F.col("split") == "train"), train_off,
-                         order.rank_col, (), order.digits)
-    grouped = B.length_grouped_order(train, size, F.size("input_ids"), out_col="_g")
-    batched = (grouped.withColumn("position", F.col("_g"))
-               .withColumn("batch", B.batch_of(F.col("_g"), size)))
+    records = order.ranked.filter(F.col("split") == "train")
+    lengths = records.select("_bucket", order.rank_col, F.size("input_ids").alias("_li"), F.size("labels").alias("_ll"))
+    grouped = B.length_grouped_order(O.ExactOrder(lengths, train_off, order.rank_col, (), order.digits),
+                                     size, F.col("_li"), out_col="_g")
     w = Window.partitionBy("batch")
-    width = B.round_up(F.max(F.size("input_ids")).over(w), 8)
-    lwidth = B.round_up(F.max(F.size("labels")).over(w), 8)
+    placed = grouped.withColumn("batch", B.batch_of(F.col("_g"), size)).select(
+        "_bucket", F.struct(F.col(order.rank_col).alias("r"), F.col("_g").alias("position"), "batch",
+                            B.round_up(F.max("_li").over(w), 8).alias("width"),
+                            B.round_up(F.max("_ll").over(w), 8).alias("lwidth")).alias("_p"))
+    # a bucket's ranks follow each other, so a place is found by its index
+    per_bucket = placed.groupBy("_bucket").agg(F.array_sort(F.collect_list("_p")).alias("_places"))
+    place = F.get("_places", (F.col(order.rank_col) - F.col("_places")[0]["r"]).cast("int"))
+    batched = records.join(per_bucket, "_bucket").select(
+        id_col, "split", place.alias("_p"), "input_ids", "attention_mask", "labels")
+    width = F.col("_p.width")
     return batched.select(
-        id_col, "split", "position", "batch", width.alias("width"),
+        id_col, "split", F.col("_p.position").alias("position"), F.col("_p.batch").alias("batch"), width.alias("width"),
         B.pad_left(F.col("input_ids"), width, pad).alias("input_ids"),
         B.pad_left(F.col("attention_mask"), width, 0).alias("attention_mask"),
-        B.pad_left(F.col("labels"), lwidth, -100).alias("labels"))
+        B.pad_left(F.col("labels"), F.col("_p.lwidth"), -100).alias("labels"))
 
 
 def write_batches(batches: DataFrame, out: str, mode: str = "errorifexists",

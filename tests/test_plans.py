@@ -143,3 +143,15 @@ def test_training_job_group_by_length(spark):
     for b, rs in by_batch.items():
         w = math.ceil(max(lens[r.id] for r in rs) / 8) * 8
         assert all(r.width == w and len(r.input_ids) == w for r in rs)
+
+
+def test_group_by_length_moves_no_token_array(spark):
+    """Only text (before encoding) and narrow rows are exchanged."""
+    import re
+
+    recs = spark.createDataFrame([(i, "a" * (i * 7 % 90), "", "b") for i in range(500)],
+                                 "id long, instruction string, input string, output string")
+    df = TR.training_batches(recs, get_template("alpaca"), CodePoints(), 64, 8, val_set_size=20, group_by_length=True)
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    inputs = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", text)
+    assert inputs and not [i for i in inputs if "input_ids" in i or "labels" in i or "attention_mask" in i]
