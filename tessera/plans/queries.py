@@ -381,6 +381,16 @@ def _nli_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("sentence_pair_id", E.label_word(F.col("label")).alias("reply"))
 
 
+def _nli_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``expected, answer`` without whole prompts in the join: the text after the last marker of
+    prompt and reply is that of the reply and what follows the prompt's own last marker."""
+    marker = E.RESPONSE_MARKERS["ja"]
+    ev = E.require_columns(E.nli_eval_set(tables.nli(spark, sf_dir), shot=0, language="ja")).select(
+        "sentence_pair_id", "expected", F.split_part("prompts", F.lit(marker), F.lit(-1)).alias("tail"))
+    both = S.pair(ev, _nli_replies(spark, sf_dir), "sentence_pair_id")
+    return both.select("expected", S.answer_after_last(F.concat("tail", "reply", F.lit("\n")), marker).alias("answer"))
+
+
 def _nli_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = E.require_columns(E.nli_eval_set(tables.nli(spark, sf_dir), shot=0, language="ja"))
     both = S.pair(ev, _nli_replies(spark, sf_dir), "sentence_pair_id")
@@ -411,7 +421,7 @@ select 'jnli' as task, cast(count(*) as bigint) as n,
 from ans""")
 def nli_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1 + M4: substring accuracy of the extracted answers, 4 digits."""
-    ans = _nli_answers(spark, sf_dir)
+    ans = _nli_choices(spark, sf_dir)
     return S.report(ans, "jnli", S.accuracy(F.col("expected"), F.col("answer")), 4)
 
 
@@ -422,7 +432,7 @@ select 'jnli' as task, cast(count(*) as bigint) as n,
 from ans""")
 def nli_choice_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: share of answers that are exactly one of the three label words."""
-    ans = _nli_answers(spark, sf_dir)
+    ans = _nli_choices(spark, sf_dir)
     return S.report(ans, "jnli", S.choice_share(F.col("answer"), E.NLI_LABEL_WORDS.values()), 4)
 
 

@@ -15,8 +15,10 @@ Usable as a library call or from the command line:
 from __future__ import annotations
 
 import argparse
+import os
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -35,18 +37,27 @@ SPLIT_SEED = 42       # seed of its split
 COPIES = 100_000      # copies of one record that one task writes out
 
 
+def _path_below_root(df: DataFrame) -> Column:
+    """The source file's path below the deepest folder that holds all files of ``df``."""
+    paths = [re.sub("^[^:/]+:/+", "/", f) for f in df.inputFiles()]
+    root = os.path.commonpath([os.path.dirname(p) for p in paths]) if paths else "/"
+    here = F.regexp_replace(F.col("_metadata.file_path"), "^[^:/]+:/+", "/")
+    return F.substr(here, F.lit(len(root.rstrip("/")) + 2))
+
+
 def with_record_id(df: DataFrame, id_col: str = "id") -> DataFrame:
     """Give records read from files a deterministic id that depends on neither the folder
     nor the partition layout, and that is unique, so that a record a corpus repeats very
-    often still spreads over all buckets. Parquet: file name, row index and content hash
-    (call it on the DataFrame as read, before any shuffle). Formats without a row index:
+    often still spreads over all buckets. Parquet: the file's path below the folder that all
+    files share, row index and content hash (call it on the DataFrame as read, before any
+    shuffle). Formats without a row index:
     content hash and number of the copy; copies are counted (summed in the tasks first)
     and written out again in runs of ``COPIES``, so a hot record is no hot group."""
     if id_col in df.columns:
         return df
     content = F.md5(F.to_json(F.struct(*df.columns)))
     try:
-        return df.withColumn(id_col, F.concat_ws(":", F.col("_metadata.file_name"), F.col(
+        return df.withColumn(id_col, F.concat_ws(":", _path_below_root(df), F.col(
             "_metadata.row_index").cast("string"), content))
     except AnalysisException:      # no row index in this format
         pass

@@ -121,3 +121,33 @@ def test_failed_first_write_is_not_a_result(spark, tmp_dir):
     df = spark.createDataFrame([("q", "a")], "question string, answer string")
     assert materialize_once(df, path).count() == 1
     assert materialize_once(df.limit(0), path).count() == 1
+
+
+def test_record_ids_of_equal_part_names_differ(spark, tmp_dir):
+    from tessera.plans.training import with_record_id
+
+    df = spark.createDataFrame([("i", "", "o")], "instruction string, input string, output string").coalesce(1)
+    base = os.path.join(tmp_dir, "a b")
+    for part in ("x", "y"):
+        df.write.parquet(os.path.join(base, part))
+        for f in glob.glob(os.path.join(base, part, "part-*")):
+            os.rename(f, os.path.join(base, part, "part-0.parquet"))
+    both = with_record_id(spark.read.parquet(os.path.join(base, "x"), os.path.join(base, "y")))
+    assert sorted(r.id.rsplit(":", 1)[0] for r in both.collect()) == ["x/part-0.parquet:0", "y/part-0.parquet:0"]
+    one = with_record_id(spark.read.parquet(os.path.join(base, "x")))
+    assert one.first().id.startswith("part-0.parquet:0:")
+
+
+def test_cluster_needs_a_shared_folder(monkeypatch):
+    from tessera import session
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"getConf": staticmethod(lambda: Conf()), "master": "yarn"})
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session())
