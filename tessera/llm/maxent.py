@@ -125,14 +125,42 @@ def _features(sym: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return (mix(h + np.uint64(0x51ED27)) & np.uint64(ROWS - 1)).astype(np.int64)
 
 
-def _class_logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]]
+class Work:
+    """Arrays of a task that every update uses again."""
+
+    def __init__(self):
+        self.logits, self.one = (np.empty((BATCH, CLASSES), dtype=np.float32) for _ in range(2))
+        self.g, self.sum, self.square = (np.empty((4 * BATCH, CLASSES), dtype=np.float32) for _ in range(3))
+
+
+def _class_logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, work: Work) -> np.ndarray:
+    n = rows.shape[1]
+    z = np.take(weights, rows[0], axis=0, out=work.logits[:n], mode="clip")
     for r in rows[1:]:
-        z += weights[r]
+        z += np.take(weights, r, axis=0, out=work.one[:n], mode="clip")
     z += bias
     return z
 
 
+def _sum_runs(z: np.ndarray, at: np.ndarray, edge: np.ndarray, out: np.ndarray, deep: int = 6) -> np.ndarray:
+    """Sums of the rows ``z[at]`` over the runs that start at ``edge``: most runs are short and
+    added member by member over all runs at once."""
+    size = np.diff(np.append(edge, len(at)))
+    g = np.take(z, at[edge], axis=0, out=out[:len(edge)], mode="clip")
+    some = np.flatnonzero(size > 1)
+    few, many = some[size[some] <= deep], some[size[some] > deep]
+    member = 1
+    while len(few):
+        g[few] += z[at[edge[few] + member]]
+        member += 1
+        few = few[size[few] > member]
+    if len(many):
+        n = size[many]
+        first = np.cumsum(n) - n
+        g[many] = np.add.reduceat(z[at[np.repeat(edge[many] - first, n) + np.arange(n.sum())]], first, axis=0)
+    return g
+
+
 def _positions(sym: np.ndarray, ids: HeadIds) -> np.ndarray:
     return np.flatnonzero(sym < ids.head + TAIL_CLASSES)
 
@@ -176,6 +204,8 @@ def neighbour_counts(training: DataFrame, head, near: list[int]) -> np.ndarray:
 
 def word_classes(near_counts: np.ndarray, counts: np.ndarray, passes: int = 12) -> np.ndarray:
     """k-means (weighted by count) of the head words on their neighbours' square-root shares."""
+    if (near_counts < 0).any():
+        raise ValueError("word classes: a neighbour count is below 0")
     n = near_counts.sum(axis=1, keepdims=True)
     usual = (near_counts.sum(axis=0) + 1.0) / (near_counts.sum() + NEAR)
     x = np.sqrt((near_counts + 20.0 * usual) / (n + 20.0)).astype(np.float32)
@@ -209,13 +239,13 @@ def train_round(training: DataFrame, head, cls: np.ndarray, bias: np.ndarray,
         ids = head.value
         cls, bias, start = shared.value
         w, grad2 = start.copy(), np.full(start.shape, 1e-2, dtype=np.float32)
-        updates = np.zeros(ROWS, dtype=np.float32)
+        updates, work = np.zeros(ROWS, dtype=np.float32), Work()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 sym, _, _ = _stream(text_bytes(column(part, "text")), ids)
                 pos = _positions(sym, ids)
                 for at in range(0, len(pos), BATCH):
-                    _update(w, grad2, updates, sym, pos[at:at + BATCH], cls, bias)
+                    _update(w, grad2, updates, sym, pos[at:at + BATCH], cls, bias, work)
         out = np.empty((ROWS, width), dtype=np.float32)
         out[:, :-1] = (w - start) * updates[:, None]
         out[:, -1] = updates
@@ -231,9 +261,9 @@ def train_round(training: DataFrame, head, cls: np.ndarray, bias: np.ndarray,
     return weights + total[:, :-1] / np.maximum(total[:, -1:], 1)
 
 
-def _update(w, grad2, updates, sym, pos, cls, bias) -> None:
+def _update(w, grad2, updates, sym, pos, cls, bias, work: Work) -> None:
     rows = _features(sym, pos)
-    z = _class_logits(w, bias, rows)
+    z = _class_logits(w, bias, rows, work)
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
@@ -243,10 +273,16 @@ def _update(w, grad2, updates, sym, pos, cls, bias) -> None:
     key = np.sort(((rows << 13) | np.arange(n)).ravel())
     row = key >> 13
     edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    g = np.add.reduceat(z[key & 8191], edge, axis=0)
     at = row[edge]
-    grad2[at] += g * g
-    w[at] -= RATE * g / np.sqrt(grad2[at])
+    g = _sum_runs(z, key & 8191, edge, work.g)
+    total = np.take(grad2, at, axis=0, out=work.sum[:len(at)], mode="clip")
+    total += np.multiply(g, g, out=work.square[:len(at)])
+    grad2[at] = total
+    g *= np.float32(RATE)
+    g /= np.sqrt(total, out=total)
+    new = np.take(w, at, axis=0, out=work.sum[:len(at)], mode="clip")
+    new -= g
+    w[at] = new
     updates[at] += 1
 
 
@@ -298,10 +334,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(batches):
         from pyspark import TaskContext
         row = TaskContext.get().partitionId() << 40
-        ids = head.value
+        ids, work = head.value, Work()
         for batch in batches:
             for part in text_slices(batch, "text"):
-                yield from _score_slice(part, ids, model.value, row)
+                yield from _score_slice(part, ids, model.value, row, work)
                 row += part.num_rows
 
     scored = materialize(map_arrow(every, run, (
@@ -321,14 +357,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     (F.col("score") + tail).alias("score")))
 
 
-def _score_slice(part: pa.RecordBatch, ids: HeadIds, model, row: int):
+def _score_slice(part: pa.RecordBatch, ids: HeadIds, model, row: int, work: Work):
     cls, bias, weights, inside, base, known = model
     sym, ends, words = _stream(text_bytes(column(part, "text")), ids)
     pos = _positions(sym, ids)
     log_class = np.empty(len(pos))
     for at in range(0, len(pos), BATCH):
         p = pos[at:at + BATCH]
-        z = _class_logits(weights, bias, _features(sym, p))
+        z = _class_logits(weights, bias, _features(sym, p), work)
         target = z[np.arange(len(p)), cls[sym[p]]]
         top = z.max(axis=1)
         log_class[at:at + BATCH] = target - top - np.log(np.exp(z - top[:, None]).sum(axis=1))

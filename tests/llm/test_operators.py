@@ -517,3 +517,99 @@ def test_codes_reach_the_recall_on_odd_samples():
         x = x / np.linalg.norm(x, axis=1)[:, None]
         shift, projection = itq.learn_codes(x, 0.95)
         assert projection.shape[0] == x.shape[1] and len(shift) == projection.shape[1]
+
+
+def test_update_adds_gradients_of_equal_rows():
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(500, maxent.CLASSES)).astype(np.float32)
+    row = np.sort(rng.zipf(1.4, 2000) % 300)
+    at, edge = rng.integers(0, 500, 2000), np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    want = np.zeros((len(edge), maxent.CLASSES))
+    np.add.at(want, np.cumsum(np.isin(np.arange(2000), edge)) - 1, z[at])
+    got = maxent._sum_runs(z, at, edge, np.empty((2000, maxent.CLASSES), np.float32))
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_update_follows_the_gradient():
+    """One AdaGrad step against finite differences of the class log likelihood."""
+    rng = np.random.default_rng(8)
+    ids = maxent.HeadIds([b"a", b"b", b"c", maxent.END])
+    sym, _, _ = maxent._stream([b"a b c a b", b"c c x a", b"b a"], ids)
+    pos, work = maxent._positions(sym, ids), maxent.Work()
+    cls = np.array([0, 1, 2, 3, *range(maxent.HEAD_CLASSES, maxent.CLASSES)])
+    w = (rng.normal(size=(maxent.ROWS, maxent.CLASSES)) * 0.1).astype(np.float32)
+    bias = np.zeros(maxent.CLASSES, np.float32)
+
+    def likelihood(w):
+        rows = maxent._features(sym, pos)
+        z = sum(w[r].astype(float) for r in rows) + bias
+        return (z[np.arange(len(pos)), cls[sym[pos]]] - np.log(np.exp(z).sum(axis=1))).sum()
+
+    new, grad2, updates = w.copy(), np.full(w.shape, 1e-2, np.float32), np.zeros(maxent.ROWS, np.float32)
+    maxent._update(new, grad2, updates, sym, pos, cls, bias, work)
+    assert likelihood(new) > likelihood(w)
+    for r, k in [(int(maxent._features(sym, pos)[f][i]), c) for f, i, c in ((0, 1, 0), (1, 2, 1), (2, 4, 2), (3, 5, 30))]:
+        up = w.astype(float)
+        up[r, k] += 1e-4
+        g = -(likelihood(up) - likelihood(w)) / 1e-4
+        assert abs((w[r, k] - new[r, k]) - maxent.RATE * g / math.sqrt(1e-2 + g * g)) < 1e-2
+
+
+@pytest.mark.parametrize("least", [64, 100, 199, 257, 300, 400, 1000])
+def test_repeats_of_other_lengths(spark, least):
+    rng = np.random.default_rng(least)
+    base = [bytes(rng.integers(97, 103, 1500).astype(np.uint8)) for _ in range(3)]
+    texts = [base[0], b"x" + base[0][200:1400] + b"y" * 50, base[1] + base[2][:700], base[2], base[1][90:1250] * 2, b"ab" * 900]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = brute_repeats(texts, least)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(df, least=least).collect()}
+    assert got == dict(enumerate(want)) if isinstance(want, list) else got == want
+
+
+def test_repeats_too_short_are_refused(spark):
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), least=63)
+
+
+def test_few_sequences_for_any_number_of_partitions(spark):
+    rng = np.random.default_rng(7)
+    sizes = np.concatenate([np.full(300, 2048), rng.integers(1, 2049, 3000)])
+    df = spark.createDataFrame([(i, 0, int(n), i * 7) for i, n in enumerate(sizes)],
+                               "doc_id long, piece int, length long, ids_crc32 long")
+    bound = -(-int(sizes.sum()) // 2048)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 8, 200, 1000):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = packing.pack(df, 2048)
+            assert got.select("sequence_id").distinct().count() <= 1.02 * bound
+            assert got.count() == len(sizes)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert packing.streams(10 ** 9, 400) == 400 and packing.streams(1153, 1000) == 1
+
+
+PARAGRAPHS = "".join(f"<p>Paragraph {i} of the story has a number of plain words in it, and goes on for a while.</p>" for i in range(6))
+STORY = "\n".join(f"Paragraph {i} of the story has a number of plain words in it, and goes on for a while." for i in range(6))
+LEAD = "A lead of about one hundred characters that tells what the whole story is about, without any link."
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<article><h1>The title</h1><div class=body>{PARAGRAPHS}</div></article>", f"The title\n{STORY}"),
+    (f"<main><h1>The title</h1><div class=body>{PARAGRAPHS}</div></main>", f"The title\n{STORY}"),
+    (f"<div><h1>The title</h1><div class=body>{PARAGRAPHS}</div></div>", f"The title\n{STORY}"),
+    (f"<body><h1>The title</h1><div class=body>{PARAGRAPHS}</div></body>", f"The title\n{STORY}"),
+    (f"<div class=post><h1>The title</h1><p>{LEAD}</p><div class=entry>{PARAGRAPHS}</div></div>", f"The title\n{LEAD}\n{STORY}"),
+    (f"<body><div class=lead>{LEAD}</div><div class=text>{PARAGRAPHS}</div></body>", f"{LEAD}\n{STORY}"),
+    (f"<body><ul><li><a href=a>One</a><li><a href=b>Two</a></ul><div class=text>{PARAGRAPHS}</div></body>", STORY),
+    (f"<main><div><ul><li><a href=a>One link</a><li><a href=b>Two links</a></ul></div><div>{PARAGRAPHS}</div></main>", STORY),
+])
+def test_headline_and_lead_stay(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("name", ["siteFooter", "topNav", "mainSidebar", "commentThread", "cookieBanner", "adsbygoogle",
+                                  "post-comments-section", "user-comments-list"])
+def test_names_of_other_matter(name):
+    page = f"<article><h1>T</h1>{PARAGRAPHS}<div class='{name}'><p>Not a part of the story at all, but quite long too.</p></div></article>"
+    assert html_text.main_text(page) == f"T\n{STORY}"
