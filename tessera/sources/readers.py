@@ -5,7 +5,10 @@ Schemas are explicit, so reading never needs an inference pass over the data.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,13 +171,104 @@ def read_nested_qa(spark: SparkSession, path: str) -> DataFrame:
     return flatten_qa(read_json_records(spark, path, NESTED_QA_SCHEMA))
 
 
-def materialize_once(df: DataFrame, path: str, fmt: str = "json", schema=None) -> DataFrame:
+def input_key(df: DataFrame, version: str = "") -> str:
+    """Fingerprint of what ``df`` is built from: its input files with their sizes and times, its
+    schema, and the caller's ``version`` of the steps between."""
+    files = []
+    for name in sorted(df.inputFiles()):
+        fs, hpath = _fs_and_path(df.sparkSession, name)
+        st = fs.getFileStatus(hpath)
+        files.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+    return hashlib.sha256(json.dumps([files, df.schema.json(), version]).encode()).hexdigest()
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    from py4j.protocol import Py4JJavaError
+
+    fs, hpath = _fs_and_path(spark, path)
+    try:
+        stream = fs.open(hpath)
+    except Py4JJavaError:
+        if fs.exists(hpath):
+            raise
+        return None
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def _create(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> bool:
+    """Write a small file; False if it is there already, or if another writer's content came
+    through (HDFS creates files atomically; other stores let the last writer win)."""
+    from py4j.protocol import Py4JJavaError
+
+    fs, hpath = _fs_and_path(spark, path)
+    try:
+        stream = fs.create(hpath, overwrite)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName() or path_exists(spark, path):
+            return False
+        raise
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return _read_text(spark, path) == text
+
+
+def materialize_once(df: DataFrame, path: str, fmt: str = "json", schema=None, key: str | None = None,
+                     lease: float = 3600.0, poll: float = 0.5) -> DataFrame:
     """Write ``df`` to ``path`` unless a finished result is already there, then
-    read ``path`` back (a later run reuses the stored result)."""
-    spark = df.sparkSession
-    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):   # a failed write left no result
-        df.write.mode("overwrite").format(fmt).save(path)
+    read ``path`` back (a later run reuses the stored result).
+
+    One builder works at a time: it holds ``<path>.claim``, which is created atomically, writes
+    to a folder of its own and renames it when finished. Others wait for the result; a claim
+    older than ``lease`` seconds is taken over (its builder died). With a ``key`` (see
+    ``input_key``) a result that was stored under another key is built again.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+
+    def finished() -> bool:      # a failed write left no result
+        return path_exists(spark, f"{path}/_SUCCESS") and (key is None or _read_text(spark, f"{path}.key") == key)
+
+    while not finished():
+        token = uuid.uuid4().hex
+        if _create(spark, f"{path}.claim", token):
+            try:
+                if not finished():
+                    _build(df, path, fmt, token, key)
+            finally:
+                _delete(spark, f"{path}.claim")
+            break
+        if (held := _modified(spark, f"{path}.claim")) is not None and time.time() - held > lease:
+            _delete(spark, f"{path}.claim")
+        time.sleep(poll)
     reader = spark.read.format(fmt)
     if schema is not None or fmt == "json":
         reader = reader.schema(schema if schema is not None else df.schema)
     return reader.load(path)
+
+
+def _modified(spark: SparkSession, path: str) -> float | None:
+    fs, hpath = _fs_and_path(spark, path)
+    found = fs.globStatus(hpath)
+    return found[0].getModificationTime() / 1000 if found else None
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, hpath = _fs_and_path(spark, path)
+    fs.delete(hpath, True)
+
+
+def _build(df: DataFrame, path: str, fmt: str, token: str, key: str | None) -> None:
+    spark, building = df.sparkSession, f"{path}.building-{token}"
+    try:
+        df.write.format(fmt).save(building)
+        fs, final = _fs_and_path(spark, path)
+        fs.delete(final, True)                     # an unfinished or outdated result
+        if not fs.rename(_fs_and_path(spark, building)[1], final):
+            raise OSError(f"cannot rename {building} to {path}")
+        if key is not None:
+            _create(spark, f"{path}.key", key, overwrite=True)
+    except BaseException:
+        _delete(spark, building)
+        raise

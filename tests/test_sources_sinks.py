@@ -151,3 +151,52 @@ def test_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Session())
+
+
+def _logged(spark, log, n=40):
+    """A table that leaves a file in ``log`` for every task that builds a part of it."""
+    def run(batches):
+        import time
+        import uuid
+        for b in batches:
+            open(os.path.join(log, uuid.uuid4().hex), "w").close()
+            time.sleep(0.3)
+            yield b
+    return spark.range(n).coalesce(1).selectExpr("string(id) as question").mapInPandas(run, "question string")
+
+
+def test_concurrent_builders_write_once(spark, tmp_dir):
+    from concurrent.futures import ThreadPoolExecutor
+
+    log, out = os.path.join(tmp_dir, "log"), os.path.join(tmp_dir, "out")
+    os.makedirs(log)
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda _: R.materialize_once(_logged(spark, log), out, poll=0.05).count(), range(4)))
+    assert got == [40] * 4 and len(os.listdir(log)) == 1
+    assert sorted(os.listdir(tmp_dir)) == ["log", "out"]
+
+
+def test_changed_input_is_built_again(spark, tmp_dir):
+    src, out = os.path.join(tmp_dir, "src"), os.path.join(tmp_dir, "out")
+    for n in (3, 3, 5):
+        if not os.path.exists(src) or spark.read.parquet(src).count() != n:
+            spark.range(n).selectExpr("string(id) as question").write.mode("overwrite").parquet(src)
+        df = spark.read.parquet(src)
+        stamp = os.path.getmtime(out) if os.path.exists(out) else None
+        assert R.materialize_once(df, out, key=R.input_key(df)).count() == n
+        assert (os.path.getmtime(out) == stamp) == (n == 3 and stamp is not None)
+    assert R.materialize_once(df, out, key=R.input_key(df, "other steps")).count() == 5
+    assert R.materialize_once(df.limit(0), out, schema=df.schema).count() == 5      # without a key any result will do
+
+
+def test_claim_of_a_dead_builder_is_taken_over(spark, tmp_dir):
+    out = os.path.join(tmp_dir, "out")
+    os.makedirs(out)                                       # a write that never finished
+    open(out + ".claim", "w").close()
+    os.utime(out + ".claim", (1, 1))
+    df = spark.range(4).selectExpr("string(id) as question")
+    assert R.materialize_once(df, out, lease=5, poll=0.01).count() == 4
+    failing = df.selectExpr("raise_error('no') as question")
+    with pytest.raises(Exception):
+        R.materialize_once(failing, out + "2").collect()
+    assert not [f for f in os.listdir(tmp_dir) if f.startswith("out2")]
