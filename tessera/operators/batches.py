@@ -100,6 +100,37 @@ def pad_batches(order: ExactOrder, size: int, pad_id: int, multiple: int = 8,
     return out.drop("_mi", "_ml", "_fi", "_fl")
 
 
+def little_endian_hex(values: Column) -> Column:
+    """An array of 32-bit integers as the hex digits of its little-endian bytes."""
+    def one(x):
+        h = F.lpad(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
+        return F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)])
+    return F.array_join(F.transform(values, one), "")
+
+
+def batch_tensors(order: ExactOrder, padded: DataFrame, size: int, ids: str = "input_ids",
+                  mask: str = "attention_mask", labels: str = "labels") -> DataFrame:
+    """B2 as a trainer reads it: one row per batch of ``pad_batches`` (``padded``, its columns
+    kept) with the shape ``n_rows, width, label_width``, the rows in order of their ranks as
+    little-endian 32-bit bytes ``ids, mask, labels`` (row after row), and ``checksum``, the crc32 of
+    the three. A batch has ``size`` rows at most. It lies in one bucket unless a
+    bucket's edge cuts it, so batches are put together where their rows are and only the parts
+    of cut batches (at most one per bucket) move."""
+    g = [*order.by, "batch"]
+    row = F.struct(F.col(order.rank_col).alias("r"), F.size(ids).alias("w"), F.size(labels).alias("lw"),
+                   *[little_endian_hex(F.col(c)).alias(k) for c, k in ((ids, "i"), (mask, "m"), (labels, "l"))])
+    rows = padded.select(*g, "_bucket", row.alias("_row"))
+    cut = F.broadcast(cut_batches(order, size))           # at most one per bucket
+    whole = rows.join(cut, g, "left_anti").groupBy(*g, "_bucket").agg(F.collect_list("_row").alias("_rows")).drop("_bucket")
+    parts = rows.join(cut, g, "left_semi").groupBy(*g).agg(F.collect_list("_row").alias("_rows"))
+    put = whole.unionByName(parts).withColumn("_rows", F.array_sort("_rows"))
+    data = [F.unhex(F.array_join(F.col(f"_rows.{k}"), "")).alias(name)
+            for k, name in (("i", "ids"), ("m", "mask"), ("l", "labels"))]
+    return put.select(*g, F.size("_rows").alias("n_rows"), F.col("_rows")[0]["w"].alias("width"),
+                      F.col("_rows")[0]["lw"].alias("label_width"), *data).withColumn(
+        "checksum", F.crc32(F.concat("ids", "mask", "labels")))
+
+
 def length_grouped_order(order: ExactOrder, size: int, length: Column,
                          out_col: str = "grouped_rank") -> DataFrame:
     """The length-grouped order of a shuffled table.

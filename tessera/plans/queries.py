@@ -149,6 +149,40 @@ def train_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
                          ids_text(F.col("labels")).alias("labels"))
 
 
+def _bytes_sql(ids: str) -> str:
+    """Hex digits of the little-endian 32-bit bytes of an integer list."""
+    h = "printf('%08x', (x + 4294967296) % 4294967296)"
+    return (f"array_to_string(list_transform({ids}, lambda x: substr({h}, 7, 2) || substr({h}, 5, 2) || "
+            f"substr({h}, 3, 2) || substr({h}, 1, 2)), '')")
+
+
+@register("batch_tensors", sql=_with(
+    tables.INST_SQL,
+    f"""enc as (select id, {codepoints_sql(render_sql(ALPACA, 'instruction', 'input', 'output'), CUTOFF)} as ids0 from inst)""",
+    f"""tok as (select id, {_eos_sql('ids0', CUTOFF)} as ids from enc)""",
+    f"""r as (select *, {_rank_sql('id')} as g from tok)""",
+    f"""s as (select *, case when g <= {VAL_RECORDS} then 'validation' else 'train' end as split,
+       case when g <= {VAL_RECORDS} then g else g - {VAL_RECORDS} end as position from r)""",
+    f"""b as (select *, (position - 1) // {BATCH} as batch from s)""",
+    """m as (select *, cast(((max(len(ids)) over (partition by split, batch) + 7) // 8) * 8 as integer) as width from b)""",
+    f"""x as (select split, batch, width, position, {_bytes_sql(_pad_sql('ids', 'width', CP_PAD))} as i,
+       {_bytes_sql(_pad_sql("list_transform(ids, lambda x: 1)", 'width', 0))} as k,
+       {_bytes_sql(_pad_sql('ids', 'width', -100))} as l from m)""",
+) + """select split, cast(batch as bigint) as batch, cast(count(*) as integer) as n_rows, any_value(width) as width,
+       any_value(width) as label_width, md5(unhex(string_agg(i, '' order by position))) as ids,
+       md5(unhex(string_agg(k, '' order by position))) as mask, md5(unhex(string_agg(l, '' order by position))) as labels
+from x group by split, batch""")
+def batch_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2 as one row per batch: shape and digests of the little-endian ids, mask and labels."""
+    recs = tables.inst(spark, sf_dir).select("id", "instruction", "input", "output")
+    order = O.exact_split(cut_fields(recs, CodePoints(), CUTOFF), "id", VAL_RECORDS, SEED).derive(
+        lambda d: tokenize_records(d, ALPACA, CodePoints(), cutoff_len=CUTOFF, train_on_inputs=True,
+                                   keep=["id", "split", "position", "_bucket"]))
+    out = B.batch_tensors(order, B.pad_batches(order, BATCH, pad_id=CP_PAD), BATCH)
+    return out.select("split", "batch", "n_rows", "width", "label_width",
+                      *[F.md5(c).alias(c) for c in ("ids", "mask", "labels")])
+
+
 @register("batch_footprint", sql=f"""
 with r as (select {_rank_sql('doc_id')} as rank, length(text) as len from documents),
 c as (select rank, len, unnest({FOOTPRINT_SIZES}) as batch_size from r),

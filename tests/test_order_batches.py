@@ -168,3 +168,28 @@ def test_scale_conf():
     conf = scale_conf(100 * 10 ** 12)
     assert int(conf["spark.sql.shuffle.partitions"]) > 300_000
     assert scale_conf(10)["spark.sql.shuffle.partitions"] == "200"
+
+
+@pytest.mark.parametrize("size", [1, 3, 8, 500])
+def test_batch_tensors_decode_to_the_padded_rows(spark, size):
+    import zlib
+
+    import numpy as np
+
+    df = spark.createDataFrame([(i, [(i * 7 + k) % 70_000 - 3 for k in range(i % 23 + 1)]) for i in range(400)],
+                               "id long, input_ids array<int>")
+    df = df.selectExpr("id", "input_ids", "array_repeat(1, size(input_ids)) as attention_mask",
+                       "concat(array(-100), input_ids) as labels")
+    order = O.exact_split(df, "id", 37, 42, digits=2)
+    padded = B.pad_batches(order, size, pad_id=5)
+    want = {}
+    for r in padded.collect():
+        want.setdefault((r.split, r.batch), []).append((r.position, r.input_ids, r.attention_mask, r.labels))
+    got = B.batch_tensors(order, padded, size).collect()
+    assert len(got) == len(want)
+    for r in got:
+        rows = sorted(want[r.split, r.batch])
+        assert r.n_rows == len(rows)
+        for data, width, k in ((r.ids, r.width, 1), (r["mask"], r.width, 2), (r.labels, r.label_width, 3)):
+            assert np.frombuffer(data, "<i4").reshape(r.n_rows, width).tolist() == [x[k] for x in rows]
+        assert r.checksum == zlib.crc32(bytes(r.ids) + bytes(r["mask"]) + bytes(r.labels))
