@@ -30,7 +30,7 @@ fold and is not held out. Other columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import collect_blocks, column, map_arrow, materialize, sum_blocks, text_slices
+from .words import pair_hashes
 
 SAMPLE = 2_000          # training documents
 LEXICON = 50_000        # words with language shares
@@ -68,22 +69,33 @@ def words_of(text: str | None) -> list[str]:
 
 
 def has_letter(word: str) -> bool:
-    return any(map(str.isalpha, word))
-
-
-def features(word: str) -> list[int]:
-    """Buckets of a word's affixes and n-grams."""
-    w = f"^{word}$"
-    parts = [f"p{word[:i]}" for i in range(1, min(4, len(word)) + 1)]
-    parts += [f"s{word[-i:]}" for i in range(1, min(4, len(word)) + 1)]
-    parts += [w[i:i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts]
+    return word.isalpha() or any(map(str.isalpha, word))
 
 
 def _featurize(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all words in a row, and the number of each word's."""
-    each = [features(w) for w in words]
-    return (np.fromiter((f for fs in each for f in fs), np.int32), np.array([len(f) for f in each], dtype=np.int32))
+    """Buckets of all words' affixes and n-grams in a row, and the number of each word's."""
+    text = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 2)                    # one past a word's closing mark
+    first, of = end - size - 1, np.repeat(np.arange(len(words)), size + 2)
+    parts, owners = [], []
+    for kind, at, step in ((1, first, 1), (2, end - 2, -1)):
+        h, mine = np.full(len(words), kind, dtype=np.uint64), np.arange(len(words))
+        for n in range(4):
+            mine = mine[size[mine] > n]
+            h[mine] = pair_hashes(h[mine], text[at[mine] + step * n])
+            parts.append(h[mine])
+            owners.append(mine)
+    h = text
+    for n in (1, 2):
+        h = pair_hashes(h[:-1], text[n:])
+        inside = of[n:] == of[:-n]
+        parts.append(h[inside])
+        owners.append(of[:-n][inside])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return ((np.concatenate(parts)[order] % np.uint64(BUCKETS)).astype(np.int32),
+            np.bincount(owner, minlength=len(words)).astype(np.int32))
 
 
 def _scores(feats: np.ndarray, counts: np.ndarray, shares: np.ndarray, m) -> np.ndarray:
@@ -93,13 +105,17 @@ def _scores(feats: np.ndarray, counts: np.ndarray, shares: np.ndarray, m) -> np.
 
 
 def _shares(words: list[str], lexicon: dict, n: int) -> np.ndarray:
-    none = np.zeros(n)
-    return np.array([lexicon.get(w, none) for w in words]).reshape(len(words), n)
+    out = np.zeros((len(words), n))
+    for i, w in enumerate(words):
+        if w in lexicon:
+            out[i] = lexicon[w]
+    return out
 
 
-def marginals(score: np.ndarray, starts: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def marginals(score: np.ndarray, starts: np.ndarray, moves: np.ndarray, expect: bool = True
+              ) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over texts in a row: (probability of each language per word, sum of
-    the expected transitions). ``starts``: first word of each text (no text is empty)."""
+    the expected transitions, if asked for). ``starts``: first word of each text (no text is empty)."""
     n, size = score.shape
     block = max(CHAIN, -(-n * size * size // CELLS))
     n_blocks = -(-n // block)
@@ -112,10 +128,12 @@ def marginals(score: np.ndarray, starts: np.ndarray, moves: np.ndarray) -> tuple
     move = np.exp(moves - moves.max())
 
     def enter(v, j):     # row vectors or matrices before position j of each block -> at it
-        at = v @ move
+        at = (v.reshape(-1, size) @ move).reshape(v.shape)
         at[cut[:, j]] = v[cut[:, j]].sum(axis=-1, keepdims=True)
-        at = at * (p[:, j] if v.ndim == 2 else p[:, j, None, :])
-        return at / at.max(axis=tuple(range(1, v.ndim)), keepdims=True)
+        at *= p[:, j] if v.ndim == 2 else p[:, j, None, :]
+        top = at.reshape(n_blocks, -1).max(axis=1)
+        at /= top[:, None] if v.ndim == 2 else top[:, None, None]
+        return at
 
     across = np.broadcast_to(np.eye(size), (n_blocks, size, size)).copy()
     for j in range(block):
@@ -139,7 +157,7 @@ def marginals(score: np.ndarray, starts: np.ndarray, moves: np.ndarray) -> tuple
         w = p[:, j] * back
         before = forward[:, j - 1] if j else first
         inside = ~cut[:, j]
-        if inside.any():
+        if expect and inside.any():
             x = before[inside][:, :, None] * move * w[inside][:, None, :]
             pairs += (x / x.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         back = w @ move.T
@@ -291,11 +309,24 @@ def fit(labelled: DataFrame, size: int = SAMPLE, rounds: int = ROUNDS) -> Model
 # --- labelling -------------------------------------------------------------------------
 
 
+class Places(dict):
+    """word -> row of its scores; unseen words queue up."""
+
+    def __init__(self):
+        super().__init__()
+        self.queue: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.queue.append(word)
+        return n
+
+
 class Scorer:
     """Word scores of a worker, kept for the words met last."""
 
     def __init__(self, m: Model):
-        self.m, self.place = m, {}
+        self.m, self.place = m, Places()
         self.table, self.letters = np.zeros((0, len(m.langs))), np.zeros(0, dtype=bool)
 
     def probabilities(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -303,19 +334,18 @@ class Scorer:
         words = [words_of(t) for t in texts]
         if len(self.place) > CACHE_WORDS:
             self.__init__(self.m)
-        new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in self.place]
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        ids = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
+        new, self.place.queue = self.place.queue, []
         if new:
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
             self.table = np.concatenate([self.table, _scores(*_featurize(new), _shares(new, self.m.lexicon, len(self.m.langs)), self.m)])
-            self.letters = np.concatenate([self.letters, [has_letter(w) for w in new]])
-        n = np.array([len(w) for w in words], dtype=np.int64)
-        ids = np.fromiter((self.place[w] for ws in words for w in ws), np.int64, int(n.sum()))
+            self.letters = np.concatenate([self.letters, np.fromiter(map(has_letter, new), bool, len(new))])
         letters = np.zeros(len(texts), dtype=bool)
         if not len(ids):
             return np.zeros((0, len(self.m.langs))), n, letters
         starts = (np.cumsum(n) - n)[n > 0]
         letters[n > 0] = np.logical_or.reduceat(self.letters[ids], starts)
-        return marginals(self.table[ids], starts, self.m.moves)[0], n, letters
+        return marginals(self.table[ids], starts, self.m.moves, expect=False)[0], n, letters
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
