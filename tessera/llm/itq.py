@@ -18,7 +18,8 @@ reach it.
 Equal vectors are collapsed first, so copies are never paired with one another. A pair
 is only formed in the first table that finds it. Vectors that are null, zero, or hold
 null or non-finite components, and rows with a null id, link with nothing. Shorter
-vectors count as padded with zeros. Rows that repeat an id and vector count as copies.
+vectors count as padded with zeros. Rows that repeat an id and vector count as copies; rows
+that repeat an id with other vectors are vectors of their own.
 Empty tables give empty results; other columns are ignored.
 """
 
@@ -190,26 +191,29 @@ def link_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
                             F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     classes = materialize(units.filter("unit is not null").groupBy("key").agg(
         F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"),
-        F.min_by("unit", "vec_id").alias("unit")), "classes")
-    sample = classes.orderBy(F.xxhash64("id")).limit(SAMPLE).select("unit").toArrow()
+        F.min_by("unit", "vec_id").alias("unit")).withColumn("num", F.monotonically_increasing_id()), "classes")
+    sample = classes.orderBy(F.xxhash64("id"), "key").limit(SAMPLE).select("unit").toArrow()
     shift, projection = learn_codes(_matrix(sample.column(0).combine_chunks(), width), threshold)
-    pairs = candidates(materialize(_codes(classes, shift, projection), "codes"))
-    va = classes.select(F.col("id").alias("a"), F.col("unit").alias("ua"))
-    vb = classes.select(F.col("id").alias("b"), F.col("unit").alias("ub"))
+    # classes have numbers of their own: two of them may share a repeated id
+    pairs = candidates(materialize(_codes(classes.select(F.col("num").alias("id"), "unit"), shift, projection), "codes"))
+    va = classes.select(F.col("num").alias("a"), F.col("unit").alias("ua"))
+    vb = classes.select(F.col("num").alias("b"), F.col("unit").alias("ub"))
     # a shorter vector has zeros at its end: they add nothing to the product
     n = F.least(F.size("ua"), F.size("ub"))
     dot = F.aggregate(F.zip_with(F.slice("ua", F.lit(1), n), F.slice("ub", F.lit(1), n),
                                  lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     links = materialize(pairs.join(va, "a").join(vb, "b").filter(dot >= threshold).select("a", "b"), "links")
     both = links.union(links.select("b", "a"))
-    size = classes.select(F.col("id").alias("b"), "copies")
+    size = classes.select(F.col("num").alias("b"), "copies")
     degree = both.join(size, "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    comp = connected_components(links)
+    comp = materialize(connected_components(links), "components")
+    smallest = materialize(comp.join(classes.select(F.col("num").alias("node"), "id"), "node").groupBy("component").agg(
+        F.min("id").alias("component_id")), "smallest-ids")
     per_class = materialize(
-        classes.select("key", "id", "copies").join(degree, F.col("id") == F.col("a"), "left")
-        .join(comp, F.col("id") == F.col("node"), "left")
+        classes.select("key", "num", "id", "copies").join(degree, F.col("num") == F.col("a"), "left")
+        .join(comp.join(smallest, "component"), F.col("num") == F.col("node"), "left")
         .select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-                F.coalesce("component", "id").alias("component_id")), "per-class")
+                F.coalesce("component_id", "id").alias("component_id")), "per-class")
     linked = units.filter("key is not null").select("vec_id", "key").join(per_class, "key")
     rest = units.filter("key is null").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -613,3 +613,10 @@ def test_headline_and_lead_stay(page, want):
 def test_names_of_other_matter(name):
     page = f"<article><h1>T</h1>{PARAGRAPHS}<div class='{name}'><p>Not a part of the story at all, but quite long too.</p></div></article>"
     assert html_text.main_text(page) == f"T\n{STORY}"
+
+
+def test_repeated_ids_with_other_vectors(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (7, [0.0, 1.0, 0.01]), (9, [0.0, 0.0, 1.0]), (9, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in itq.link_vectors(df).collect())
+    assert got == [(5, 0, 5, True), (5, 1, 5, True), (7, 1, 5, False), (9, 1, 9, True), (9, 1, 9, True)]
