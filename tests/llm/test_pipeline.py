@@ -72,3 +72,88 @@ def test_scratch_of_a_stage_goes_once_its_result_is_stored(spark, folder, tmp_pa
     assert corpus_pipeline.drop_repeated_passages(spark, near, f"{folder}/full").count() == near.count() > 0
     common.end_stages(spark)
     assert corpus_pipeline.run(spark, f"{folder}/full").count() > 0
+
+
+def brute_pipeline(docs):
+    """doc_id -> text after exact, near and passage dedup of ``(doc_id, text)`` rows."""
+    import re
+
+    first = {}
+    for i, t in sorted(docs):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), (i, t or ""))
+    left = dict(first.values())
+
+    def shingles(t):
+        w = t.encode().lower().split()
+        return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, group = {i: shingles(t) for i, t in left.items()}, {i: i for i in left}
+    for a in sorted(left):
+        for b in sorted(left):
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {i: new if g == old else g for i, g in group.items()}
+    left = {i: t for i, t in left.items() if group[i] == i}
+    seen = {}
+    for t in left.values():
+        raw = t.encode()
+        for k in range(len(raw) - 199):
+            seen[raw[k:k + 200]] = seen.get(raw[k:k + 200], 0) + 1
+    out = {}
+    for i, t in left.items():
+        raw, covered = t.encode(), bytearray(len(t.encode()))
+        for k in range(len(raw) - 199):
+            if seen[raw[k:k + 200]] > 1:
+                covered[k:k + 200] = b"\1" * 200
+        at, kept = 0, []
+        for c in t:
+            n = len(c.encode())
+            if not all(covered[at:at + n]):
+                kept.append(c)
+            at += n
+        out[i] = "".join(kept)
+    return out
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    """Without labels every document is selected; all later stages against plain Python."""
+    import random
+    import zlib
+
+    import numpy as np
+
+    from tessera.llm import chunks
+    from tessera.llm.queries import vocabulary
+
+    rng = random.Random(11)
+    word = lambda: rng.choice(["é", "ß", ""]) + f"w{rng.randrange(4000)}"
+    passage = [" ".join(word() for _ in range(70)) for _ in range(3)]
+    texts = [" ".join(word() for _ in range(rng.randrange(1, 120))) for _ in range(25)]
+    texts += [t.replace(" ", " \n ", 2) for t in texts[:5]]                                   # exact copies
+    for t in texts[5:15]:                                                                     # near copies, some too far
+        w = t.split()
+        for _ in range(rng.randrange(1, 5)):
+            w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    texts += [" ".join(word() for _ in range(20)) + " " + rng.choice(passage) + " " + " ".join(word() for _ in range(25))
+              for _ in range(12)]
+    texts += ["", None, " \t", passage[0], "x" * 450, " ".join(word() for _ in range(3000))]
+    docs = list(enumerate(texts))
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    lib = chunks.library_tokenizer(vocabulary("byte_bpe_50k.json"))
+    want = set()
+    for i, t in brute_pipeline(docs).items():
+        ids = np.array(lib.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want |= {(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {tuple(r)[:5] for r in got} == want and len(got) == len(want)
+    used = {}
+    for r in got:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in used.values():
+        ends = [0, *(o + n for o, n in sorted(pieces))]
+        assert [o for o, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= 2048
