@@ -620,3 +620,68 @@ def test_repeated_ids_with_other_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in itq.link_vectors(df).collect())
     assert got == [(5, 0, 5, True), (5, 1, 5, True), (7, 1, 5, False), (9, 1, 9, True), (9, 1, 9, True)]
+
+
+def test_importance_equals_plain_counts(spark):
+    """Log weights and decisions against dictionaries of n-grams."""
+    rng = np.random.default_rng(12)
+    vocab = [f"w{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(300):
+        good = i % 3 > 0
+        words = list(rng.choice(vocab[:40] if good else vocab[20:], size=int(rng.integers(1, 30))))
+        if i % 7 == 0:
+            words += ["again"] * int(rng.integers(2, 14))
+        rows.append((i, " ".join(words)))
+        if i % 2:
+            labels.append((i, int(good), int(not good and i % 5 == 0)))
+    rows += [(1, rows[1][1]), (None, "w1 w2"), (301, None), (302, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+    def grams(text):
+        w = (text or "").encode().lower().split()
+        h = dict(zip(w, importance.word_hashes(w).tolist()))
+        out = {("one", h[x] % importance.BUCKETS) for x in w}
+        for cut, salt, ok in ((lambda x: x[:4], 1, lambda x: len(x) > 4), (lambda x: x[-2:], 2, lambda x: True)):
+            parts = [cut(x) for x in set(w) if ok(x)]
+            out |= {("one", int(v) % importance.BUCKETS) for v in importance.mix(importance.word_hashes(parts) + np.uint64(salt))}
+        run = longest = 0
+        for k, x in enumerate(w):
+            run = run + 1 if k and x == w[k - 1] else 1
+            longest = max(longest, run)
+        out |= {("one", int(v) % importance.BUCKETS) for v in importance.mix(np.array(
+            [n for n in importance.RUNS if n <= longest], dtype=np.uint64))}
+        a = np.array([h[x] for x in w], dtype=np.uint64)
+        return out | {("two", int(v) % importance.BUCKETS) for v in importance.pair_hashes(a[:-1], a[1:])}
+
+    good = {i for i, q, t in labels if q == 1 and t == 0}
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i in good:
+            target.update(grams(t))
+    weight = {}
+    for kind in ("one", "two"):
+        n, n_raw = (sum(v for (k, _), v in c.items() if k == kind) for c in (target, raw))
+        ratio = {}
+        for g in (g for g in raw if g[0] == kind):
+            expected = raw[g] * n / n_raw
+            r = math.log((target[g] + importance.SMOOTH) / (expected + importance.SMOOTH))
+            ratio[g] = r if abs(target[g] - expected) > importance.Z * math.sqrt(expected + 1) and abs(r) >= math.log(
+                importance.FACTOR) else 0.0
+        mean = sum(ratio[g] * target[g] for g in ratio) / n
+        weight |= {g: r - mean for g, r in ratio.items()}
+    got = importance.select(docs, marks).collect()
+    want = collections.Counter((i, round(sum(weight[g] for g in grams(t)), 3)) for i, t in rows)
+    assert collections.Counter((r.doc_id, round(r.log_weight, 3)) for r in got) == want
+    noise = {r[0]: r[1] for r in docs.select("doc_id", importance.gumbel("doc_id", 7)).collect()}
+    assert all(abs(r.gumbel_key - r.log_weight - noise[r.doc_id]) < 1e-9 for r in got)
+    lowest = {}
+    for r in got:
+        lowest[r.doc_id] = min(lowest.get(r.doc_id, math.inf), r.log_weight)
+    marked = {i for i, *_ in labels}
+    cut = importance.best_threshold(np.array([lowest[i] for i in sorted(marked & good)]), np.array([lowest[i] for i in sorted(marked - good)]))
+    k = sum(r.log_weight >= cut for r in got)
+    least = sorted((r.gumbel_key for r in got), reverse=True)[k - 1]
+    assert 0 < k < len(got) and all(r.kept == (r.gumbel_key >= least) for r in got)
