@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 DEFAULT_DIGITS = 4      # 65,536 buckets: offsets table <= 65,536 rows (~1 MB broadcast);
                         # 5 digits keep buckets near 128 MB beyond ~8 TB (~16 MB broadcast)
 DEFAULT_SEED = 42
+MAX_OFFSETS = 4_000_000   # rows of the broadcast offsets table (about 100 MB): buckets x ``by`` groups
 
 
 def order_key(id_col: str | Column, seed: int | str = DEFAULT_SEED) -> Column:
@@ -86,6 +87,12 @@ def exact_rank(df: DataFrame, id_col: str, seed: int | str = DEFAULT_SEED,
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
                             F.sum("_n").over(whole).alias("_total"))
     start = F.col("_start")
+    if by:          # without groups there are 16**digits rows at most
+        rows = Window.partitionBy()
+        offsets = offsets.withColumn("_rows", F.count(F.lit(1)).over(rows))
+        start = F.when(F.col("_rows") > F.lit(MAX_OFFSETS), F.raise_error(F.concat(
+            F.lit(f"too many groups of {by}: the offsets table has more than {MAX_OFFSETS} rows ("),
+            F.col("_rows").cast("string"), F.lit("); use fewer digits")))).otherwise(start)
     if more_than is not None:
         start = F.when(F.col("_total") <= F.lit(more_than), F.raise_error(F.concat(
             F.lit(f"the table must have more than {more_than} rows, it has "),
@@ -95,6 +102,7 @@ def exact_rank(df: DataFrame, id_col: str, seed: int | str = DEFAULT_SEED,
                 .withColumn("_in", F.row_number().over(inside)))
     side = offsets.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bucket").alias("_b"),
                           start.alias("_start"))
+    offsets = offsets.drop("_rows")
     on = F.col("_bucket") == F.col("_b")
     for c in by:            # a null group is a group
         on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))

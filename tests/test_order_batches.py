@@ -193,3 +193,11 @@ def test_batch_tensors_decode_to_the_padded_rows(spark, size):
         for data, width, k in ((r.ids, r.width, 1), (r["mask"], r.width, 2), (r.labels, r.label_width, 3)):
             assert np.frombuffer(data, "<i4").reshape(r.n_rows, width).tolist() == [x[k] for x in rows]
         assert r.checksum == zlib.crc32(bytes(r.ids) + bytes(r["mask"]) + bytes(r.labels))
+
+
+def test_too_many_groups_for_the_broadcast(table, monkeypatch):
+    _, df = table
+    monkeypatch.setattr(O, "MAX_OFFSETS", 100)
+    with pytest.raises(Exception, match="too many groups"):
+        O.exact_rank(df, "id", 42, 4, by=("text",)).ranked.collect()
+    assert O.exact_rank(df, "id", 42, 4).ranked.count() == 500
