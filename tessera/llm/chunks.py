@@ -145,8 +145,9 @@ def library_tokenizer(definition: str):
     return _LIBRARY[definition]
 
 
-def library_encoder(definition: str, keeps_space: bool) -> ChunkEncoder:
-    """The library's ids. ``keeps_space``: the tokenizer encodes white space (else it drops it)."""
+def library_encoder(definition: str, keeps_space: bool, limit: int = CACHE_PIECES) -> ChunkEncoder:
+    """The library's ids. ``keeps_space``: the tokenizer encodes white space (else it drops it).
+    ``limit``: pieces in the cache."""
     t = library_tokenizer(definition)
 
     def pieces(batch: list[str]) -> list:
@@ -158,15 +159,15 @@ def library_encoder(definition: str, keeps_space: bool) -> ChunkEncoder:
             out += [e.ids for e in t.encode_batch_fast(part, add_special_tokens=False)]
         return out
 
-    return ChunkEncoder(pieces, split_keeping if keeps_space else split_dropping)
+    return ChunkEncoder(pieces, split_keeping if keeps_space else split_dropping, limit)
 
 
-_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, int], ChunkEncoder] = {}
 
 
-def worker_encoder(definition: str, keeps_space: bool) -> ChunkEncoder:
+def worker_encoder(definition: str, keeps_space: bool, limit: int = CACHE_PIECES) -> ChunkEncoder:
     """The encoder of this Python worker (its cache outlives a task)."""
-    key = (definition, keeps_space)
+    key = (definition, keeps_space, limit)
     if key not in _ENCODERS:
-        _ENCODERS[key] = library_encoder(definition, keeps_space)
+        _ENCODERS[key] = library_encoder(definition, keeps_space, limit)
     return _ENCODERS[key]

@@ -14,7 +14,9 @@ anywhere else, in the same document or another. Matches never cross documents.
    stack: the common-prefix interval tree. An interval of at least 200 bytes whose
    occurrences differ in the byte before them (left-extension diversity) is a maximal
    repeat; it covers all its occurrences. Non-diverse intervals are covered by the one
-   that starts a byte earlier.
+   that starts a byte earlier. At most ``SUFFIXES`` suffixes are sorted at once, those with
+   the same window together; where one window alone has more (a short line that goes on
+   and on), its suffixes are sorted in several lots and every interval counts as diverse.
 4. Covered ranges go back to the documents; documents without any pass straight through.
 
 A key shared by more than ``HOT`` distinct regions is not gathered in one task: its
@@ -234,6 +236,31 @@ def maximal_repeats(lcp: np.ndarray, before: np.ndarray, least: int, depth: int
             stack.clear()
 
 
+def _window_hashes(text: np.ndarray, least: int) -> np.ndarray:
+    """A hash of the ``least`` bytes from each position, BUFFER of them at once."""
+    half = 1 << (least.bit_length() - 1)             # two of these cover a window
+    out = np.empty(max(0, len(text) - least + 1), dtype=np.uint64)
+    for at in range(0, len(out), BUFFER):
+        n = min(BUFFER, len(out) - at)
+        h = _hashes(text[at:at + n + least - 1], half)
+        out[at:at + n] = h[:n] * np.uint64(_FACTOR) + h[least - half:]
+    return out
+
+
+def _sorted_parts(window: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Slices of at most ``most`` of sorted values that all occur twice or more. Equal values
+    stay in one slice, but for values that occur more often than ``most``: of those each
+    slice has two at least."""
+    at = 0
+    while at < len(window):
+        to = at + most
+        if to < len(window):
+            first, last = np.searchsorted(window, window[to], "left"), np.searchsorted(window, window[to], "right")
+            to = int(first) if first > at else to - (last - to == 1)
+        yield at, min(to, len(window))
+        at = to
+
+
 def covered_ranges(regions: list[bytes], least: int) -> list[list[tuple[int, int]]]:
     """Ranges of each region (distinct byte strings) that maximal repeats cover."""
     raw = b"".join(regions)
@@ -241,25 +268,26 @@ def covered_ranges(regions: list[bytes], least: int) -> list[list[tuple[int, int
     sizes = np.array([len(r) for r in regions])
     ends = np.cumsum(sizes)
     # only windows that occur twice start a suffix of interest; found by their hash
-    starts = np.concatenate([np.arange(e - s, e - least + 1) for s, e in zip(sizes, ends)])
-    half = 1 << (least.bit_length() - 1)             # two of these cover a window
-    h = _hashes(text, half)
-    window = h[starts] * np.uint64(_FACTOR) + h[starts + least - half]
+    inside = np.ones(len(text), dtype=bool)
+    for e in ends.tolist():
+        inside[e - least + 1:e] = False
+    starts = np.flatnonzero(inside)
+    window = _window_hashes(text, least)[starts]
     order = np.argsort(window, kind="stable")
-    same = window[order][1:] == window[order][:-1]
-    often = np.zeros(len(starts), dtype=bool)
-    often[order[1:][same]] = True
-    often[order[:-1][same]] = True
-    starts, window = starts[often], window[often]
-    change = np.zeros(len(text) + 1, dtype=np.int64)
-    # equal windows are in the same part, so parts can be sorted one by one
-    parts = 1 + len(starts) // SUFFIXES
-    for part in range(parts):
-        mine = starts[mix(window) % np.uint64(parts) == part]
-        reach = _reach(raw, text, mine, sizes, ends, least)
+    window = window[order]
+    same = window[1:] == window[:-1]
+    often = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    crowded = bool((window[SUFFIXES:] == window[:-SUFFIXES]).any())
+    starts, window = starts[order[often]], window[often]
+    del inside, order, same, often
+    change = np.zeros(len(text) + 1, dtype=np.int32)
+    for a, b in _sorted_parts(window, SUFFIXES):
+        mine = starts[a:b]
+        reach = _reach(raw, text, mine, sizes, ends, least, crowded)
         np.add.at(change, mine, reach > 0)
         np.subtract.at(change, mine + reach, reach > 0)
-    covered = np.cumsum(change[:-1]) > 0
+    del starts, window
+    covered = np.cumsum(change[:-1], dtype=np.int32) > 0
     edge = np.concatenate([[True], covered[1:] != covered[:-1]])
     edge[(ends - sizes)] = True             # ranges do not run on into the next region
     first = np.flatnonzero(edge)
@@ -274,8 +302,10 @@ def covered_ranges(regions: list[bytes], least: int) -> list[list[tuple[int, int
 
 
 def _reach(raw: bytes, text: np.ndarray, cand: np.ndarray, sizes: np.ndarray, ends: np.ndarray,
-           least: int) -> np.ndarray:
-    """Length of the longest maximal repeat that starts at each candidate (0: none)."""
+           least: int, crowded: bool = False) -> np.ndarray:
+    """Length of the longest maximal repeat that starts at each candidate (0: none).
+    ``crowded``: occurrences of a window may be in several calls, so that what starts a byte
+    earlier need not reach as far here; then every repeat counts, whatever comes before it."""
     found = np.zeros(len(cand), dtype=np.int64)
     if len(cand) < 2:
         return found
@@ -286,7 +316,7 @@ def _reach(raw: bytes, text: np.ndarray, cand: np.ndarray, sizes: np.ndarray, en
     order = np.array(order)
     sa, room = cand[order], (stop - cand)[order]
     opens = sa == (ends - sizes)[region[order]]
-    before = np.where(opens, -1 - np.arange(len(sa)), text[sa - 1].astype(np.int64))
+    before = np.where(opens | crowded, -1 - np.arange(len(sa)), text[sa - 1].astype(np.int64))
     lcp = common_prefixes(text, sa, room)
     done = list(range(len(sa) + 1))          # next suffix without a longer repeat
 
@@ -359,16 +389,25 @@ def _repeats_by_key(regions: DataFrame, least: int) -> DataFrame:
 def _repeats_by_window(regions: DataFrame, least: int) -> DataFrame:
     """The same for keys with very many distinct regions: windows are counted."""
     def windows(batches):
+        h, at, w = [], [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(h, pa.binary()), pa.array(at, pa.int64()), pa.array(w, pa.binary())],
+                ["hash", "at", "window"])
+
         for batch in batches:
-            h, at, w = [], [], []
-            for digest, region in zip(column(batch, "hash").to_pylist(), column(batch, "region").to_pylist()):
+            for digest, region in zip(column(batch, "hash"), column(batch, "region")):
+                digest, region = digest.as_py(), region.as_py()
                 for i in range(len(region) - least + 1):
                     h.append(digest)
                     at.append(i)
                     w.append(xxhash.xxh3_128_digest(region[i:i + least]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.binary()), pa.array(at, pa.int64()), pa.array(w, pa.binary())],
-                ["hash", "at", "window"])
+                    if len(h) == SUFFIXES:
+                        yield out()
+                        h, at, w = [], [], []
+        if h:
+            yield out()
 
     every = materialize(map_arrow(regions.select("hash", "region"), windows,
                                   "hash binary, at long, window binary"), "hot-windows")

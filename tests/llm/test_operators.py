@@ -346,6 +346,33 @@ def test_repeats(spark, docs, empty, hot):
         assert suffix_dedup.drop_repeats(docs[0]).columns == docs[0].columns
 
 
+def test_line_that_goes_on_is_sorted_in_bounded_lots(monkeypatch):
+    """A short line repeated to the end of many regions: few distinct windows, each very often."""
+    rng = np.random.default_rng(5)
+    regions = [b"%d head " % i + b"Is onhe. " * int(rng.integers(20, 60)) + b"tail %d" % (i % 7) * 40 for i in range(40)]
+    regions += [b"z" * 64, b"y" * 300, bytes(rng.integers(97, 99, 500).astype(np.uint8))]
+    whole = suffix_dedup.covered_ranges(regions, 64)
+    assert [(len(r), sum(b - a for a, b in x), len(x)) for r, x in zip(regions, whole)] == [
+        x[:3] for x in brute_repeats(regions, 64)]
+    sizes, plain = [], suffix_dedup._reach
+    monkeypatch.setattr(suffix_dedup, "_reach", lambda raw, text, cand, *a: sizes.append(len(cand)) or plain(raw, text, cand, *a))
+    for most in (3, 50, 500):
+        sizes.clear()
+        monkeypatch.setattr(suffix_dedup, "SUFFIXES", most)
+        assert suffix_dedup.covered_ranges(regions, 64) == whole
+        assert 2 <= min(sizes) and max(sizes) <= most
+
+
+def test_packing_bounds_the_pieces_a_worker_keeps():
+    encoder = chunks.library_encoder(vocabulary(BYTE), True, 1000)
+    texts = [" ".join(f"w{i}x{j}" for j in range(300)) for i in range(40)]
+    plain = chunks.library_encoder(vocabulary(BYTE), True)
+    for t in texts:
+        assert encoder.encode([t])[0].tolist() == plain.encode([t])[0].tolist()
+        assert len(encoder.index) <= 1300
+    assert len(plain.index) > 10_000 and packing.CACHED < chunks.CACHE_PIECES
+
+
 def test_maximal_repeat_intervals():
     # banana: repeats "ana" (twice), "a" (three times); "na" is always preceded by a
     s = b"banana"
