@@ -33,6 +33,7 @@ OPEN_BINS = 4096
 WINDOW = 4096
 STREAM = 8 * WINDOW        # pieces of a stream at least
 CACHED = 400_000           # pieces of text whose ids a worker keeps
+FREQUENT = CACHED // 2     # of these, at most so many stay when it is full: the most used
 
 
 class BestFit:
@@ -77,7 +78,7 @@ def pieces(docs: DataFrame, definition: str, end_id: int, max_tokens: int,
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
-                flat, counts = worker_encoder(definition, True, CACHED).encode(
+                flat, counts = worker_encoder(definition, True, CACHED, FREQUENT).encode(
                     column(part, "text").fill_null("").to_pylist())
                 to = np.cumsum(counts).tolist()
                 rows: tuple[list, ...] = ([], [], [], [], [])

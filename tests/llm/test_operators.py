@@ -373,6 +373,69 @@ def test_packing_bounds_the_pieces_a_worker_keeps():
     assert len(plain.index) > 10_000 and packing.CACHED < chunks.CACHE_PIECES
 
 
+def test_frequent_pieces_survive_a_full_cache():
+    """Pieces that come again and again are encoded once, however many others pass through."""
+    encoded = collections.Counter()
+
+    def encode(pieces):
+        encoded.update(pieces)
+        return [[len(p), *map(ord, p)] for p in pieces]
+
+    cache = chunks.ChunkEncoder(encode, str.split, limit=100, keep=50)
+    often = [f"often{i}" for i in range(20)]
+    for i in range(200):
+        t = " ".join([*often, *(f"once{i}x{j}" for j in range(30)), *often])
+        assert cache.encode([t])[0].tolist() == [x for p in t.split() for x in (len(p), *map(ord, p))]
+        assert len(cache.index) <= 130 and len(cache.uses) >= len(cache.index)
+    assert set(encoded.values()) == {1}
+    assert 0 < packing.FREQUENT < packing.CACHED
+
+
+def test_each_distinct_word_meets_the_model_once(monkeypatch):
+    """Pieces that share their words ("word", "word,", "word.") do not go through the library's
+    whole chain; others do."""
+    lib, definition = chunks.library_tokenizer(vocabulary(BYTE)), vocabulary(BYTE)
+    calls = collections.Counter()
+
+    class Model:
+        def tokenize(self, word):
+            calls[word] += 1
+            return lib.model.tokenize(word)
+
+    class Library:
+        model = Model()
+
+        def encode_batch_fast(self, batch, **kw):
+            calls["whole"] += len(batch)
+            return lib.encode_batch_fast(batch, **kw)
+
+    def check(texts):
+        ids, counts = enc.encode(texts)
+        for t, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+            assert got.tolist() == lib.encode(t, add_special_tokens=False).ids
+
+    with monkeypatch.context() as m:
+        m.setitem(chunks._LIBRARY, definition, Library())
+        enc = chunks.library_encoder(definition, True)
+        check([" ".join(f"wörd{'abcdef'[i % 6]}{end}" for i in range(60) for end in ("", ",", ".", "!!", "'s"))])
+        assert calls["whole"] == 0 and max(calls.values()) == 1 and len(calls) == 1 + 6 + 4
+        check(["a <|endoftext|> b", "z" * 5000 + " ok", "ok \u0671\u1680x y", "\U0001f600 ok"])
+        assert calls["whole"] == 4 and max(calls.values()) <= 4
+
+
+def test_settled_characters_are_told_apart_as_the_library_does():
+    lib, encoder = chunks.library_tokenizer(vocabulary(BYTE)), chunks.library_encoder(vocabulary(BYTE), True)
+    settled = [chr(c) for c in range(0xd800) if not chunks._OTHER.match(chr(c))]
+    settled += [chr(c) for c in range(0xe000, 0x10000) if not chunks._OTHER.match(chr(c))]
+    assert len(settled) > 30_000
+    texts = [f"a{c}1{c}! {c}{c} {c}a {c}1 {c}" for c in settled]
+    ids, counts = encoder.encode(texts)
+    for t, got, want in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), lib.encode_batch(texts, add_special_tokens=False)):
+        assert got.tolist() == want.ids, ascii(t)
+    odd, _ = chunks.byte_level_words(vocabulary(BYTE))
+    assert odd("\u1680") and odd("\U0001f600") and odd("x<|endoftext|>") and not odd("é日本—€")
+
+
 def test_maximal_repeat_intervals():
     # banana: repeats "ana" (twice), "a" (three times); "na" is always preceded by a
     s = b"banana"
