@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder, library_tokenizer, split_dropping
-from .common import SLICE_BYTES, column, map_arrow, text_slices
+from .common import SLICE_BYTES, column, map_arrow, text_slices, worker_cache
 
 # fixed values: the split pattern of the tokenizer file, with its white space spelled out
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -222,7 +222,7 @@ class SegmentTreeBpe:
         return [raw[a:max(a, b - 1)] for a, b in zip(to, to[1:])]   # without the last blank
 
 
-_ENCODERS: dict[str, tuple[SegmentTreeBpe, ChunkEncoder]] = {}
+_ENCODERS: dict[str, tuple[SegmentTreeBpe, ChunkEncoder]] = worker_cache()
 
 
 def worker_bpe(definition: str) -> tuple[SegmentTreeBpe, ChunkEncoder]:
@@ -247,7 +247,7 @@ def encode_column(df: DataFrame, definition: str, id_col: str = "doc_id",
                     ["doc_id", "ids"])
 
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(src, run, "doc_id long, ids array<int>")
+    return map_arrow(src, run, "doc_id long, ids array<int>", encodes=True)
 
 
 def decode_column(df: DataFrame, definition: str, id_col: str = "doc_id",
@@ -262,7 +262,7 @@ def decode_column(df: DataFrame, definition: str, id_col: str = "doc_id",
                 [column(batch, "doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
-    return map_arrow(src, run, "doc_id long, text string")
+    return map_arrow(src, run, "doc_id long, text string", encodes=True)
 
 
 def round_trip_digests(df: DataFrame, definition: str, id_col: str = "doc_id",
@@ -283,10 +283,11 @@ def round_trip_digests(df: DataFrame, definition: str, id_col: str = "doc_id",
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(src, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(src, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+                     encodes=True)
 
 
-_LIBRARY_ENCODERS: dict[str, ChunkEncoder] = {}
+_LIBRARY_ENCODERS: dict[str, ChunkEncoder] = worker_cache()
 
 
 def worker_library_encoder(definition: str) -> ChunkEncoder:

@@ -19,6 +19,8 @@ from typing import Callable
 import numpy as np
 import regex
 
+from .common import worker_cache
+
 CACHE_PIECES = 1_000_000
 
 # a piece with its leading white space; blanks at the end of a text form a piece of their own
@@ -166,7 +168,7 @@ def piece_text(key: str) -> str:
     return key if key[0].isspace() else " " + key
 
 
-_LIBRARY: dict[str, object] = {}
+_LIBRARY: dict[str, object] = worker_cache()
 
 
 def library_tokenizer(definition: str):
@@ -263,11 +265,11 @@ def library_encoder(definition: str, keeps_space: bool, limit: int = CACHE_PIECE
     return ChunkEncoder(pieces, split_keeping if keeps_space else split_dropping, limit, keep)
 
 
-_ENCODERS: dict[tuple[str, bool, int, int], ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, int, int], ChunkEncoder] = worker_cache()
 
 
 def worker_encoder(definition: str, keeps_space: bool, limit: int = CACHE_PIECES, keep: int = 0) -> ChunkEncoder:
-    """The encoder of this Python worker (its cache outlives a task)."""
+    """The encoder of this Python worker (its cache outlives a task, but not the stage)."""
     key = (definition, keeps_space, limit, keep)
     if key not in _ENCODERS:
         _ENCODERS[key] = library_encoder(definition, keeps_space, limit, keep)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from typing import Callable, Iterator
 
@@ -99,11 +100,44 @@ def first_rows(df: DataFrame, group_col: str, id_col: str) -> DataFrame:
     return df.groupBy(group_col).agg(F.min(order).alias("s")).select(F.col("s.r").alias(ROW))
 
 
+_CACHES: list[dict] = []   # of this Python worker
+
+
+def worker_cache() -> dict:
+    """A dict for what encoding tasks leave to later ones of the same Python worker. Workers
+    outlive tasks and stages: ``map_arrow`` empties it when other work begins."""
+    _CACHES.append({})
+    return _CACHES[-1]
+
+
+def drop_caches() -> None:
+    for cache in _CACHES:
+        cache.clear()
+
+
+def give_back() -> None:
+    """Return to the system what Arrow and the C library hold of freed memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # glibc only
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema) -> DataFrame:
-    """``mapInArrow`` with this package shipped to the workers."""
+              schema, encodes: bool = False) -> DataFrame:
+    """``mapInArrow`` with this package shipped to the workers. Only tasks that use a
+    ``worker_cache`` (``encodes``) find it as the last task left it; a worker that waits for
+    its next task holds no memory that the last one has freed."""
+    def run(batches):
+        if not encodes:
+            drop_caches()
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def text_slices(batch: pa.RecordBatch, column: str,

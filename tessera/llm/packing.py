@@ -95,7 +95,8 @@ def pieces(docs: DataFrame, definition: str, end_id: int, max_tokens: int,
                     ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(src, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(src, run, "doc_id long, piece int, start long, length long, ids_crc32 long",
+                     encodes=True)
 
 
 def streams(n_items: int, partitions: int) -> int:

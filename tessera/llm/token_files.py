@@ -174,7 +174,7 @@ def write_files(docs: DataFrame, definition: str, end_id: int, path: str,
 
     src = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
            .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
-    return materialize(map_arrow(src, run, MANIFEST), "manifest")
+    return materialize(map_arrow(src, run, MANIFEST, encodes=True), "manifest")
 
 
 def read_files(manifest: DataFrame) -> DataFrame:

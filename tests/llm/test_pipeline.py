@@ -157,3 +157,53 @@ def test_run_equals_brute_force(spark, tmp_path):
     for pieces in used.values():
         ends = [0, *(o + n for o, n in sorted(pieces))]
         assert [o for o, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= 2048
+
+
+def test_encoders_of_a_worker_go_when_other_work_begins(spark):
+    """Workers outlive stages: what encoding tasks keep for the next one must not stay while
+    later stages run."""
+    import pyarrow as pa
+
+    from tessera.llm import bpe, chunks, packing, token_files
+    from tessera.llm.queries import vocabulary
+
+    def held(batches):
+        import os
+        for _ in batches:
+            n = len(chunks._ENCODERS) + len(chunks._LIBRARY) + len(bpe._ENCODERS) + len(bpe._LIBRARY_ENCODERS)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([os.getpid()], pa.int64())], ["n", "pid"])
+
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(64)], "doc_id long, text string").coalesce(1)
+    byte, word = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
+    for encode in (lambda: packing.pieces(docs, byte, 0, 2048).count(),
+                   lambda: bpe.round_trip_digests(docs, word).count(),
+                   lambda: token_files.write_files(docs, word, 1, common.scratch_path(spark, "token-files")).count()):
+        encode()
+        probe = docs.repartition(4 * spark.sparkContext.defaultParallelism)
+        kept = common.map_arrow(probe, held, "n long, pid long", encodes=True).collect()
+        assert any(r["n"] for r in kept)                                  # an encoding task finds them ...
+        gone = common.map_arrow(probe, held, "n long, pid long").collect()
+        assert gone and not any(r["n"] for r in gone)                     # ... any other one does not
+
+
+def test_an_idle_worker_gives_its_freed_memory_back(spark):
+    import pyarrow as pa
+
+    def used(batches):
+        import re
+        for b in batches:
+            text = open("/proc/self/smaps_rollup").read()
+            kb = sum(map(int, re.findall(r"\n(?:Anonymous):\s+(\d+)", text)))
+            yield pa.RecordBatch.from_arrays([pa.array([kb], pa.int64())], ["kb"])
+
+    def work(batches):
+        for b in batches:
+            held = [b"x" * 3000 + str(i).encode() for i in range(60_000)]
+            arrays = [pa.array([x] * 4000, pa.binary()) for x in held[:16]]
+            yield pa.RecordBatch.from_arrays([pa.array([len(held) + len(arrays)], pa.int64())], ["kb"])
+
+    one = spark.range(1).coalesce(1)
+    before = common.map_arrow(one, used, "kb long").first()["kb"]
+    assert common.map_arrow(one, work, "kb long").first()["kb"] == 60_016
+    after = common.map_arrow(one, used, "kb long").first()["kb"]
+    assert after < before + 40_000
