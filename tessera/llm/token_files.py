@@ -12,9 +12,11 @@ flag (uint8), number of tokens (uint32); then the token ids of all documents.
 
 Files are written by the tasks to the shared folder under a name of their own per
 attempt; only files listed in the manifest (a table Spark commits) count, so lost
-executors and repeated tasks leave no trace in results. Null text is empty (just the
-end id); null ids sort first; rows that repeat an id follow each other, ordered by
-text; an empty table makes no file; other columns are ignored.
+executors and repeated tasks leave no trace in results. The manifest's rows (one per
+file) meet in one task and are stored as one file, and a reading task takes several
+small files. Null text is empty (just the end id); null ids sort first; rows that repeat
+an id follow each other, ordered by text; an empty table makes no file; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 FRAME_BYTES = 256 << 10   # raw bytes of a data frame; a larger document has a frame of its own
 LEVEL = 1
+READ_BYTES = 16 << 20     # of files for one reading task, if there are more than a task a core
 _INDEX = np.dtype([("first", "<i8"), ("docs", "<u4"), ("tokens", "<u8")])
 
 
@@ -174,7 +177,9 @@ def write_files(docs: DataFrame, definition: str, end_id: int, path: str,
 
     src = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
            .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
-    return materialize(map_arrow(src, run, MANIFEST, encodes=True), "manifest")
+    # not a table file for each row: Hadoop's local file system starts a process (chmod) for every
+    # file and folder that it makes, and until that runs it counts with all memory of the executor
+    return materialize(map_arrow(src, run, MANIFEST, encodes=True).repartition(1), "manifest")
 
 
 def read_files(manifest: DataFrame) -> DataFrame:
@@ -183,7 +188,9 @@ def read_files(manifest: DataFrame) -> DataFrame:
     # one row per file: the running sum over files is a small table
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("part", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files, n_bytes = manifest.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    cores = manifest.sparkSession.sparkContext.defaultParallelism
+    n = max(1, min(files, max(cores, -(-n_bytes // READ_BYTES))))
 
     def run(batches):
         for batch in batches:
@@ -202,7 +209,7 @@ def read_files(manifest: DataFrame) -> DataFrame:
                     start += int(lens.sum())
                 src.close()
 
-    return map_arrow(based.repartition(n, "part"), run,
+    return map_arrow(based.repartition(n), run,
                      "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -202,6 +202,37 @@ def test_token_files(docs, empty, tmp_path):
     assert token_files.write_and_read(empty, vocabulary(WORD), 1).count() == 0
 
 
+def test_token_files_of_many_tasks_make_few_table_files(spark, tmp_path, monkeypatch):
+    """Each table file that a task makes starts a process on its executor."""
+    texts = {i: " ".join(f"word{j}" for j in range(i % 7)) for i in range(256)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    parts = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in parts}
+    lib = chunks.library_tokenizer(vocabulary(WORD))
+    try:
+        for k, v in parts.items():
+            spark.conf.set(k, v)
+        manifest = token_files.write_files(docs, vocabulary(WORD), 1, f"file://{tmp_path}/files")
+        files = manifest.count()
+        assert files > 2 * spark.sparkContext.defaultParallelism and len(manifest.inputFiles()) == 1
+        assert sorted(r.part for r in manifest.collect()) == list(range(files))
+        few = token_files.read_files(manifest)
+        assert few.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        monkeypatch.setattr(token_files, "READ_BYTES", 1)   # large files: a task each, and no more
+        many = token_files.read_files(manifest)
+        assert many.rdd.getNumPartitions() == files
+        for df in few, many:
+            start, got = 0, sorted(df.collect(), key=lambda r: r.doc_id)
+            assert [r.doc_id for r in got] == list(texts)
+            for r in got:
+                ids = np.array(lib.encode(texts[r.doc_id], add_special_tokens=False).ids + [1], "<u4")
+                assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+                start += len(ids)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_frames_can_be_read_one_by_one():
     out = io.BytesIO()
     w = token_files.FrameWriter(out)
